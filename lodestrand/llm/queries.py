@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import exact_dedup, packing, secrets
+from lodestrand.llm import byte_bpe, exact_dedup, language, mpeg_audio, packing, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_mpeg_audio": mpeg_audio.op1_mpeg_audio,
+        "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op7_language_id": language.op7_language_id,
         "op8_secret_scan": secrets.op8_secret_scan,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
