@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import byte_bpe, exact_dedup, language, mpeg_audio, packing, secrets
+from lodestrand.llm import byte_bpe, exact_dedup, language, mpeg_audio, packing, secrets, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mpeg_audio": mpeg_audio.op1_mpeg_audio,
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_token_counts": token_counts.op5_token_counts,
         "op7_language_id": language.op7_language_id,
         "op8_secret_scan": secrets.op8_secret_scan,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
