@@ -32,16 +32,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.common import arrow_map, documents, id_and_text, texts
-from lodestrand.llm.word_tokens import default_vocabulary
 
-#: Bytes of a chunk, and table entries (6 bytes each) at which a worker drops what it has compiled and begins again.
-CHUNK, ENTRIES = 256, 24_000_000
-#: Lower case of two letters that are newer than Python's tables.
-_NEW = {0xA7CB: 0x264, 0xA7DC: 0x19B}
+#: Bytes of a chunk, and table entries (8 bytes each) at which a worker drops what it has compiled and begins again.
+CHUNK, ENTRIES = 256, 18_000_000
 SPACE, LETTER, DIGIT, OTHER, MARK = range(5)  # kinds of characters; MARK stands for a special token's string
 _WS = "\t-\r \x85\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+_SPACES = re.compile(f"[{_WS}]")
+
+
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _byte_letters() -> dict[str, int]:
     """The letters by which byte-level vocabularies write bytes."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -61,7 +67,7 @@ class Transducer:
             spec = json.load(f)
         model, letters = spec["model"], _byte_letters()
         end = model["end_of_word_suffix"]
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
 
         def symbols(token: str) -> tuple[int, ...]:
             last = token.endswith(end) and len(token) > len(end)
@@ -70,10 +76,12 @@ class Transducer:
 
         self.spelled: dict[tuple[int, ...], int] = {}
         self.tokens: list[tuple[int, ...]] = []
+        self.ids: list[int] = []
         for t in model["vocab"]:
             if t not in self.special:
                 self.spelled[symbols(t)] = len(self.tokens)
                 self.tokens.append(symbols(t))
+                self.ids.append(model["vocab"][t])
         number = lambda t: self.spelled[symbols(t)]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merge = {(number(a), number(b)): (k, number(a + b)) for k, (a, b) in enumerate(merges)}
@@ -130,6 +138,7 @@ class Transducer:
         self.column = np.full(512, -1, np.int32)  # of the symbols met so far
         self.symbol: list[int] = []
         self.next, self.emit = np.full((1024, 64), -1, np.int32), np.zeros((1024, 64), np.int16)
+        self.last = np.zeros((1024, 64), np.uint16 if len(self.tokens) < 65_536 else np.int32)  # the token that ends with the symbol
 
     def columns(self, symbols: np.ndarray) -> np.ndarray:
         """The table's column of each symbol; new ones are added."""
@@ -141,6 +150,7 @@ class Transducer:
             more = (len(self.next), -(-len(self.symbol) // 64) * 64 - self.next.shape[1])
             self.next = np.hstack((self.next, np.full(more, -1, np.int32)))
             self.emit = np.hstack((self.emit, np.zeros(more, np.int16)))
+            self.last = np.hstack((self.last, np.zeros(more, self.last.dtype)))
         return self.column[symbols]
 
     def compile(self, codes: np.ndarray, bounded: bool) -> None:
@@ -148,7 +158,7 @@ class Transducer:
         width = self.next.shape[1]
         for code in np.unique(codes).tolist():
             s, c = divmod(code, width)
-            to, more = self._step(self.state[s], self.symbol[c])
+            to, more, last = self._step(self.state[s], self.symbol[c])
             if to not in self.number:
                 self.number[to] = len(self.state)
                 self.state.append(to)
@@ -158,9 +168,10 @@ class Transducer:
                     size = (len(self.next) // 4, width)
                     self.next = np.vstack((self.next, np.full(size, -1, np.int32)))
                     self.emit = np.vstack((self.emit, np.zeros(size, np.int16)))
-            self.next[s, c], self.emit[s, c] = self.number[to], more
+                    self.last = np.vstack((self.last, np.zeros(size, self.last.dtype)))
+            self.next[s, c], self.emit[s, c], self.last[s, c] = self.number[to], more, last
 
-    def _step(self, state: tuple, symbol: int) -> tuple[tuple, int]:
+    def _step(self, state: tuple, symbol: int) -> tuple[tuple, int, int]:
         """state: (trie node, for each of the places from the node's begin to now: (last token or -1 at a word's begin or None, tokens less now's))."""
         node, places = state
         while node and symbol not in self.child[node]:
@@ -182,14 +193,14 @@ class Transducer:
             raise ValueError("no token may follow here")
         more = before[1] + 1
         if symbol >= 256:
-            return self.state[0], more
+            return self.state[0], more, last
         kept = {depth}
         at = node
         while at:  # only places where a token may begin that reaches beyond now
             kept.add(depth - self.depth[at])
             at = self.fail[at]
         rest = tuple((p[0], p[1] - more) if k in kept else (None, 0) for k, p in enumerate(places))
-        return (node, (*rest, (last, 0))), more
+        return (node, (*rest, (last, 0))), more, last
 
 
 _MADE: dict[str, Transducer] = {}
@@ -203,28 +214,47 @@ def transducer(path: str) -> Transducer:
 
 
 _KINDS: list[np.ndarray] = []
+_NEWER: dict[int, str] = {}  # lower case of letters that are newer than Python's tables
 
 
 def kinds() -> np.ndarray:
-    """The kind of each code point by the pattern's classes."""
+    """The kind of each code point by the pattern's classes. The library is asked about letters and digits that Python's tables don't have yet."""
     if not _KINDS:
         import regex
+        from tokenizers import Tokenizer
 
+        library = Tokenizer.from_file(default_vocabulary())
+        newer = regex.compile(r"[\p{L}\p{N}]")
         table = np.full(0x110000, OTHER, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        for kind, expression in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, f"[{_WS}]+")):
-            for m in regex.finditer(expression, every):
-                lo, hi = ord(m[0][0]), ord(m[0][-1])
-                table[lo : hi + 1] = np.where((np.arange(lo, hi + 1) >= 0xD800) & (np.arange(lo, hi + 1) < 0xE000), OTHER, kind)
+        for k in range(0x110000):
+            c = unicodedata.category(x := chr(k))
+            if c[0] in "LN":
+                table[k] = LETTER if c[0] == "L" else DIGIT
+            elif c == "Cn" and newer.match(x):
+                pieces = [len(library.pre_tokenizer.pre_tokenize_str(s)) for s in ("a" + x, "!" + x)]
+                table[k] = LETTER if pieces[0] == 1 else DIGIT if pieces[1] == 2 else OTHER
+                if (low := library.normalizer.normalize_str(x)) != x:
+                    _NEWER[k] = low
+        for m in _SPACES.finditer("".join(map(chr, range(0x3001)))):
+            table[ord(m[0])] = SPACE
         _KINDS.append(table)
     return _KINDS[0]
 
 
+def class_of(kind: int) -> str:
+    """The characters of a kind as ranges for a character class."""
+    at = np.flatnonzero(np.diff(np.concatenate(([0], kinds() == kind, [0]))))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(at[::2], at[1::2], strict=True))
+
+
 def normal(text: str) -> str:
     """Composed and in lower case, character by character (str.lower() looks at a sigma's neighbours)."""
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFC", text).translate(_NEW)
+    text = unicodedata.normalize("NFC", text)
+    if max(text, default="") > "\u1c88":
+        kinds()
+        text = text.translate(_NEWER)
     return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
 
 
@@ -283,6 +313,43 @@ def run(machine: Transducer, columns: np.ndarray, begin: np.ndarray, length: np.
     return states, tokens
 
 
+def encoded(machine: Transducer, words: list[bytes]) -> list[bytes]:
+    """The ids of whole words (little-endian unsigned 32-bit): the transducer's last tokens, read from each word's end backwards."""
+    size = np.array([len(w) for w in words], np.int64)
+    stop = np.cumsum(size)
+    symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
+    symbols[stop - 1] += 256
+    columns = machine.columns(symbols)
+    order = np.argsort(-size, kind="stable")
+    by_length, at, s = size[order], (stop - size)[order], np.zeros(len(words), np.int32)
+    last, width = np.zeros(len(symbols), np.int32), machine.next.shape[1]
+    for n in np.searchsorted(-by_length, -np.arange(int(by_length[0])), side="left"):
+        code = s[:n] * width + columns[at[:n]]
+        to = machine.next.reshape(-1)[code]
+        if (to < 0).any():
+            machine.compile(code[to < 0], len(words) > 1)
+            to = machine.next.reshape(-1)[code]
+        last[at[:n]] = machine.last.reshape(-1)[code]
+        s[:n] = to
+        at[:n] += 1
+    if not hasattr(machine, "long"):
+        machine.long, machine.id = np.array([len(t) for t in machine.tokens]), np.array(machine.ids, np.uint32)
+    # `where` walks back; tokens are written where they begin, so that reading on gives them in order
+    begins = np.zeros(len(symbols), bool)
+    token = np.zeros(len(symbols), np.int32)
+    where, first = stop - 1, stop - size
+    while len(where):
+        t = last[where]
+        begin = where - machine.long[t] + 1
+        begins[begin], token[begin] = True, t
+        more = begin > first
+        where, first = begin[more] - 1, first[more]
+    raw = machine.id[token[begins]].astype("<u4").tobytes()
+    cuts = np.concatenate(([0], np.cumsum(begins)))[np.concatenate(([0], stop))] * 4
+    cuts = cuts.tolist()
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def counted(machine: Transducer, batch: list[str], chunk: int = CHUNK, bounded: bool = True) -> np.ndarray:
     """The tokens of each normal text without special tokens' strings."""
     body, ends, starts = words(batch)
@@ -320,9 +387,6 @@ def counted(machine: Transducer, batch: list[str], chunk: int = CHUNK, bounded:
     return np.diff(sums[np.searchsorted(begin, starts)])
 
 
-_SPACES = re.compile(f"[{_WS}]")
-
-
 def _summed(machine: Transducer, parts: list[str]) -> np.ndarray:
     """counted() of parts that may need more states than fit: they are halved, at white space within a text; one endless word may exceed the bound."""
     try:
