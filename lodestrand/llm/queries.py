@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import byte_bpe, exact_dedup, language, mpeg_audio, packing, secrets, token_counts
+from lodestrand.llm import byte_bpe, exact_dedup, language, mpeg_audio, near_dedup, packing, secrets, token_counts
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_token_counts": token_counts.op5_token_counts,
         "op7_language_id": language.op7_language_id,
         "op8_secret_scan": secrets.op8_secret_scan,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
