@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import byte_bpe, exact_dedup, language, mpeg_audio, near_dedup, packing, secrets, token_counts
+from lodestrand.llm import byte_bpe, exact_dedup, language, mpeg_audio, near_dedup, packing, personal, secrets, token_counts
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_token_counts": token_counts.op5_token_counts,
+        "op6_personal_data": personal.op6_personal_data,
         "op7_language_id": language.op7_language_id,
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_near_dedup": near_dedup.op9_near_dedup,
