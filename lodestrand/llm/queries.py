@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import byte_bpe, exact_dedup, language, mpeg_audio, near_dedup, packing, personal, secrets, token_counts
+from lodestrand.llm import byte_bpe, exact_dedup, language, mpeg_audio, near_dedup, packing, personal, secrets, substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_mpeg_audio": mpeg_audio.op1_mpeg_audio,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_token_counts": token_counts.op5_token_counts,
