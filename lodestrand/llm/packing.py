@@ -23,7 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrand.llm.common import arrow_map, documents, id_and_text, stored, texts
-from lodestrand.llm.word_tokens import default_vocabulary, ids_of
+from lodestrand.llm.token_counts import default_vocabulary
+from lodestrand.llm.word_tokens import ids_of
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:

@@ -1,55 +1,102 @@
 """Token ids of word_bpe_49k.json, word by word.
 
-The tokenizer drops white space and lets nothing reach across it, so a text's ids are the
-ids of its pieces between ASCII white space, one after another. Each worker remembers the
-pieces it has met (a bounded number) and hands only new ones to the tokenizers library.
+The tokenizer drops white space and lets nothing reach across it, so a normalised text's
+ids are the ids of its pieces between white space, one after another. Each worker remembers
+a bounded number of pieces; new ones are cut into words by the tokenizer's pattern, and all
+new words of a batch run through the compiled transducer of token_counts.py side by side.
 """
 
 from __future__ import annotations
 
-import numpy as np
-
-_KNOWN: dict[str, tuple[object, dict[str, bytes]]] = {}
-REMEMBERED = 400_000
-
-
-def default_vocabulary() -> str:
-    import public_tokenizers
+import re
 
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-def _loaded(path: str) -> tuple[object, dict[str, bytes]]:
-    if path not in _KNOWN:
-        from tokenizers import Tokenizer
+import numpy as np
 
-        _KNOWN[path] = (Tokenizer.from_file(path), {})
-    return _KNOWN[path]
+from lodestrand.llm.token_counts import _WS, DIGIT, LETTER, Full, class_of, encoded, normal, transducer
+
+REMEMBERED = 300_000
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+_SPACE = re.compile(f"[{_WS}]+")
+_OWN = re.compile("[\x1c-\x1f]")  # white space to str.split() but not to the tokenizer
+
+
+class Words:
+    """One vocabulary with what a worker remembers of it."""
+
+    def __init__(self, path: str) -> None:
+        self.machine = transducer(path)
+        letter, digit = class_of(LETTER), class_of(DIGIT)
+        self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{_WS}{letter}{digit}]+")
+        self.special = re.compile("|".join(map(re.escape, self.machine.special)))
+        self.known: dict[str, bytes] = {}
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        try:
+            return encoded(self.machine, [w.encode() for w in words])
+        except Full:
+            self.machine.reset()
+            half = len(words) // 2
+            return self._encoded(words[:half]) + self._encoded(words[half:])
+
+    def _learn(self, pieces: set[str]) -> None:
+        known, new, cut = self.known, set(), {}
+        for p in pieces:
+            if p.isascii():
+                if p.isalpha():
+                    new.add(p)
+                    continue
+                found = _ASCII.findall(p)
+            else:
+                found = self.pattern.findall(p)
+            if len(found) == 1:
+                new.add(p)
+            else:
+                cut[p] = found
+                new.update(found)
+        order = [w for w in new if w not in known]
+        if order:
+            known.update(zip(order, self._encoded(order), strict=True))
+        get = known.__getitem__
+        for p, found in cut.items():
+            known[p] = b"".join(map(get, found))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, a special token's string in it being one token."""
+        parts, of, marks = [], [], []
+        for i, t in enumerate(texts):
+            if "<|" in t and self.special.search(t):
+                at = 0
+                for m in self.special.finditer(t):
+                    parts.append(normal(t[at : m.start()]))
+                    of.append(i)
+                    marks.append(np.array([self.machine.special[m[0]]], "<u4").tobytes())
+                    at = m.end()
+                t = t[at:]
+            parts.append(normal(t))
+            of.append(i)
+            marks.append(b"")
+        split = [p.split() if not _OWN.search(p) else [x for x in _SPACE.split(p) if x] for p in parts]
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        new: set[str] = set()
+        for pieces in split:
+            new.update(pieces)
+        new.difference_update(known)
+        if new:
+            self._learn(new)
+        get = known.__getitem__
+        out: list[list[bytes]] = [[] for _ in texts]
+        for i, pieces, mark in zip(of, split, marks, strict=True):
+            out[i] += [*map(get, pieces), mark]
+        return [b"".join(x) for x in out]
+
+
+_MADE: dict[str, Words] = {}
 
 
 def ids_of(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers, without added special tokens."""
-    tokenizer, known = _loaded(path)
-    split = [_pieces(t) for t in texts]
-    new = {p for pieces in split for p in pieces if p not in known}
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = {p for pieces in split for p in pieces}
-    if new:
-        order = list(new)
-        for lo in range(0, len(order), 20_000):
-            some = order[lo : lo + 20_000]
-            for piece, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[piece] = np.array(e.ids, "<u4").tobytes()
-    get = known.__getitem__
-    return [b"".join(map(get, pieces)) for pieces in split]
-
-
-_TO_SPACE = str.maketrans("\t\n\u000b\u000c\r", "     ")
-
-
-def _pieces(text: str) -> list[str]:
-    """Split at ASCII white space only; str.split() without an argument would also cut at other characters."""
-    if text.isascii() and "\x1c" not in text and "\x1d" not in text and "\x1e" not in text and "\x1f" not in text:
-        return text.split()
-    return [p for p in text.translate(_TO_SPACE).split(" ") if p]
+    if path not in _MADE:
+        _MADE[path] = Words(path)
+    return _MADE[path].ids(texts)
