@@ -6,11 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lodestrand.plans import business, evidence
+from lodestrand.plans import business, evidence, programs
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = evidence.QUERIES | business.QUERIES, evidence.SQL | business.SQL
-SLOW = {"impact_tiers"}  # walks have tests of their own
+QUERIES, SQL = evidence.QUERIES | business.QUERIES | programs.QUERIES, evidence.SQL | business.SQL | programs.SQL
 
 
 def norm(rows):
