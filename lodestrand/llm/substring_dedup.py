@@ -1,15 +1,15 @@
 """Substring dedup by compressed FM-indexes, one a shard.
 
-A window is `size` consecutive words. Each window elects one of its word triples (longest
-words first, then by hash); windows that repeat elect the same triple. Neighbouring windows
-with one elected triple form a stretch. Stretches whose triple occurs in one document only
+A window is `size` consecutive words. Each window elects the one of its GRAM-word runs with
+the least hash; windows that repeat elect the same run. Neighbouring windows with one
+elected run form a stretch. Stretches whose run occurs in one document only
 (or only in documents with the same words) can't repeat and go no further; that decision
 shuffles hashes only. The others are cut out of their texts, equal stretches are merged
-(with the smallest id that has them), and stretches with one triple go to one shard. Each
+(with the smallest id that has them), and stretches with one run go to one shard. Each
 shard builds an FM-index of its distinct stretches and streams them through it: backward
 search in a wavelet matrix gives matching statistics, and where they reach `size`, the
 least document id in the suffix interval. A window is repeated if that id is smaller than
-its own document's. Triples that are very frequent are dealt out by whole windows instead,
+its own document's. Runs that are very frequent are dealt out by whole windows instead,
 so that no shard grows with one of them.
 
 Of documents with the same words, all but the smallest id lose all words (if they have a
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from lodestrand.llm.common import arrow_map, documents, id_and_text, stored, utf8
 from lodestrand.llm.fm_index import FmIndex, range_minima
 
-GRAM = 3
-#: Windows of a stretch at most; occurrences from which a triple is dealt out by windows; words of a shard.
+GRAM = 4
+#: Windows of a stretch at most; occurrences from which an elected run is dealt out by windows; words of a shard.
 RUN, HOT, SHARD = 32, 4000, 60_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,7 +51,7 @@ def _digest(words: list[bytes]) -> int:
 
 
 def elected(words: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of all texts: (text, elected triple's hash, first window, last window)."""
+    """Stretches of all texts: (text, elected run's hash, first window, last window)."""
     n = np.array([len(w) for w in words], np.int64)
     flat = [x for w in words for x in w]
     total = len(flat)
@@ -59,16 +59,12 @@ def elected(words: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray
     if total < size:
         return empty, empty, empty, empty
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, total)
-    size_of = np.minimum(np.fromiter(map(len, flat), np.int64, total), 20)
     m = total - GRAM + 1
-    mixed, long = np.zeros(m, np.uint64), np.zeros(m, np.int64)
+    mixed = np.zeros(m, np.uint64)
     for k in range(GRAM):
         mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX + h[k : k + m]
-        long += size_of[k : k + m]
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    key = ((63 - np.minimum(long, 63)).astype(np.uint64) << np.uint64(58)) | (mixed >> np.uint64(6))
-    span = size - GRAM + 1  # triples of a window
-    low, width = key, 1
+    low, width = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93), 1
+    span = size - GRAM + 1  # runs of a window
     while 2 * width <= span:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
@@ -117,7 +113,7 @@ def _search(table: pa.Table, size: int) -> pa.Table:
 
 
 def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13) -> tuple[DataFrame, DataFrame]:
-    """(id, starts array<int> of repeated windows, for documents that have some; id and text of all documents with shared triples)."""
+    """(id, starts array<int> of repeated windows, for documents that have some; id and text of all documents with shared runs)."""
     raw = id_and_text(df, id_col, text_col).filter("id IS NOT NULL AND text IS NOT NULL")
 
     def keys(batch: pa.RecordBatch) -> dict[str, object]:
@@ -138,30 +134,37 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = stored(raw.join(by_document, "id"), "texts")
 
     def cut(batch: pa.RecordBatch) -> dict[str, object]:
-        out: dict[str, list] = {"id": [], "first": [], "deal": [], "key": [], "part": []}
+        out: dict[str, list] = {"id": [], "firsts": [], "deal": [], "key": [], "part": []}
         for i, words, own in zip(batch.column(0).to_pylist(), _words(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            seen: dict[bytes, list[int]] = {}  # a document that repeats a stretch has one row for it
             for p in {(p["key"], p["place"], p["hot"]) for p in own}:
                 key, first, last, hot = p[0], p[1] >> 6, (p[1] >> 6) + (p[1] & 63), p[2]
                 for a, b in [(w, w) for w in range(first, last + 1)] if hot else [(first, last)]:
                     part = b" ".join(words[a : b + size])
                     digest = xxhash.xxh3_128_digest(part)
+                    if digest in seen:
+                        seen[digest].append(a)
+                        continue
+                    seen[digest] = [a]
                     out["id"].append(i)
-                    out["first"].append(a)
+                    out["firsts"].append(seen[digest])
                     out["deal"].append(int.from_bytes(digest[:8], "big", signed=True) if hot else key)
                     out["key"].append(digest)
                     out["part"].append(part.decode())
         return out
 
-    rows = arrow_map(texts, cut, "id long, first int, deal long, key binary, part string", mb=1)
+    rows = arrow_map(texts, cut, "id long, firsts array<int>, deal long, key binary, part string", mb=1)
+    # a stretch's words tell its elected run, so `key` is distinct here
     distinct = stored(rows.groupBy("deal", "key", "part").agg(F.min("id").alias("owner")), "stretches")
     words = distinct.agg(F.sum(F.size(F.split("part", " ")))).first()[0] or 0
     shards = max(1, words // SHARD)
     sharded = distinct.select(F.pmod(F.xxhash64("deal"), F.lit(shards)).alias("shard"), "key", "part", "owner")
-    answers = sharded.groupBy("shard").applyInArrow(lambda t: _search(t, size), "key binary, least array<long>")
-    answers = answers.groupBy("key").agg(F.first("least").alias("least"))  # a stretch is in one shard only, a window maybe in two with the same answer
-    joined = rows.select("id", "first", "key").join(answers, "key").filter(F.array_min("least") < F.col("id"))
-    starts = F.filter(F.transform("least", lambda m, k: F.when(m < F.col("id"), F.col("first") + k).otherwise(-1)), lambda x: x >= 0)
-    return joined.select("id", starts.alias("starts")).groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts")), texts.select("id", "text")
+    answers = stored(sharded.groupBy("shard").applyInArrow(lambda t: _search(t, size), "key binary, least array<long>"), "answers")
+    joined = rows.select("id", "firsts", "key").join(answers, "key").filter(F.array_min("least") < F.col("id"))
+    offsets = F.filter(F.transform("least", lambda m, k: F.when(m < F.col("id"), k).otherwise(-1)), lambda x: x >= 0)
+    starts = F.flatten(F.transform("firsts", lambda a: F.transform(F.col("offsets"), lambda k: a + k)))
+    found = joined.select("id", "firsts", offsets.alias("offsets")).select("id", starts.alias("starts"))
+    return found.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts")), texts.select("id", "text")
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13) -> DataFrame:
