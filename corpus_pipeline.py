@@ -14,7 +14,7 @@ from lodestrand.llm import exact_dedup, language, near_dedup, packing, secrets
 from lodestrand.llm.common import documents, stored
 
 #: A document goes if its language is undetermined, or if fewer of its 4-grams than this are known to the best language.
-LEAST_KNOWN = 0.1
+LEAST_KNOWN = 0.02
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
