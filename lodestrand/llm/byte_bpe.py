@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import arrow_map, documents, id_and_text, texts
+from lodestrand.llm.common import HELD, arrow_map, documents, id_and_text, texts
 from lodestrand.llm.perfect_hash import PerfectHash
 
 REMEMBERED = 300_000
@@ -133,6 +133,7 @@ class Coder:
 
 
 _CODERS: dict[tuple[str, str], Coder] = {}
+HELD["coder"] = _CODERS.clear
 
 
 def coder(path: str, pattern: str) -> Coder:
@@ -151,7 +152,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in made]))).astype(np.int32)
         return {"id": batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(made), "<i4")))}
 
-    return arrow_map(id_and_text(df, id_col, text_col), each, "id long, ids array<int>")
+    return arrow_map(id_and_text(df, id_col, text_col), each, "id long, ids array<int>", keeps="coder")
 
 
 def decode(df: DataFrame, ids_col: str = "ids", as_col: str = "decoded", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -41,8 +41,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], dict[str, object]], schema: str, mb: int = 4) -> DataFrame:
-    """mapInArrow in which `each` gets batches of about `mb` MB, so that a task's memory doesn't follow the length of texts."""
+#: What workers keep from task to task, by name: how to drop it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def release(keeps: str | None = None) -> None:
+    """Drops what other operators have left in this worker process."""
+    for name, drop in HELD.items():
+        if name != keeps:
+            drop()
+
+
+def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], dict[str, object]], schema: str, mb: int = 4, keeps: str | None = None) -> DataFrame:
+    """mapInArrow in which `each` gets batches of about `mb` MB, so that a task's memory doesn't follow the length of texts.
+
+    Workers live from task to task; what operators other than `keeps` have remembered in one is dropped first.
+    """
     import pyspark.sql.types as T
 
     out = T.StructType.fromDDL(schema)
@@ -51,6 +65,7 @@ def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], dict[str, object]]
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keeps)
         for batch in batches:
             for part in parts(batch, mb << 20):
                 made = each(part)

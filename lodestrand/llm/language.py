@@ -66,7 +66,7 @@ def _slots(keys: np.ndarray) -> list[np.ndarray]:
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     keep, width = np.uint64((1 << SLOTS_LOG2) - 1), np.uint64(SLOTS_LOG2)
-    return [((x >> (width * np.uint64(k))) & keep).astype(np.int64) for k in range(HASHES)]
+    return [((x >> (width * np.uint64(k))) & keep).astype(np.int32) for k in range(HASHES)]
 
 
 def build(sets: dict[str, np.ndarray]) -> Model:
@@ -101,7 +101,7 @@ def learn(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
             out["n"].append(n)
         return {"lang": out["lang"], "gram": pa.array(np.concatenate(out["gram"])), "n": pa.array(np.concatenate(out["n"]))}
 
-    counted = arrow_map(chosen, each, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = arrow_map(chosen, each, "lang string, gram long, n long", mb=1).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counted.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("k") <= keep)
     sets: dict[str, list[int]] = {lang: [] for lang in counts}
     for r in top.select("lang", "gram").collect():  # `keep` rows a language at most
@@ -124,7 +124,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for plane, table in enumerate(model.masks):
             mask = table[slots[0]]
             for s in slots[1:]:
-                mask = mask & table[s]
+                mask &= table[s]
             for k in range(min(8, len(names) - 8 * plane)):
                 total = np.concatenate(([0], np.cumsum(mask >> k & 1, dtype=np.int64)))
                 hits[8 * plane + k] = total[end] - total[begin]
@@ -142,7 +142,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             "score": pa.array(score), "known": pa.array(np.where(some, np.minimum(top / many, 1.0), 0.0)),
         }
 
-    return arrow_map(id_and_text(df, id_col, text_col), each, "id long, lang_pred string, score double, known double")
+    return arrow_map(id_and_text(df, id_col, text_col), each, "id long, lang_pred string, score double, known double", mb=1)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -31,15 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import arrow_map, documents, id_and_text, texts
+from lodestrand.llm.common import HELD, arrow_map, documents, id_and_text, texts
 
-#: Bytes of a chunk, and table entries (8 bytes each) at which a worker drops what it has compiled and begins again.
-CHUNK, ENTRIES = 256, 18_000_000
+#: Bytes of a chunk, and states at which a worker drops what it has compiled and begins again.
+CHUNK, STATES = 256, 240_000
 SPACE, LETTER, DIGIT, OTHER, MARK = range(5)  # kinds of characters; MARK stands for a special token's string
 _WS = "\t-\r \x85\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
 _SPACES = re.compile(f"[{_WS}]")
+_BEYOND = re.compile("[\u1c89-\U0010ffff]")  # where letters newer than Python's tables begin
 
 
 def default_vocabulary() -> str:
@@ -86,7 +87,6 @@ class Transducer:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merge = {(number(a), number(b)): (k, number(a + b)) for k, (a, b) in enumerate(merges)}
         self.real = [True] * len(self.tokens)  # does BPE make the token from its own bytes?
-        self.ok: dict[tuple[int, int], bool] = {}
         # a trie of the tokens, each node with its parent's longest suffix node (as in multi-pattern search)
         self.child: list[dict[int, int]] = [{}]
         self.depth, self.token_at = [0], [-1]
@@ -132,44 +132,63 @@ class Transducer:
 
     def reset(self) -> None:
         """Forgets all compiled states."""
+        self.ok: dict[tuple[int, int], bool] = {}
         start = (0, ((-1, 0),))
         self.number: dict[tuple, int] = {start: 0}
         self.state: list[tuple] = [start]
-        self.column = np.full(512, -1, np.int32)  # of the symbols met so far
-        self.symbol: list[int] = []
-        self.next, self.emit = np.full((1024, 64), -1, np.int32), np.zeros((1024, 64), np.int16)
-        self.last = np.zeros((1024, 64), np.uint16 if len(self.tokens) < 65_536 else np.int32)  # the token that ends with the symbol
-
-    def columns(self, symbols: np.ndarray) -> np.ndarray:
-        """The table's column of each symbol; new ones are added."""
-        for s in np.flatnonzero(np.bincount(symbols, minlength=512) > 0).tolist():
-            if self.column[s] < 0:
-                self.column[s] = len(self.symbol)
-                self.symbol.append(s)
-        if len(self.symbol) > self.next.shape[1]:
-            more = (len(self.next), -(-len(self.symbol) // 64) * 64 - self.next.shape[1])
-            self.next = np.hstack((self.next, np.full(more, -1, np.int32)))
-            self.emit = np.hstack((self.emit, np.zeros(more, np.int16)))
-            self.last = np.hstack((self.last, np.zeros(more, self.last.dtype)))
-        return self.column[symbols]
+        self.table(1 << 16)
+        self.filled = 0
+
+    def table(self, size: int) -> None:
+        """Transitions by code (state * 512 + symbol) in an open-addressing table: next state, tokens more, the token that ends with the symbol."""
+        self.shift = np.uint64(64 - size.bit_length() + 1)
+        self.code = np.full(size, -1, np.int64)
+        self.next, self.emit = np.zeros(size, np.int32), np.zeros(size, np.int16)
+        self.last = np.zeros(size, np.uint16 if len(self.tokens) < 65_536 else np.int32)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each code's slot (or the free slot where its search ended), and which ones are missing."""
+        at = ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        there = self.code[at]
+        other = np.flatnonzero((there != codes) & (there >= 0))
+        while len(other):
+            at[other] = (at[other] + 1) & (len(self.code) - 1)
+            there[other] = self.code[at[other]]
+            other = other[(there[other] != codes[other]) & (there[other] >= 0)]
+        return at, there < 0
+
+    def slots(self, codes: np.ndarray, bounded: bool) -> np.ndarray:
+        """The slots of codes; missing transitions are compiled first."""
+        at, missing = self.find(codes)
+        if missing.any():
+            self.compile(np.unique(codes[missing]), bounded)
+            at, _ = self.find(codes)
+        return at
 
     def compile(self, codes: np.ndarray, bounded: bool) -> None:
-        """Adds the transitions at the given table entries that are still missing."""
-        width = self.next.shape[1]
-        for code in np.unique(codes).tolist():
-            s, c = divmod(code, width)
-            to, more, last = self._step(self.state[s], self.symbol[c])
+        """Adds transitions that are not there yet."""
+        if bounded and len(self.state) > STATES:
+            raise Full
+        made = []
+        for code in codes.tolist():
+            to, more, last = self._step(self.state[code >> 9], code & 511)
             if to not in self.number:
                 self.number[to] = len(self.state)
                 self.state.append(to)
-                if len(self.state) > len(self.next):
-                    if bounded and self.next.size * 5 // 4 > ENTRIES:
-                        raise Full
-                    size = (len(self.next) // 4, width)
-                    self.next = np.vstack((self.next, np.full(size, -1, np.int32)))
-                    self.emit = np.vstack((self.emit, np.zeros(size, np.int16)))
-                    self.last = np.vstack((self.last, np.zeros(size, self.last.dtype)))
-            self.next[s, c], self.emit[s, c], self.last[s, c] = self.number[to], more, last
+            made.append((self.number[to], more, last))
+        add = codes, *(np.array(x) for x in zip(*made, strict=True))
+        self.filled += len(codes)
+        if self.filled * 5 > len(self.code) * 2:
+            old = self.code >= 0
+            add = tuple(np.concatenate(x) for x in zip(add, (self.code[old], self.next[old], self.emit[old], self.last[old]), strict=True))
+            self.table(len(self.code) * 4)
+        codes, rest = add[0], np.arange(len(add[0]))
+        while len(rest):  # of those that want one free slot, one gets it
+            at, _ = self.find(codes[rest])
+            _, first = np.unique(at, return_index=True)
+            at, now = at[first], rest[first]
+            self.code[at], self.next[at], self.emit[at], self.last[at] = codes[now], add[1][now], add[2][now], add[3][now]
+            rest = np.delete(rest, first)
 
     def _step(self, state: tuple, symbol: int) -> tuple[tuple, int, int]:
         """state: (trie node, for each of the places from the node's begin to now: (last token or -1 at a word's begin or None, tokens less now's))."""
@@ -204,6 +223,7 @@ class Transducer:
 
 
 _MADE: dict[str, Transducer] = {}
+HELD["transducer"] = _MADE.clear
 
 
 def transducer(path: str) -> Transducer:
@@ -252,7 +272,7 @@ def normal(text: str) -> str:
     if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFC", text)
-    if max(text, default="") > "\u1c88":
+    if _BEYOND.search(text):
         kinds()
         text = text.translate(_NEWER)
     return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
@@ -292,21 +312,16 @@ def words(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return body[keep], ends, starts
 
 
-def run(machine: Transducer, columns: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+def run(machine: Transducer, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
     """Runs lanes of symbols side by side from the given states: (states, tokens) at their ends."""
     order = np.argsort(-length, kind="stable")
-    by_length, at, s = length[order], begin[order].copy(), state[order].copy()
+    by_length, at, s = length[order], begin[order].copy(), state[order].astype(np.int64)
     total = np.zeros(len(order), np.int64)
     live = np.searchsorted(-by_length, -np.arange(int(by_length[0]) if len(order) else 0), side="left")
-    width = machine.next.shape[1]
     for n in live:
-        code = s[:n] * width + columns[at[:n]]
-        to = machine.next.reshape(-1)[code]
-        if (to < 0).any():
-            machine.compile(code[to < 0], bounded)
-            to = machine.next.reshape(-1)[code]
-        total[:n] += machine.emit.reshape(-1)[code]
-        s[:n] = to
+        slot = machine.slots(s[:n] * 512 + symbols[at[:n]], bounded)
+        total[:n] += machine.emit[slot]
+        s[:n] = machine.next[slot]
         at[:n] += 1
     states, tokens = np.zeros(len(order), np.int32), np.zeros(len(order), np.int64)
     states[order], tokens[order] = s, total
@@ -317,20 +332,15 @@ def encoded(machine: Transducer, words: list[bytes]) -> list[bytes]:
     """The ids of whole words (little-endian unsigned 32-bit): the transducer's last tokens, read from each word's end backwards."""
     size = np.array([len(w) for w in words], np.int64)
     stop = np.cumsum(size)
-    symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
+    symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
     symbols[stop - 1] += 256
-    columns = machine.columns(symbols)
     order = np.argsort(-size, kind="stable")
-    by_length, at, s = size[order], (stop - size)[order], np.zeros(len(words), np.int32)
-    last, width = np.zeros(len(symbols), np.int32), machine.next.shape[1]
+    by_length, at, s = size[order], (stop - size)[order], np.zeros(len(words), np.int64)
+    last = np.zeros(len(symbols), np.int32)
     for n in np.searchsorted(-by_length, -np.arange(int(by_length[0])), side="left"):
-        code = s[:n] * width + columns[at[:n]]
-        to = machine.next.reshape(-1)[code]
-        if (to < 0).any():
-            machine.compile(code[to < 0], len(words) > 1)
-            to = machine.next.reshape(-1)[code]
-        last[at[:n]] = machine.last.reshape(-1)[code]
-        s[:n] = to
+        slot = machine.slots(s[:n] * 512 + symbols[at[:n]], len(words) > 1)
+        last[at[:n]] = machine.last[slot]
+        s[:n] = machine.next[slot]
         at[:n] += 1
     if not hasattr(machine, "long"):
         machine.long, machine.id = np.array([len(t) for t in machine.tokens]), np.array(machine.ids, np.uint32)
@@ -356,7 +366,7 @@ def counted(machine: Transducer, batch: list[str], chunk: int = CHUNK, bounded:
     n = len(body)
     if not n:
         return np.zeros(len(batch), np.int64)
-    symbols = machine.columns(body.astype(np.int32) + 256 * ends)
+    symbols = body.astype(np.int64) + 256 * ends
     # chunks of equal size, cut again where a text begins so that sums can be told apart
     cuts = np.unique(np.concatenate((np.arange(0, n, chunk), starts[(starts < n)], [n])))
     begin, length = cuts[:-1], np.diff(cuts)
@@ -427,7 +437,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raw = texts(batch.column(1))
         return {"id": batch.column(0), "n_bytes": [len(t.encode()) for t in raw], "n_tokens": pa.array(count_batch(raw, path))}
 
-    return arrow_map(id_and_text(df, id_col, text_col), each, "id long, n_bytes long, n_tokens long", mb=2)
+    return arrow_map(id_and_text(df, id_col, text_col), each, "id long, n_bytes long, n_tokens long", mb=2, keeps="transducer")
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
