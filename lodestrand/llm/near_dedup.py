@@ -9,10 +9,12 @@ bands a pair at the threshold shares no bucket with a probability of 6e-7.
 No bucket is expanded into all pairs. Documents with equal sets are one class from the
 start (linked by definition, however many). In each bucket, all classes are first compared
 with one of them; linked ones form components. Only then, and only in buckets that still
-hold several components, the classes outside the bucket's largest component are compared
-with those of other components: a pair inside one component can't change anything, and
-every other pair of a bucket is looked at. Links are confirmed on the full sets, computed
-anew from whole texts.
+hold several components, the classes outside the bucket's largest component meet that
+component and each other: a pair inside one component can't change anything, and every
+other pair of a bucket is looked at. Bit sketches (min-max again, with many more
+permutations, drawn for these documents only) leave out pairs that are five standard
+deviations below the threshold. Links are confirmed on the full sets, computed anew from
+whole texts.
 
 Null texts and texts without words have an empty set and are linked with nothing, not even
 each other. A text with fewer words than a shingle has the whole sequence as its one
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from lodestrand.llm.common import arrow_map, documents, id_and_text, stored, utf8
 
 BANDS, ROWS = 36, 5
+#: Bits of the sketches by which pairs of different components are sifted before their full sets are compared.
+BITS = 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,6 +98,34 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return arrow_map(id_and_text(df, id_col, text_col), each, "id long, n long, same binary, bands array<long>", mb=1)
 
 
+def sketches(texts: DataFrame, words: int) -> DataFrame:
+    """id and BITS bits in long columns: a bit each of the least and the greatest element under each permutation. Bits agree with probability (1 + similarity) / 2."""
+    names = [f"s{k}" for k in range(BITS // 64)]
+
+    def each(batch: pa.RecordBatch) -> dict[str, object]:
+        sets = [shingles(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        at = np.cumsum([len(s) for s in sets]) - [len(s) for s in sets]
+        joined = np.concatenate(sets)
+        bits = np.empty((len(sets), BITS), np.uint8)
+        for k, (a, b) in enumerate(zip(*_permutations(BITS // 2), strict=True)):
+            x = joined * a
+            x ^= x >> np.uint64(31)
+            x += b
+            x *= _MIX
+            bits[:, 2 * k] = _mixed(np.minimum.reduceat(x, at)) & np.uint64(1)
+            bits[:, 2 * k + 1] = _mixed(np.maximum.reduceat(x, at)) & np.uint64(1)
+        packed = np.packbits(bits, axis=1).view(np.int64)
+        return {"id": batch.column(0), **{c: pa.array(np.ascontiguousarray(packed[:, k])) for k, c in enumerate(names)}}
+
+    return arrow_map(texts.select("id", "text"), each, ", ".join(["id long", *(f"{c} long" for c in names)]), mb=1)
+
+
+def _most_different(similarity: float, deviations: float = 5.0) -> int:
+    """Bits in which sets at the threshold differ at most, but for a chance of 3e-7."""
+    p = (1 - similarity) / 2
+    return int(BITS * p + deviations * (BITS * p * (1 - p)) ** 0.5)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -155,15 +187,23 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     texts = stored(raw.join(ids, "id", "left_semi"), "texts")
     first = stored(_confirmed(stars, texts, words, percent), "links")
     label = components(first)
-    # buckets that hold several components still: what is outside the largest one meets the rest
+    # buckets that hold several components still: what is outside the largest one meets that component, and the others outside
     placed = member.join(label, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("bucket", F.col("largest.component").alias("largest"))
-    mixed = stored(placed.join(mixed, "bucket"), "mixed")
-    outside = mixed.filter("component <> largest").select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c"))
-    inside = mixed.select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("d"))
-    pairs = outside.join(inside, "bucket").filter(F.col("c") != F.col("d")).filter(_similar_size(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stored(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("bucket", F.col("largest.component").alias("largest"))
+    outside = stored(placed.join(largest, "bucket").filter("component <> largest"), "outside")
+    whole = stored(placed.select("id", "n", "component").distinct().join(outside.select(F.col("largest").alias("component")).distinct(), "component", "left_semi"), "whole")
+    needed = whole.select("id").union(outside.select("id")).distinct()
+    drawn = stored(sketches(texts.join(needed, "id", "left_semi"), words), "sketches")
+    names = drawn.columns[1:]
+    side = lambda df, k, *more: df.join(drawn, "id").select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("component").alias(f"c_{k}"), *more, *[F.col(c).alias(f"{c}_{k}") for c in names])
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in names[1:]), F.bit_count(F.col(f"{names[0]}_a").bitwiseXOR(F.col(f"{names[0]}_b"))))
+    likely = (F.col("c_a") != F.col("c_b")) & _similar_size(percent) & (differ <= _most_different(percent / 100))
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    left = side(outside.select("id", "n", "component", "largest").distinct(), "a", F.col("largest").alias("at"))
+    with_largest = left.join(side(whole, "b", F.col("component").alias("at")), "at").filter(likely).select(*ordered)
+    others = side(outside, "a", "bucket").join(side(outside, "b", "bucket"), "bucket").filter((F.col("a") < F.col("b")) & likely).select(*ordered)
+    pairs = stored(with_largest.union(others).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     second = stored(_confirmed(pairs, texts, words, percent), "links")
     if not second.isEmpty():
         label = components(first.union(second))
