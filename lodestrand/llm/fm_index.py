@@ -60,8 +60,11 @@ class FmIndex:
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))
         self.bwt = WaveletMatrix(bwt.astype(np.int64), max(1, int(sigma - 1).bit_length()))
 
-    def statistics(self, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics at the given ends (exclusive) of streamed text: how many symbols before it occur in a row in the index (`most` at most, never over a 0), and their interval."""
+    def statistics(self, text: np.ndarray, ends: np.ndarray, most: int, stop_alone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics at the given ends (exclusive) of streamed text: how many symbols before it occur in a row in the index (`most` at most, never over a 0), and their interval.
+
+        stop_alone: a search ends where one occurrence is left.
+        """
         lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.order), np.int64)
         length, live = np.zeros(len(ends), np.int64), np.arange(len(ends))
         for k in range(most):
@@ -76,6 +79,8 @@ class FmIndex:
             live, a, b = live[some], a[some], b[some]
             lo[live], hi[live] = a, b
             length[live] += 1
+            if stop_alone:
+                live = live[b - a > 1]
         return length, lo, hi
 
 

@@ -104,8 +104,8 @@ def _search(table: pa.Table, size: int) -> pa.Table:
     windows = n - size + 1
     which = np.repeat(np.arange(len(split)), windows)
     offset = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-    length, lo, hi = index.statistics(text, at[which] + offset + size, size)
-    if (length < size).any():
+    length, lo, hi = index.statistics(text, at[which] + offset + size, size, stop_alone=True)  # alone: only the window itself is left
+    if ((length < size) & (hi - lo > 1)).any():
         raise ValueError("a window is missing from its own index")
     least = range_minima(owner, lo, hi)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(windows))).astype(np.int32)), pa.array(least))
