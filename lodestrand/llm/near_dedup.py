@@ -34,7 +34,7 @@ from lodestrand.llm.common import arrow_map, documents, id_and_text, stored, utf
 
 BANDS, ROWS = 36, 5
 #: Bits of the sketches by which pairs of different components are sifted before their full sets are compared.
-BITS = 2048
+BITS = 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
