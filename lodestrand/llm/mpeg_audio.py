@@ -184,31 +184,34 @@ def _tag(data: bytes, out: Stream) -> int:
     return end + (10 if data[5] & 16 else 0)
 
 
-def _at(data: bytes, at: int, end: int) -> Header | None:
+def _at(data: bytes, at: int, end: int, tag: int) -> Header | None:
+    """The header at `at`; a frame over what may be a closing tag counts if the stream ends there or another frame follows."""
     if at + 4 > end:
         return None
     h = header(int.from_bytes(data[at : at + 4], "big"))
-    return h if h and at + h.length <= end else None
+    if h is None or at + h.length > end:
+        return None
+    over = at < tag < at + h.length < end
+    return None if over and _at(data, at + h.length, end, end) is None else h
 
 
 def read_stream(data: bytes) -> Stream:
     """Reads a stream; frames that don't follow one another are searched for behind the junk."""
     out = Stream()
     at, end = _tag(data, out), len(data)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        out.notes.setdefault("TIT2", data[end + 3 : end + 33].split(b"\0")[0].decode("latin-1").strip())
+    tag = end - 128 if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" else end  # a closing tag only if no frame holds these bytes
     start, first = at, True
     while at < end:
-        h = _at(data, at, end)
+        h = _at(data, at, end, tag)
         if h is None:
-            seen = at
-            while (at := data.find(b"\xff", at + 1, end)) >= 0:  # a header counts if another follows its frame or the stream ends there
-                h = _at(data, at, end)
-                if h and (at + h.length == end or _at(data, at + h.length, end)):
+            seen, stop = at, tag if at <= tag else end
+            while (at := data.find(b"\xff", at + 1, stop)) >= 0:  # a header counts if another follows its frame or the stream ends there
+                h = _at(data, at, end, tag)
+                if h and (at + h.length in (tag, end) or _at(data, at + h.length, end, tag)):
                     break
             if at < 0:
-                out.junk += end - seen
+                out.junk += stop - seen
+                end = stop
                 break
             out.junk += at - seen
             out.resyncs += 1
@@ -236,6 +239,8 @@ def read_stream(data: bytes) -> Stream:
             out.main.append(data[main : at + h.length])
         first = False
         at += h.length
+    if end < len(data):
+        out.notes.setdefault("TIT2", data[end + 3 : end + 33].split(b"\0")[0].decode("latin-1").strip())
     if out.table_frames is not None:
         n = len(out.offsets)
         right = n == out.table_frames and out.table_bytes in (None, end - start)

@@ -143,6 +143,28 @@ def test_damaged_streams():
     assert whole.notes == {"a": "é"}
 
 
+def test_payloads_that_look_like_a_closing_tag(spark):
+    rows = [(n, "x" * at + "TAG" + "y" * (n - at - 3)) for n, at in ((65, 29), (128, 29), (100, 29))]
+    for n in (64, 1000, 1417, 5000):  # TAG everywhere, and so 128 bytes before the end
+        rows += [(10 * n + k, ("TAG" * n)[k : n + k]) for k in range(3)]
+    for r in mpeg_audio.read_media(mpeg_audio.to_media(spark.createDataFrame(rows, "doc_id long, text string"))).collect():
+        b = dict(rows)[r["id"]].encode()
+        assert bytes(r["payload"]) == b.ljust(-(-len(b) // 64) * 64, b"\0") and r["features"]["junk_bytes"] == 0 and r["features"]["table_right"]
+
+
+def test_closing_tags():
+    payload = (b"TAG" * 2000)[:5888]
+    data = mpeg_audio.write_stream(payload, {})
+    tag = b"TAG" + b"Title".ljust(125, b"\0")
+    whole, tagged = mpeg_audio.read_stream(data), mpeg_audio.read_stream(data + tag)
+    assert b"".join(tagged.main) == b"".join(whole.main) and b"".join(whole.main)[:5888] == payload
+    assert tagged.notes == {"TIT2": "Title"} and whole.notes == {} and tagged.junk == 0 and tagged.table_right
+    last = whole.offsets[-1]
+    cut = mpeg_audio.read_stream(data[: last + 60] + tag)  # a last frame that breaks off before the tag
+    assert cut.notes == {"TIT2": "Title"} and cut.junk == 60 and cut.offsets == whole.offsets[:-1]
+    assert mpeg_audio.read_stream(tag).notes == {"TIT2": "Title"}
+
+
 def test_header_lengths_of_known_frames():
     assert mpeg_audio.header(0xFFFB9064).length == 417 and mpeg_audio.header(0xFFFB9264).length == 418  # 128 kbit/s at 44.1 kHz without and with padding
     assert mpeg_audio.header(0xFFF38064).samples == 576 and mpeg_audio.header(0xFFFFFFFF) is None
