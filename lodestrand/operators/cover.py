@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrand.sources.scratch import cut
+from lodestrand.sources.scratch import cut, folder
 
 
 def greedy_cover(pairs: DataFrame, costs: DataFrame) -> DataFrame:
     """(step, candidate, cost, gained): the cheapest candidate by newly covered element, ties by name, until all is covered.
 
-    pairs: (candidate, element); costs: (candidate, cost). One row a round reaches the driver.
+    pairs: (candidate, element); costs: (candidate, cost). A round settles every candidate that comes before all others that
+    share an element with it: what these gain can only fall, so none of them is picked earlier, and picks come in the order of
+    cost by gain, then name. Picks are appended to a table; no row reaches the driver.
     """
     spark = pairs.sparkSession
-    left, picks = cut(pairs.join(costs, "candidate").distinct(), "cover"), []
+    picks = f"{folder(spark)}/picks-{uuid.uuid4().hex}"
+    left = cut(pairs.join(costs, "candidate").distinct(), "cover")
     while True:
-        best = left.groupBy("candidate", "cost").agg(F.count(F.lit(1)).alias("gained")).orderBy(F.col("cost") / F.col("gained"), "candidate").first()
-        if best is None:
-            return spark.createDataFrame(picks, "step int, candidate string, cost long, gained long")
-        picks.append((len(picks) + 1, best["candidate"], best["cost"], best["gained"]))
-        done = left.filter(F.col("candidate") == best["candidate"]).select("element")
-        left = cut(left.join(done, "element", "left_anti"), "cover")
+        gains = left.groupBy("candidate", "cost").agg(F.count(F.lit(1)).alias("gained")).withColumn("by_gain", F.col("cost") / F.col("gained"))
+        keyed = left.select("candidate", "element", F.col("cost").alias("own")).join(gains, "candidate").filter("own <=> cost")
+        first = cut(keyed.groupBy("element").agg(F.min(F.struct("by_gain", "candidate", "cost", "gained")).alias("m")).select("element", "m.*"), "cover")
+        won = first.groupBy("by_gain", "candidate", "cost", "gained").agg(F.count(F.lit(1)).alias("n")).filter("n = gained").drop("n")
+        won.write.mode("append").parquet(picks)
+        if first.isEmpty():
+            break
+        done = first.join(won.select("candidate"), "candidate").select(F.col("element").alias("covered"))
+        left = cut(left.join(done, F.col("element").eqNullSafe(F.col("covered")), "left_anti"), "cover")
+    ranged = cut(spark.read.schema(won.schema).parquet(picks).repartitionByRange("by_gain", "candidate").withColumn("part", F.spark_partition_id()), "cover")
+    before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    step = F.row_number().over(W.partitionBy("part").orderBy("by_gain", "candidate")) + F.col("before")
+    return ranged.join(before, "part").select(step.cast("int").alias("step"), "candidate", F.col("cost").cast("long").alias("cost"), "gained")
 
 
 def dominated(pairs: DataFrame, costs: DataFrame) -> DataFrame:

@@ -188,9 +188,13 @@ def pictures(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), made["numeric"].alias("is_numeric"), *[made[c].alias(c) for c in ("signed", "digits", "scale", "length")])
 
 
-def _cover(spark, d):
+#: The lineitem rows that the SQL of cover_dominated and cover_penalties asks for; cover_greedy, which has no SQL, takes all.
+_ROWS = "l_linenumber = 1 AND l_quantity > 47"
+
+
+def _cover(spark, d, rows="true"):
     t = lambda n: table(spark, d, n)
-    pairs = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).filter("l_linenumber = 1 AND l_quantity > 47").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("candidate"), F.concat_ws("/", "p_brand", "p_type").alias("element")).distinct()
+    pairs = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).filter(rows).select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("candidate"), F.concat_ws("/", "p_brand", "p_type").alias("element")).distinct()
     costs = t("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("candidate"), (F.col("s_suppkey") % 3 + 1).alias("cost"))
     return pairs, costs
 
@@ -207,13 +211,13 @@ def cover_greedy(spark, d):
 SELECT DISTINCT a.candidate FROM z a JOIN z b ON a.candidate <> b.candidate AND b.cost <= a.cost AND (b.n > a.n OR b.cost < a.cost OR b.candidate < a.candidate)
 WHERE NOT EXISTS (SELECT 1 FROM pairs x WHERE x.candidate = a.candidate AND NOT EXISTS (SELECT 1 FROM pairs y WHERE y.candidate = b.candidate AND y.element = x.element))""")
 def cover_dominated(spark, d):
-    return cover.dominated(*_cover(spark, d))
+    return cover.dominated(*_cover(spark, d, _ROWS))
 
 
 @query(f"""WITH {_PAIRS}, p AS (SELECT sum(cost) + 1 AS p FROM costs), t AS (SELECT a.candidate AS i, b.candidate AS j, CASE WHEN a.candidate = b.candidate THEN -p ELSE 2 * p END AS v FROM pairs a JOIN pairs b ON a.element = b.element AND a.candidate <= b.candidate, p UNION ALL SELECT candidate, candidate, cost FROM costs)
 SELECT i, j, CAST(sum(v) AS BIGINT) AS v FROM t GROUP BY i, j HAVING sum(v) <> 0""")
 def cover_penalties(spark, d):
-    return cover.cover_qubo(*_cover(spark, d))
+    return cover.cover_qubo(*_cover(spark, d, _ROWS))
 
 
 def _quadratic(spark, d):

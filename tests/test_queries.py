@@ -1,11 +1,13 @@
 """Every query of the library's own operators against its SQL on the smallest tables."""
 
 import os
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
 
+from lodestrand.operators import cover
 from lodestrand.plans import business, evidence, programs
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -51,3 +53,24 @@ def test_greedy_cover_against_brute_force(spark):
         left = {c: s - gone for c, s in left.items()}
     got = [(r["candidate"], r["gained"]) for r in business.cover_greedy(spark, DATA).orderBy("step").collect()]
     assert got == want
+
+
+def test_greedy_cover_takes_all_rows(spark, db):
+    [(n,)] = db.sql("SELECT count(DISTINCT (p_brand, p_type)) FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey").fetchall()
+    assert sum(r["gained"] for r in business.cover_greedy(spark, DATA).collect()) == n
+
+
+def test_greedy_cover_in_rounds(spark):
+    r = random.Random(5)
+    pairs = [(f"c{r.randrange(60)}", f"e{r.randrange(40) + 40 * (k % 3)}") for k in range(300)]
+    pairs += [("null", None), ("c1", None)]
+    price = {c: r.randint(1, 4) for c, _ in pairs}
+    left, want = {c: {e for x, e in pairs if x == c} for c in price}, []
+    while any(left.values()):
+        best = min((c for c in left if left[c]), key=lambda c: (price[c] / len(left[c]), c))
+        want.append((len(want) + 1, best, price[best], len(left[best])))
+        gone = set(left[best])
+        left = {c: s - gone for c, s in left.items()}
+    df = spark.createDataFrame(pairs, "candidate string, element string")
+    assert [tuple(x) for x in cover.greedy_cover(df, spark.createDataFrame(list(price.items()), "candidate string, cost long")).orderBy("step").collect()] == want
+    assert cover.greedy_cover(df.limit(0), spark.createDataFrame([("a", 1)], "candidate string, cost long")).count() == 0
