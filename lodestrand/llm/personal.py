@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lodestrand.llm.common import arrow_map, documents, id_and_text, utf8
 
 KINDS = ("email", "ip", "card", "phone")
-#: Longest segment in tokens, longest stretch, and log odds from which a span is added.
+#: Longest segment in tokens, longest stretch of training and tokens of a decoding step, and log odds from which a span is added.
 MOST, STRETCH, SURE = 14, 160, 2.0
 #: Bounds of training: documents that are read for it (chosen by a hash), stretches, passes over them.
 SAMPLE, STRETCHES, PASSES = 4000, 800, 6
@@ -92,7 +92,7 @@ def stretches(text: str) -> list[list[tuple[int, int]]]:
     for a, b in out:
         tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, a, b)]
         if sum(text[s].isdigit() for s, _ in tokens) >= 3 or "@" in text[a:b] or re.search(r"\b(?:dot|DOT)\b", text[a:b]):
-            made += [tokens[k : k + STRETCH] for k in range(0, len(tokens), STRETCH)]
+            made.append(tokens)
     return made
 
 
@@ -190,30 +190,36 @@ def train(examples: list[tuple[str, list[tuple[int, int]], list[tuple[int, int,
     return {f: round(w, 4) for f, w in weights.items() if abs(w) > 1e-3}
 
 
-def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, float]) -> list[tuple[int, int, int]]:
-    """The best segmentation's entities that are sure enough: (kind, start, end)."""
-    lattice = segments(text, tokens)
-    if all(s[2] < 0 for s in lattice):
-        return []
-    score = _scores(lattice, weights)
+def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, float], block: int = STRETCH) -> list[tuple[int, int, int]]:
+    """The best segmentation's entities that are sure enough: (kind, start, end).
+
+    The lattice is made for `block` first tokens at a time and scores are carried on, so that entities may lie over block ends.
+    """
     n = len(tokens)
     none = [0.0] * (n + 1)  # the score of no entity up to a token
-    for s, (i, j, k, _) in enumerate(lattice):
-        if k < 0:
-            none[j] = score[s]
-    for i in range(n):
-        none[i + 1] += none[i]
-    best, how = [0.0] + [-math.inf] * n, [-1] * (n + 1)
-    for s in sorted(range(len(lattice)), key=lambda s: lattice[s][1]):
-        i, j, k, _ = lattice[s]
-        v = best[i] + score[s]
-        if k >= 0 and score[s] - (none[j] - none[i]) < SURE:
+    best, how = [0.0] + [-math.inf] * n, [(-1, -1)] * (n + 1)
+    reach = 0  # where the last segment ends that was begun before a block
+    for lo in range(0, n, block):
+        hi, base = min(n, lo + block), max(0, lo - 1)
+        lattice = [(i + base, j + base, k, f) for i, j, k, f in segments(text, tokens[base : min(n, hi + MOST)]) if i + base >= lo]
+        if reach <= lo and all(k < 0 for i, _, k, _ in lattice if i < hi):  # no segment lies over the block's ends, so its score is the same for all segmentations
+            best[hi], how[lo + 1 : hi + 1] = best[lo], [(i, -1) for i in range(lo, hi)]
             continue
-        if v > best[j]:
-            best[j], how[j] = v, s
+        score = _scores(lattice, weights)
+        for s, (i, j, k, _) in enumerate(lattice):
+            if k < 0:
+                none[j] = none[i] + score[s]
+        for s, (i, j, k, _) in enumerate(lattice):
+            if i >= hi or k >= 0 and score[s] - (none[j] - none[i]) < SURE:
+                continue
+            v = best[i] + score[s]
+            if v > best[j]:
+                best[j], how[j] = v, (i, k)
+            if k >= 0:
+                reach = max(reach, j)
     out, j = [], n
     while j:
-        i, _, k, _ = lattice[how[j]]
+        i, k = how[j]
         if k >= 0:
             out.append((k, tokens[i][0], tokens[j - 1][1]))
         j = i
@@ -230,7 +236,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         out = {"key": [], "part": [], "spans": []}
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             spans = base_spans(text)
-            for tokens in stretches(text):
+            for tokens in (run[k : k + STRETCH] for run in stretches(text) for k in range(0, len(run), STRETCH)):
                 a, b = tokens[0][0], tokens[-1][1]
                 own = [x for k, s, e in spans if a <= s and e <= b for x in (k, s - a, e - a)]
                 out["key"].append(hash((i, a)) & 0x7FFFFFFF if i is not None else a)

@@ -95,6 +95,37 @@ def test_the_field_learns_numbers_without_a_plus():
     assert [x for s in personal.stretches(t) for x in personal.decode(t, s, weights)] == []
 
 
+def _phone_weights():
+    r = random.Random(1)
+    examples = []
+    for k in range(120):
+        t = f"please call +1 ({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)} soon" if k % 2 else f"the sum of {r.randint(1, 999)} and {r.randint(1, 99)} and {r.randint(1, 9)} rose"
+        examples += [(t, tokens, personal.base_spans(t)) for tokens in personal.stretches(t)]
+    return personal.train(examples)
+
+
+def test_added_spans_at_every_place_of_a_long_stretch():
+    weights = _phone_weights()
+    words = "the sum of 12 and 7 and 5 rose".split()
+    for n in range(145, 165):
+        head = " ".join(words[k % len(words)] for k in range(n))
+        t = f"{head} please call 1 (212) 555-0199 soon {head}"
+        [tokens] = personal.stretches(t)
+        assert [(k, t[a:b]) for k, a, b in personal.decode(t, tokens, weights)] == [(3, "1 (212) 555-0199")]
+
+
+def test_decoding_step_by_step_changes_nothing():
+    weights, r, found = _phone_weights() | {"1:bias": 1.5, "2:bias": 1.0}, random.Random(8), 0
+    for _ in range(60):
+        bits = ["please call", "1", "(212)", "555-0199", "soon", "10.0.0.7", "4111 1111 1111 1111", "the", "and", "+1 212", "of a longer kind of text without numbers in it"]
+        t = " ".join(r.choice(bits) for _ in range(r.randint(5, 60)))
+        for tokens in personal.stretches(t):
+            whole = personal.decode(t, tokens, weights, block=10_000)
+            found += len(whole)
+            assert all(personal.decode(t, tokens, weights, block=k) == whole for k in (1, 5, 17, 160))
+    assert found > 100
+
+
 def test_languages(spark, docs, empty):
     r = random.Random(2)
     forms = {"aa": ["tha", "ing", "wor", "ly"], "bb": ["schu", "ung", "ver", "ach"], "cc": ["ción", "ado", "que", "ños"]}
