@@ -20,6 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -262,8 +263,9 @@ def find_personal(df: DataFrame, weights: dict[str, float], id_col: str = "doc_i
         column = batch.column(1)
         body, at = utf8(column)
         seeds = np.concatenate(([0], np.cumsum((body - 48 < 10) | (body == 64), dtype=np.int64)))
+        worded = pc.fill_null(pc.match_substring_regex(column, r"\b(?:dot|DOT)\b"), False).to_numpy(zero_copy_only=False)
         rows: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-        for i in np.flatnonzero(seeds[at[1:]] > seeds[at[:-1]]):  # no span does without a digit or an at-sign
+        for i in np.flatnonzero((seeds[at[1:]] > seeds[at[:-1]]) | worded):  # no span does without a digit, an at-sign or, beside the word at, the word dot
             text = column[int(i)].as_py()
             base = base_spans(text)
             found = [(k, a, b, True) for k, a, b in base]

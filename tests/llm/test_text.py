@@ -126,6 +126,12 @@ def test_decoding_step_by_step_changes_nothing():
     assert found > 100
 
 
+def test_addresses_in_words_need_no_digit(spark):
+    rows = [(1, "write john at example dot com"), (2, "7, john at example dot com"), (3, "the dot"), (4, None), (5, "écrire john AT example DOT com"), (6, "anecdotes at home")]
+    got = {r["id"]: [(s["kind"], s["text"]) for s in r["spans"]] for r in personal.find_personal(spark.createDataFrame(rows, "doc_id long, text string"), {"0:bias": 1.0, "0:tokens:5": 9.0}).collect()}
+    assert got == {1: [("email", "john at example dot com")], 2: [("email", "john at example dot com")], 3: [], 4: [], 5: [("email", "john AT example DOT com")], 6: []}
+
+
 def test_languages(spark, docs, empty):
     r = random.Random(2)
     forms = {"aa": ["tha", "ing", "wor", "ly"], "bb": ["schu", "ung", "ver", "ach"], "cc": ["ción", "ado", "que", "ños"]}
