@@ -6,7 +6,8 @@ digests' home number; `fanout` partners that differ in this digit only exchange
 and merge what they get. Each round merges equal digests (Spark aggregates before and after
 the exchange, so a group of copies shrinks to one row per task at once) and keeps the best
 row. After log_fanout(partitions) rounds a digest is in its home partition alone. Only
-digests travel, never texts.
+digests travel, never texts. Spark's aggregation stands in for sorted runs and merging: a
+place is a grouping column, and each round a hash shuffle on place and digest.
 
 Kept rows are verified at every level: entries merge by SHA-256, length and a second 64-bit
 hash of the normalised text together, so rows that differ in any of them never meet.
