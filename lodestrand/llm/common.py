@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,18 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+def id_key(column: Column) -> dict[str, Column]:
+    """An id that may be null as two columns that are not."""
+    return {"_kept_id": F.coalesce(column.cast("long"), F.lit(0).cast("long")), "_kept_none": column.isNull()}
+
+
+def one_each(df: DataFrame, key: dict[str, Column], kept: DataFrame, also: list[Column], order: list[Column]) -> DataFrame:
+    """The rows of `df` whose key is in `kept`, with all their columns; of those with equal key and `also` the first by `order`."""
+    first = Window.partitionBy(*key, *also).orderBy(*order)
+    found = df.withColumns(key).join(kept, list(key), "left_semi")
+    return found.withColumn("_kept_first", F.row_number().over(first)).filter("_kept_first = 1").drop(*key, "_kept_first")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)

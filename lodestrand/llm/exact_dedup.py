@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import documents, id_and_text, stored
+from lodestrand.llm.common import documents, id_and_text, id_key, one_each, stored
 
 #: The characters that normalisation deletes: x20 and x09 to x0D.
 SPACES = " \t\n\u000b\u000c\r"
@@ -67,9 +67,13 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df` that stay, with all their columns; rows must have distinct ids."""
-    kept = exact_groups(df, id_col, text_col).filter("kept").select(F.col("id").alias("_kept_id"))
-    return df.join(kept, df[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of `df` that stay (one of each group), with all their columns; of rows that repeat the kept id, one."""
+    kept = exact_groups(df, id_col, text_col).filter("kept")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    digest = lambda c: {"_kept_digest": c}
+    key = id_key(F.col("id")) | digest(F.col("digest"))
+    own = id_key(F.col(id_col)) | digest(F.sha2(F.translate(text, SPACES, ""), 256))
+    return one_each(df, own, kept.select(*[c.alias(k) for k, c in key.items()]), [], [F.char_length(text).desc(), F.col(text_col)])
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

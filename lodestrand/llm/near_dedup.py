@@ -18,8 +18,8 @@ whole texts.
 
 Null texts and texts without words have an empty set and are linked with nothing, not even
 each other. A text with fewer words than a shingle has the whole sequence as its one
-shingle. Rows with one id are one document here (give distinct ids); rows with a null id
-stand alone. An empty table gives an empty result; other columns are left out.
+shingle. Rows with one id are one document here (give distinct ids; fully repeated rows are
+harmless); rows with a null id stand alone. An empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import arrow_map, documents, id_and_text, stored, utf8
+from lodestrand.llm.common import arrow_map, documents, id_and_text, id_key, one_each, stored, utf8
 
 BANDS, ROWS = 36, 5
 #: Bits of the sketches by which pairs of different components are sifted before their full sets are compared.
@@ -209,13 +209,15 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         label = components(first.union(second))
     by_class = classes.select("same", F.col("id").alias("class")).join(label.withColumnRenamed("id", "class"), "class", "left")
     out = signed.select("id", "n", "same").join(by_class, "same", "left")
-    return out.select("id", "n", F.coalesce("component", "class", "id").alias("component"), F.coalesce("class", "id").alias("class"))
+    own = lambda *c: F.when(F.col("id").isNotNull(), F.coalesce(*c, "id"))  # noqa: E731  a row without id is in no group
+    return out.select("id", "n", own("component", "class").alias("component"), own("class").alias("class"))
 
 
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, percent: int = 80) -> DataFrame:
-    """The rows of `df` that stay (one of each group, the smallest id), with all their columns."""
-    kept = near_groups(df, id_col, text_col, words, percent).filter("id <=> component").select(F.col("id").alias("_kept_id"))
-    return df.join(kept, df[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of `df` that stay (one of each group, the smallest id), with all their columns; of rows with equal id and text, one."""
+    kept = near_groups(df, id_col, text_col, words, percent).filter("id <=> component")
+    key = id_key(F.col("id"))
+    return one_each(df, id_key(F.col(id_col)), kept.select(*[c.alias(k) for k, c in key.items()]), [F.col(text_col)], [F.col(text_col)])
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:

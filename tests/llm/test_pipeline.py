@@ -1,7 +1,7 @@
 """The pipeline over a small folder, stage by stage."""
 
 import corpus_pipeline
-from lodestrand.llm import queries
+from lodestrand.llm import exact_dedup, near_dedup, queries
 
 
 def test_stages(spark, docs, tmp_path):
@@ -20,6 +20,23 @@ def test_stages(spark, docs, tmp_path):
     assert {r["doc_id"] for r in packed} == left[3].keys()
 
 
+def test_repeated_rows_and_rows_without_id(spark, docs):
+    one = docs.dropDuplicates(["doc_id"]).select("doc_id", "text", "lang")
+    text = {r["doc_id"]: r["text"] for r in one.collect()}
+    more = [(7, text[7], "en"), (7, text[7], "en"), (85, text[85], None), (None, text[7], "en"), (None, "quite another text of its own, with some words", "en"), (None, "quite another text of its own, with some words", "en"), (900, text[3], "en"), (85, text[3], "en")]
+    rows = one.union(spark.createDataFrame(more, one.schema))
+    exact = exact_dedup.keep_first(rows)
+    got = [(r["doc_id"], r["text"]) for r in exact.collect()]
+    assert exact.columns == rows.columns and len(got) == len(set(got)) == len({"".join((t or "").split()) for t in [*text.values(), *[m[1] for m in more]]})
+    assert {(7, text[7]), (85, text[85]), (None, more[4][1])} <= set(got) and not {(None, text[7]), (85, text[3]), (900, text[3])} & set(got)
+    near = near_dedup.keep_representatives(rows, words=5)
+    got = [(r["doc_id"], r["text"]) for r in near.collect()]
+    assert near.columns == rows.columns and len(got) == len(set(got))
+    assert {(7, text[7]), (85, text[85]), (None, text[7]), (None, more[4][1])} <= set(got)
+    alone = {r["doc_id"] for r in near_dedup.keep_representatives(one, words=5).collect()}
+    assert {k for k, _ in got} == alone | {None}
+
+
 def test_registered():
     assert {f"op{k}" for k in range(1, 11)} == {name.split("_")[0] for name in queries.queries()}
     assert set(queries.oracle_sql()) <= set(queries.queries()) and "pipeline" in corpus_pipeline.queries()
