@@ -3,9 +3,10 @@
 A text is cut into pre-tokens by the vocabulary's pattern. Tier one: a minimal perfect hash
 over the vocabulary gives the id of a pre-token that is a token itself. Tier two, for the
 misses: bytes in a linked list and a heap of possible merges, lowest rank first and
-leftmost among equals. Workers remember a bounded number of stretches (white space and what
-follows up to the next white space; no pre-token reaches across its ends), so that each is
-encoded once.
+leftmost among equals. Workers remember a bounded number of pre-tokens with their ids, and,
+under the vocabulary's own pattern, of stretches (white space and what follows up to the
+next white space; no pre-token of that pattern reaches across its ends); what was asked for
+last stays longest. Another pattern is applied to whole texts.
 
 Null and empty texts have no ids, and decode to nothing. Special tokens' strings are
 ordinary text. Repeated rows are encoded one by one; other columns are left out; an empty
@@ -15,18 +16,22 @@ table gives an empty result.
 from __future__ import annotations
 
 import base64
-import heapq
+import gc
 import re
+from heapq import heapify, heappop, heappush
+from itertools import chain, islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import HELD, arrow_map, documents, id_and_text, texts
+from lodestrand.llm.common import HELD, Memory, arrow_map, documents, id_and_text, texts
 from lodestrand.llm.perfect_hash import PerfectHash
 
-REMEMBERED = 300_000
+#: Entries of a generation of what a worker remembers.
+STRETCHES, PIECES = 80_000, 200_000
 #: White space as the pattern's \s has it.
 _WS = "\t-\r \x85\xa0  -     　"
 _STRETCH = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -69,58 +74,56 @@ class Coder:
         self.size = np.array([len(t) for t in by_id], np.int64)
         self.at = np.concatenate(([0], np.cumsum(self.size)))[:-1]
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
-        self.known: dict[str, bytes] = {}
+        self.by_stretch = pattern == default_pattern()
+        self.stretches, self.pieces = Memory(STRETCHES), Memory(PIECES)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        split = [_STRETCH.findall(t) for t in batch]
-        known = self.known
-        new = {s for parts in split for s in parts if s not in known}
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = {s for parts in split for s in parts}
-        if new:
-            self._learn(list(new))
-        get = known.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
-
-    def _learn(self, stretches: list[str]) -> None:
-        cut = [[p.encode() for p in self.pattern.findall(s)] for s in stretches]
-        distinct = list({p for parts in cut for p in parts})
-        ids: dict[bytes, bytes] = {}
-        for p, k in zip(distinct, self.whole.numbers(distinct).tolist(), strict=True):
-            if k >= 0 and self.stored[k] == p:
-                ids[p] = int(self.id[k]).to_bytes(4, "little")
-            else:
-                ids[p] = np.array(self.merged(p), "<i4").tobytes()
-        for s, parts in zip(stretches, cut, strict=True):
-            self.known[s] = b"".join(map(ids.__getitem__, parts))
-
-    def merged(self, piece: bytes) -> list[int]:
-        """Tier two: a heap over linked bytes. An entry is stale when one of its two parts has been merged since."""
-        n, ranks = len(piece), self.ranks
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        split = list(map((_STRETCH if self.by_stretch else self.pattern).findall, batch))
+        flat = list(chain.from_iterable(split))
+        found = self.stretches.of(flat, self._of_stretches) if self.by_stretch else self.pieces.of(flat, self._of_pieces)
+        out, at = [], 0
+        for parts in split:
+            out.append(b"".join(found[at : at + len(parts)]))
+            at += len(parts)
+        return out
+
+    def _of_stretches(self, stretches: list[str]) -> list[bytes]:
+        cut = list(map(self.pattern.findall, stretches))
+        found = iter(self.pieces.of(list(chain.from_iterable(cut)), self._of_pieces))
+        return [next(found) if len(parts) == 1 else b"".join(islice(found, len(parts))) for parts in cut]
+
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Tier one for all pre-tokens at once, tier two for its misses."""
+        raw = [p.encode() for p in pieces]
+        number = self.whole.numbers(raw)
+        one = self.id[number].astype("<i4").tobytes()
+        stored, merged = self.stored, self.merged
+        return [one[4 * i : 4 * i + 4] if k >= 0 and stored[k] == p else merged(p) for i, (p, k) in enumerate(zip(raw, number.tolist(), strict=True))]
+
+    def merged(self, piece: bytes) -> bytes:
+        """Tier two: a heap over linked bytes. Part i ends before stop[i] (0: merged into another) and follows part before[i]; an entry is stale when one of its two parts has been merged since."""
+        n, rank = len(piece), self.ranks.get
+        stop, before = list(range(1, n + 1)), list(range(-1, n))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = after[i] if end[i] else n
-            if not end[i] or j >= n or end[j] != stop:
+            _, i, end = heappop(heap)
+            j = stop[i]
+            if not j or j >= n or stop[j] != end:
                 continue
-            end[i], end[j] = stop, 0
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                k = end[after[i]]
-                if (r := ranks.get(piece[i:k])) is not None:
-                    heapq.heappush(heap, (r, i, k))
-            if before[i] >= 0 and (r := ranks.get(piece[before[i] : stop])) is not None:
-                heapq.heappush(heap, (r, before[i], stop))
-        out, i = [], 0
+            stop[i], stop[j] = end, 0
+            before[end] = i
+            if end < n and (r := rank(piece[i : stop[end]])) is not None:
+                heappush(heap, (r, i, stop[end]))
+            h = before[i]
+            if h >= 0 and (r := rank(piece[h:end])) is not None:
+                heappush(heap, (r, h, end))
+        ids, ranks, i = [], self.ranks, 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = after[i]
-        return out
+            ids.append(ranks[piece[i : stop[i]]])
+            i = stop[i]
+        return pack(f"<{len(ids)}i", *ids)
 
     def decode(self, ids: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids, and where each list's bytes begin; `lists`: where each list begins in ids."""
@@ -148,11 +151,15 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     path, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
-        made = coder(path, pattern).encode(texts(batch.column(1)))
+        gc.disable()  # many small objects, no cycles
+        try:
+            made = coder(path, pattern).encode(texts(batch.column(1)))
+        finally:
+            gc.enable()
         at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in made]))).astype(np.int32)
         return {"id": batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(made), "<i4")))}
 
-    return arrow_map(id_and_text(df, id_col, text_col), each, "id long, ids array<int>", keeps="coder")
+    return arrow_map(id_and_text(df, id_col, text_col), each, "id long, ids array<int>", mb=2, keeps="coder")
 
 
 def decode(df: DataFrame, ids_col: str = "ids", as_col: str = "decoded", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:

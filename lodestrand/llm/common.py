@@ -64,6 +64,36 @@ def release(keeps: str | None = None) -> None:
             drop()
 
 
+class Memory:
+    """What a worker has computed for keys, in two generations of at most `most` entries and a batch's new keys.
+
+    What a batch asks for is moved to the younger one; when that is full it becomes the older one, and what was not asked for since is dropped.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def of(self, keys: list, learn: Callable[[list], list]) -> list:
+        """The value of each key; `learn` is asked for those of new keys."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        found = list(map(young.get, keys))
+        gaps = [i for i, v in enumerate(found) if v is None]
+        if gaps:
+            new = []
+            for k in dict.fromkeys(map(keys.__getitem__, gaps)):
+                if (v := old.get(k)) is not None:
+                    young[k] = v
+                else:
+                    new.append(k)
+            if new:
+                young.update(zip(new, learn(new), strict=True))
+            for i in gaps:
+                found[i] = young[keys[i]]
+        return found
+
+
 def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], dict[str, object]], schema: str, mb: int = 4, keeps: str | None = None) -> DataFrame:
     """mapInArrow in which `each` gets batches of about `mb` MB, so that a task's memory doesn't follow the length of texts.
 
