@@ -1,13 +1,14 @@
 """Exact dedup by a tree-merge of digest runs.
 
-Every leaf partition holds a run of (digest, best row so far, count). Runs travel in rounds:
-the leaf number has base-`fanout` digits, and in round k a run is cut by digit k of its
-digests' home number; `fanout` partners that differ in this digit only exchange the cuts
-and merge what they get. Each round merges equal digests (Spark aggregates before and after
-the exchange, so a group of copies shrinks to one row per task at once) and keeps the best
-row. After log_fanout(partitions) rounds a digest is in its home partition alone. Only
-digests travel, never texts. Spark's aggregation stands in for sorted runs and merging: a
-place is a grouping column, and each round a hash shuffle on place and digest.
+Every leaf partition holds a run of (digest, best row so far, count). Runs travel in
+binomial rounds: in round k each partition deals its run to itself and to the one partner
+whose number differs in bit k only, by bit k of the digests' home partition. What a
+partition then has from both is sorted by digest, and equal neighbours are merged into one,
+with the best row and the sum of counts. After log2(partitions) rounds each digest is in
+its home partition alone. A group of copies, however large, halves its places each round and
+is merged on the way, so no partition ever gets more of it than two partners have left.
+Only digests travel, never texts, and the partition of each row is set directly, so that a
+round is one exchange and Spark adds none for the merge.
 
 Kept rows are verified at every level: entries merge by SHA-256, length and a second 64-bit
 hash of the normalised text together, so rows that differ in any of them never meet.
@@ -37,27 +38,26 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ).select("id", "chars", F.unhex(F.sha2("kept", 256)).alias("digest"), F.octet_length("kept").alias("size"), F.xxhash64("kept").alias("second"))
 
 
-def merged(leaves: DataFrame, fanout: int = 4, homes: int | None = None) -> DataFrame:
-    """One row for each digest: best (struct; its `id` stays) and count."""
-    homes = homes or max(fanout, leaves.rdd.getNumPartitions())
-    rounds = 1
-    while fanout**rounds < homes:
-        rounds += 1
+def merged(leaves: DataFrame, partitions: int | None = None) -> DataFrame:
+    """One row for each digest: best (struct; its `id` stays) and count. partitions: of the exchange (raised to a power of two), as many as leaves unless given."""
+    rounds = max(0, (partitions or leaves.rdd.getNumPartitions()) - 1).bit_length()
     key = ["digest", "size", "second"]
     best = F.struct((-F.col("chars")).alias("shorter"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))
-    home = F.pmod(F.col("second"), F.lit(fanout**rounds))
-    runs = leaves.select(*key, best.alias("best"), F.lit(1).cast("long").alias("count"), F.pmod(F.spark_partition_id(), F.lit(fanout**rounds)).cast("long").alias("place"))
-    for k in range(rounds):
-        digit = lambda x, w=fanout**k: F.pmod(F.floor(x / w), F.lit(fanout)) * w
-        moved = runs.withColumn("place", F.col("place") - digit(F.col("place")) + digit(home))
-        runs = moved.groupBy("place", *key).agg(F.min("best").alias("best"), F.sum("count").alias("count"))
+    place, home = F.pmod(F.spark_partition_id(), F.lit(1 << rounds)), F.pmod(F.col("second"), F.lit(1 << rounds)).cast("int")
+    runs = leaves.select(*key, best.alias("best"), F.lit(1).cast("long").alias("count"), place.cast("int").alias("place"))
+    for bit in (1 << k for k in range(rounds)):
+        partner = F.col("place").bitwiseAND(~bit).bitwiseOR(home.bitwiseAND(bit))
+        met = runs.withColumn("place", partner).repartitionById(1 << rounds, "place")
+        runs = met.sortWithinPartitions("place", *key).groupBy("place", *key).agg(F.min("best").alias("best"), F.sum("count").alias("count"))
+    if not rounds:
+        runs = runs.coalesce(1).groupBy("place", *key).agg(F.min("best").alias("best"), F.sum("count").alias("count"))
     return runs.drop("place")
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fanout: int = 4) -> DataFrame:
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of `df`: id, keep_id, group_size, kept, digest (hex). Of rows that repeat the kept id, all equal ones are kept."""
     leaves = stored(digests(df, id_col, text_col), "digests")
-    groups = merged(leaves, fanout)
+    groups = merged(leaves)
     key = ["digest", "size", "second"]
     best = groups.select(*key, F.col("best.id").alias("keep_id"), F.col("best.shorter").alias("shorter"), "count")
     return leaves.join(best, key).select(
