@@ -16,9 +16,13 @@ def greedy_cover(pairs: DataFrame, costs: DataFrame) -> DataFrame:
 
     pairs: (candidate, element); costs: (candidate, cost). A round settles every candidate that comes before all others that
     share an element with it: what these gain can only fall, so none of them is picked earlier, and picks come in the order of
-    cost by gain, then name. Picks are appended to a table; no row reaches the driver.
+    cost by gain, then name. Picks are appended to a table; no row reaches the driver. An element that no candidate
+    with a cost covers is an error.
     """
     spark = pairs.sparkSession
+    usable = pairs.join(costs.filter("cost IS NOT NULL"), "candidate", "left_semi").select(F.col("element").alias("_usable")).distinct()
+    if (lost := pairs.join(usable, F.col("element").eqNullSafe(F.col("_usable")), "left_anti").first()) is not None:
+        raise ValueError(f"no candidate with a cost covers {lost['element']!r}")
     picks = f"{folder(spark)}/picks-{uuid.uuid4().hex}"
     left = cut(pairs.join(costs, "candidate").distinct(), "cover")
     while True:
@@ -53,13 +57,31 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), "name").limit(k)
 
 
+#: Variables whose assignments are all listed, at most.
+MOST_VARIABLES = 24
+
+
 def qubo_energies(spark: SparkSession, linear: DataFrame, quadratic: DataFrame, n: int) -> DataFrame:
-    """(assignment, energy) of all 2**n assignments; bit 0 is the most significant. linear: (i, v); quadratic: (i, j, v)."""
-    on = lambda c: F.call_function("shiftright", F.col("assignment"), (F.lit(n - 1) - F.col(c)).cast("int")).bitwiseAND(F.lit(1))
-    all_ = spark.range(1 << n).withColumnRenamed("id", "assignment")
-    one = all_.crossJoin(F.broadcast(linear)).select("assignment", (on("i") * F.col("v")).alias("v"))
-    two = all_.crossJoin(F.broadcast(quadratic)).select("assignment", (on("i") * on("j") * F.col("v")).alias("v"))
-    return one.union(two).groupBy("assignment").agg(F.sum("v").alias("energy"))
+    """(assignment, energy) of all 2**n assignments; bit 0 is the most significant. linear: (i, v); quadratic: (i, j, v). The terms, n * (n + 1) / 2 at most, become one expression."""
+    if n > MOST_VARIABLES:
+        raise ValueError(f"{n} variables have too many assignments to list; {MOST_VARIABLES} at most")
+    on = lambda k: F.call_function("shiftright", F.col("assignment"), F.lit(n - 1 - k)).bitwiseAND(F.lit(1))
+    one = linear.groupBy("i").agg(F.sum("v").alias("v")).limit(n + 1).collect()
+    two = quadratic.groupBy("i", "j").agg(F.sum("v").alias("v")).limit(n * n + 1).collect()
+    terms = [on(r["i"]) * F.lit(r["v"]) for r in one] + [on(r["i"]) * on(r["j"]) * F.lit(r["v"]) for r in two]
+    return spark.range(1 << n).select(F.col("id").alias("assignment"), sum(terms, F.lit(0).cast("long")).alias("energy"))
+
+
+def qubo_minimum(spark: SparkSession, linear: DataFrame, quadratic: DataFrame, n: int) -> DataFrame:
+    """The one row (assignment, energy) of least energy, of equal ones the smallest assignment."""
+    return qubo_energies(spark, linear, quadratic, n).agg(F.min(F.struct("energy", "assignment")).alias("m")).select("m.assignment", "m.energy")
+
+
+def top_qubo(scores: DataFrame, k: int, penalty: int) -> DataFrame:
+    """(i, j, v), i = j being linear, of choosing exactly k of (i, score) with the highest sum: -score, and penalty * (sum - k)^2 without its constant."""
+    own = scores.select("i", F.col("i").alias("j"), (F.lit(penalty * (1 - 2 * k)) - F.col("score")).alias("v"))
+    other = scores.select(F.col("i").alias("j"))
+    return own.unionByName(scores.select("i").join(other, F.col("i") < F.col("j")).select("i", "j", F.lit(2 * penalty).cast("long").alias("v")))
 
 
 def ising(linear: DataFrame, quadratic: DataFrame) -> DataFrame:
@@ -75,11 +97,30 @@ def cover_qubo(pairs: DataFrame, costs: DataFrame) -> DataFrame:
     """(i, j, v) of exact-cover penalties: cost on the diagonal, and for each element penalty * (1 - sum)^2 without its constant; i = j is linear."""
     penalty = costs.agg((F.sum("cost") + 1).alias("p"))
     a, b = pairs.select(F.col("candidate").alias("i"), "element"), pairs.select(F.col("candidate").alias("j"), "element")
-    both = a.join(b, "element").filter("i <= j").crossJoin(F.broadcast(penalty)).select("i", "j", F.when(F.col("i") == F.col("j"), -F.col("p")).otherwise(2 * F.col("p")).alias("v"))
+    both = a.join(b, "element").filter("i <= j").crossJoin(penalty).select("i", "j", F.when(F.col("i") == F.col("j"), -F.col("p")).otherwise(2 * F.col("p")).alias("v"))
     own = costs.select(F.col("candidate").alias("i"), F.col("candidate").alias("j"), F.col("cost").alias("v"))
     return both.unionByName(own).groupBy("i", "j").agg(F.sum("v").alias("v")).filter("v <> 0")
 
 
+def slack_bits(pairs: DataFrame) -> DataFrame:
+    """(element, bit, weight): binary slack for `covered at least once`, of weights 1, 2, 4, ... and a last one that fills up to the number of an element's candidates less 1."""
+    room = pairs.groupBy("element").agg((F.count(F.lit(1)) - 1).alias("room")).filter("room > 0").withColumn("bits", F.ceil(F.log2(F.col("room") + 1)).cast("int"))
+    return room.select("element", "room", "bits", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)).alias("bit")).select(
+        "element", "bit", F.when(F.col("bit") < F.col("bits") - 1, F.expr("shiftleft(1L, bit)")).otherwise(F.col("room") - F.expr("shiftleft(1L, bits - 1)") + 1).alias("weight"))
+
+
+def cover_slack_qubo(pairs: DataFrame, costs: DataFrame) -> DataFrame:
+    """(a, b, v) of a cover in which elements may be covered more than once: cost on the diagonal, and for each element penalty * (candidates - slack - 1)^2 without its constant; a = b is linear. Variables are candidates and `slack/element/bit`."""
+    slack = slack_bits(pairs).select("element", F.concat_ws("/", F.lit("slack"), "element", F.col("bit").cast("string")).alias("x"), (-F.col("weight")).alias("w"))
+    terms = pairs.select("element", F.col("candidate").alias("x"), F.lit(1).cast("long").alias("w")).distinct().unionByName(slack)
+    penalty = costs.agg((F.sum("cost") + 1).alias("p"))
+    other = terms.select("element", F.col("x").alias("y"), F.col("w").alias("u"))
+    both = terms.join(other, "element").filter("x <= y").crossJoin(penalty)  # one row
+    v = F.when(F.col("x") == F.col("y"), F.col("p") * (F.col("w") * F.col("w") - 2 * F.col("w"))).otherwise(2 * F.col("p") * F.col("w") * F.col("u"))
+    own = costs.select(F.col("candidate").alias("a"), F.col("candidate").alias("b"), F.col("cost").cast("long").alias("v"))
+    return both.select(F.col("x").alias("a"), F.col("y").alias("b"), v.alias("v")).unionByName(own).groupBy("a", "b").agg(F.sum("v").alias("v")).filter("v <> 0")
+
+
 def features(programs: DataFrame, parts: dict[str, DataFrame], key: str) -> DataFrame:
     """Counts from each part (key, ...) beside each program; programs without rows count 0."""
     out = programs

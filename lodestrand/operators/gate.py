@@ -19,8 +19,17 @@ def rule_rows(changes: DataFrame, rule: str, applies: Column, deny: Column, warn
     return changes.select("change", F.lit(rule).alias("rule"), status.alias("status"))
 
 
-def gate(statuses: DataFrame) -> DataFrame:
-    """(change, ok, failed): ok unless a rule failed; warnings and rules that weren't evaluated don't block."""
+def equivalence_rule(facts: DataFrame) -> DataFrame:
+    """Adds verdict and status to facts (different, errors, untested counts of a change's tests): a difference fails; errors or untested programs are neither failed nor passed."""
+    verdict = F.when(F.col("different") > 0, "not-equivalent").when((F.col("errors") > 0) | (F.col("untested") > 0), "inconclusive").otherwise("equivalent")
+    status = F.when(F.col("verdict") == "not-equivalent", "fail").when(F.col("verdict") == "inconclusive", "inconclusive").otherwise("pass")
+    return facts.withColumn("verdict", verdict).withColumn("status", status)
+
+
+def gate(statuses: DataFrame, known: tuple[str, ...] | None = None) -> DataFrame:
+    """(change, ok, failed): ok unless a rule failed; warnings and rules that weren't evaluated don't block. With `known`, a rule of another name is an error."""
+    if known is not None and (other := statuses.filter(~F.col("rule").isin(*known)).select("rule").first()):
+        raise ValueError(f"policy rule {other[0]!r} is not known ({', '.join(sorted(known))})")
     return statuses.groupBy("change").agg((F.count_if(F.col("status") == "fail") == 0).alias("ok"), F.array_sort(F.collect_list(F.when(F.col("status") == "fail", F.col("rule")))).alias("failed"))
 
 
@@ -31,13 +40,13 @@ def crypto_denied(before: tuple[Column, Column, Column], after: tuple[Column, Co
 
 
 def egress(settings: DataFrame, profiles: DataFrame) -> DataFrame:
-    """All settings against all profiles (both small by nature) with the rules each combination breaks."""
+    """All settings against all profiles, as the matrix asks for, with the rules each combination breaks; Spark chooses how by their sizes."""
     broken = F.filter(F.array(
         F.when((F.col("classification") == "secret") & (F.col("backend") == "remote"), "secret data stays"),
         F.when(F.col("region") != F.col("home"), "leaves its region"),
         F.when(F.col("tier") > F.col("most"), "tier too high"),
     ), lambda x: x.isNotNull())
-    return settings.crossJoin(F.broadcast(profiles)).withColumn("broken", broken)
+    return settings.crossJoin(profiles).withColumn("broken", broken)
 
 
 def controls(evidence: DataFrame, frameworks: DataFrame) -> DataFrame:

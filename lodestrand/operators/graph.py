@@ -73,12 +73,50 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cited_lines(lines: DataFrame, citations: DataFrame) -> DataFrame:
-    """citations with `ok`: some line of `file` between first and last contains the word. A range join within a file."""
-    hit = lines.select("file", "line", "text")
-    joined = citations.join(hit, (citations["file"] == hit["file"]) & hit["line"].between(citations["first"], citations["last"]), "left").drop(hit["file"])
-    return joined.groupBy(*citations.columns).agg(F.coalesce(F.max(F.contains("text", "word")), F.lit(False)).alias("ok"))
+    """citations (file, first, last, word, ...) with `ok`: some line of `file` between first and last contains the word. A join by line, as a citation names few."""
+    cited = citations.filter("first <= last").select("*", F.explode(F.sequence("first", "last")).alias("_line"))
+    hit = cited.join(lines.select("file", F.col("line").alias("_line"), "text"), ["file", "_line"]).filter(F.contains("text", "word"))
+    hit = hit.select(*[F.col(c).alias(f"_{c}") for c in citations.columns], F.lit(True).alias("_hit")).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in citations.columns if c != "file"]
+    return citations.join(hit, [F.col("file") == F.col("_file"), *same], "left").select(*citations.columns, F.coalesce("_hit", F.lit(False)).alias("ok"))
 
 
-def overlapping(changes: DataFrame, hunks: DataFrame) -> DataFrame:
-    """changes (file, id, first, last) that touch no changed hunk (file, begin, end) of their file."""
-    return changes.join(hunks, (changes["file"] == hunks["file"]) & (hunks["begin"] <= changes["last"]) & (changes["first"] <= hunks["end"]), "left_anti")
+def overlapping(changes: DataFrame, hunks: DataFrame, width: int = 64) -> DataFrame:
+    """changes (file, id, first, last) that touch no changed hunk (file, begin, end) of their file: a join by file and block of `width` lines, in which ranges are compared."""
+    block = lambda first, last: F.explode(F.sequence(F.floor(first / width), F.floor(last / width))).alias("_block")
+    a = changes.select("file", "id", "first", "last", block(F.col("first"), F.col("last")))
+    b = hunks.select("file", "begin", "end", block(F.col("begin"), F.col("end")))
+    touched = a.join(b, ["file", "_block"]).filter((F.col("begin") <= F.col("last")) & (F.col("first") <= F.col("end"))).select("file", "id").distinct()
+    return changes.join(touched, ["file", "id"], "left_anti")
+
+
+def assemble(nodes: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a graph from sightings of nodes (id, kind, name, rank) and references (src, kind, target_kind, target, where).
+
+    A reference leads to the node of its kind and name, or to a stub `unresolved:kind:name`, which becomes a node; equal
+    references are one edge, at the first place.
+    """
+    known = merge_nodes(nodes)
+    by_name = known.groupBy(F.col("kind").alias("target_kind"), F.col("name").alias("target")).agg(F.min("id").alias("_id"))
+    stub = F.concat_ws(":", F.lit("unresolved"), "target_kind", F.coalesce("target", F.lit("?")))
+    joined = references.join(by_name, ["target_kind", "target"], "left")
+    edges = joined.select("src", F.coalesce("_id", stub).alias("dst"), "kind", F.col("_id").isNotNull().alias("resolved"), "target_kind", "target", "where")
+    stubs = edges.filter("NOT resolved").select(F.col("dst").alias("id"), F.col("target_kind").alias("kind"), F.col("target").alias("name")).distinct()
+    merged = edges.groupBy("src", "dst", "kind").agg(F.first("resolved").alias("resolved"), F.min("where").alias("where"))
+    return known.select("id", "kind", "name").unionByName(stubs), merged
+
+
+def dynamic_calls(calls: DataFrame, values: DataFrame, programs: DataFrame) -> DataFrame:
+    """(src, dst, resolved, probable) of calls (src, field, literal): a literal's program for sure; a field's programs by the values (field, value) that it may hold, as probable ones; a stub where neither is known. programs: (name, id)."""
+    fixed = calls.filter("literal IS NOT NULL").select("src", F.col("literal").alias("name"), F.lit(False).alias("probable"))
+    held = calls.filter("literal IS NULL").join(values, "field", "left").select("src", F.coalesce(F.trim("value"), F.concat(F.lit("?"), "field")).alias("name"), F.col("value").isNotNull().alias("probable"))
+    named = fixed.unionByName(held).distinct().join(programs, "name", "left")
+    return named.select("src", F.coalesce("id", F.concat(F.lit("unresolved:program:"), "name")).alias("dst"), F.col("id").isNotNull().alias("resolved"), "probable")
+
+
+def perform_range(performs: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(src, dst) of performed paragraphs: the target, and with `through` all up to that one in the program's order. performs: (program, src, target, through); paragraphs: (program, seq, name, id)."""
+    at = lambda name, seq: paragraphs.select("program", F.col("name").alias(name), F.col("seq").alias(seq))
+    ranged = performs.join(at("target", "_from"), ["program", "target"]).join(at("through", "_to"), ["program", "through"], "left")
+    wide = ranged.select("program", "src", F.explode(F.sequence("_from", F.greatest("_from", F.coalesce("_to", "_from")))).alias("seq"))
+    return wide.join(paragraphs.select("program", "seq", "id"), ["program", "seq"]).select("src", F.col("id").alias("dst")).distinct()

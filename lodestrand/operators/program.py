@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrand.sources.scratch import cut
+from lodestrand.sources.scratch import Grown, cut
 
 
 def data_items(lines: DataFrame) -> DataFrame:
@@ -52,14 +52,15 @@ def expand_copies(lines: DataFrame, library: DataFrame, most: int = 16) -> DataF
 
 def values(moves: DataFrame, literals: DataFrame) -> DataFrame:
     """(field, value): what a field may hold by literals (field, value) and chains of moves (source, target), cycles included."""
-    known = cut(literals.select("field", "value").distinct(), "values")
-    fresh = known
+    start = literals.select("field", "value").distinct()
+    found = Grown(moves.sparkSession, start.schema, "values")
+    moves, fresh = cut(moves.select("source", "target").distinct(), "moves"), found.add(start)
     while True:
+        known = found.read()
         step = fresh.join(moves, fresh["field"] == moves["source"]).select(F.col("target").alias("field"), "value").distinct()
-        fresh = cut(step.join(known, ["field", "value"], "left_anti"), "values")
+        fresh = found.add(step.join(known, ["field", "value"], "left_anti"))
         if fresh.isEmpty():
             return known
-        known = cut(known.union(fresh), "values")
 
 
 def layout(fields: DataFrame, size: Column) -> DataFrame:
@@ -69,17 +70,18 @@ def layout(fields: DataFrame, size: Column) -> DataFrame:
     return fields.withColumn("bytes", bytes_).withColumn("start", F.coalesce(F.sum("bytes").over(order), F.lit(0).cast("long")))
 
 
-def chains(types: DataFrame, most: int = 64) -> DataFrame:
-    """(type, ancestor, distance) with each type itself at 0; types: (type, super). A cycle ends after `most` steps."""
-    all_ = cut(types.select("type", F.col("type").alias("ancestor"), F.lit(0).alias("distance")), "chains")
-    last = all_
-    up = types.filter("super IS NOT NULL").select(F.col("type").alias("ancestor"), F.col("super").alias("next"))
-    for _ in range(most):
-        last = cut(last.join(up, "ancestor").select("type", F.col("next").alias("ancestor"), (F.col("distance") + 1).alias("distance")), "chains")
+def chains(types: DataFrame) -> DataFrame:
+    """(type, ancestor, least distance) with each type itself at 0, however long a chain is; types: (type, super). A cycle ends where it closes."""
+    start = types.select("type", F.col("type").alias("ancestor"), F.lit(0).alias("distance")).distinct()
+    found = Grown(types.sparkSession, start.schema, "chains")
+    up = cut(types.filter("super IS NOT NULL").select(F.col("type").alias("ancestor"), F.col("super").alias("next")).distinct(), "supers")
+    last = found.add(start)
+    while True:
+        known = found.read()
+        step = last.join(up, "ancestor").groupBy("type", F.col("next").alias("ancestor")).agg((F.min("distance") + 1).alias("distance"))
+        last = found.add(step.join(known, ["type", "ancestor"], "left_anti"))
         if last.isEmpty():
-            break
-        all_ = all_.union(last)
-    return all_.groupBy("type", "ancestor").agg(F.min("distance").alias("distance"))
+            return known
 
 
 def resolve_calls(calls: DataFrame, chain: DataFrame, methods: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
@@ -100,14 +101,15 @@ def settle_cumulative(spark, d):
 
 
 _RUNS = """runs AS (SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS test, l_returnflag AS program, l_linenumber AS ln, CAST(round(l_extendedprice * 100) AS BIGINT) AS price, CAST(round(l_discount * 100) AS BIGINT) AS disc FROM lineitem),
-one AS (SELECT test, any_value(program) AS program, any_value(ln) AS ln, max(price) AS price, max(disc) AS disc FROM runs GROUP BY test HAVING count(*) = 1)"""
+one AS (SELECT test * 100 + row_number() OVER (PARTITION BY test ORDER BY program, ln, price, disc) AS test, program, ln, price, disc FROM runs)"""
 
 
 def _runs(spark, d):
     line = table(spark, d, "lineitem")
     key = (F.col("l_orderkey") * 1_000_000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("test")
     rows = line.select(key, F.col("l_returnflag").alias("program"), F.col("l_linenumber").alias("ln"), cents("l_extendedprice").alias("price"), F.round(F.col("l_discount") * 100).cast("long").alias("disc"))
-    one = rows.groupBy("test").agg(F.first("program").alias("program"), F.first("ln").alias("ln"), F.max("price").alias("price"), F.max("disc").alias("disc"), F.count(F.lit(1)).alias("k")).filter("k = 1").drop("k")
+    again = F.row_number().over(W.partitionBy("test").orderBy("program", "ln", "price", "disc"))  # runs with one key are all kept
+    one = rows.withColumn("test", F.col("test") * 100 + again)
     old = F.call_function("div", F.col("price") * (100 - F.col("disc")), F.lit(100))
     new = F.when((F.col("program") == "R") & (F.col("disc") >= 9), old + 1).otherwise(old)
     base = one.withColumns({"output": old, "rc": F.lit(0)})
@@ -140,13 +142,13 @@ def boundary_candidates(spark, d):
     return behave.boundary_pool(fields, part.select(F.col("p_brand").alias("field"), (F.col("p_size") * 20).cast("long").alias("literal")).distinct(), F.lit(1))
 
 
-@query("""WITH seeds AS (SELECT p_partkey AS seed, p_size AS size, CAST(floor(p_retailprice) AS BIGINT) AS price FROM part), pool AS (SELECT DISTINCT 'size' AS field, CAST(p_size AS BIGINT) AS value FROM part WHERE p_size % 9 = 0 UNION SELECT 'price', CAST(p_size * 100 AS BIGINT) FROM part WHERE p_size % 9 = 0)
+@query("""WITH seeds AS (SELECT p_partkey AS seed, p_size AS size, CAST(floor(p_retailprice) AS BIGINT) AS price FROM part), pool AS (SELECT DISTINCT 'size' AS field, CAST(p_size AS BIGINT) AS value FROM part UNION SELECT 'price', CAST(p_size * 100 AS BIGINT) FROM part)
 SELECT seed, field, value, CASE field WHEN 'size' THEN value ELSE size END AS size, CASE field WHEN 'price' THEN value ELSE price END AS price FROM seeds, pool""")
 def input_variants(spark, d):
     part = table(spark, d, "part")
     seeds = part.select(F.col("p_partkey").alias("seed"), F.create_map(F.lit("size"), F.col("p_size").cast("long"), F.lit("price"), F.floor("p_retailprice").cast("long")).alias("inputs"))
-    nine = part.filter("p_size % 9 = 0").select(F.col("p_size").cast("long").alias("s")).distinct()
-    pool = nine.select(F.lit("size").alias("field"), F.col("s").alias("value")).unionByName(nine.select(F.lit("price").alias("field"), (F.col("s") * 100).alias("value")))
+    sizes = part.select(F.col("p_size").cast("long").alias("s")).distinct()
+    pool = sizes.select(F.lit("size").alias("field"), F.col("s").alias("value")).unionByName(sizes.select(F.lit("price").alias("field"), (F.col("s") * 100).alias("value")))
     return behave.variants(seeds, pool).select("seed", "field", "value", F.col("inputs")["size"].alias("size"), F.col("inputs")["price"].alias("price"))
 
 
@@ -188,18 +190,14 @@ def pictures(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), made["numeric"].alias("is_numeric"), *[made[c].alias(c) for c in ("signed", "digits", "scale", "length")])
 
 
-#: The lineitem rows that the SQL of cover_dominated and cover_penalties asks for; cover_greedy, which has no SQL, takes all.
-_ROWS = "l_linenumber = 1 AND l_quantity > 47"
-
-
-def _cover(spark, d, rows="true"):
+def _cover(spark, d):
     t = lambda n: table(spark, d, n)
-    pairs = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).filter(rows).select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("candidate"), F.concat_ws("/", "p_brand", "p_type").alias("element")).distinct()
+    pairs = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("candidate"), F.concat_ws("/", "p_brand", "p_type").alias("element")).distinct()
     costs = t("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("candidate"), (F.col("s_suppkey") % 3 + 1).alias("cost"))
     return pairs, costs
 
 
-_PAIRS = """pairs AS (SELECT DISTINCT 's' || l_suppkey AS candidate, p_brand || '/' || p_type AS element FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 AND l_quantity > 47), costs AS (SELECT 's' || s_suppkey AS candidate, s_suppkey % 3 + 1 AS cost FROM supplier)"""
+_PAIRS = """pairs AS (SELECT DISTINCT 's' || l_suppkey AS candidate, p_brand || '/' || p_type AS element FROM lineitem JOIN part ON l_partkey = p_partkey), costs AS (SELECT 's' || s_suppkey AS candidate, s_suppkey % 3 + 1 AS cost FROM supplier)"""
 
 
 @query()
@@ -207,17 +205,17 @@ def cover_greedy(spark, d):
     return cover.greedy_cover(*_cover(spark, d))
 
 
-@query(f"""WITH {_PAIRS}, z AS (SELECT p.candidate, count(*) AS n, any_value(cost) AS cost FROM pairs p JOIN costs c ON c.candidate = p.candidate GROUP BY 1)
-SELECT DISTINCT a.candidate FROM z a JOIN z b ON a.candidate <> b.candidate AND b.cost <= a.cost AND (b.n > a.n OR b.cost < a.cost OR b.candidate < a.candidate)
-WHERE NOT EXISTS (SELECT 1 FROM pairs x WHERE x.candidate = a.candidate AND NOT EXISTS (SELECT 1 FROM pairs y WHERE y.candidate = b.candidate AND y.element = x.element))""")
+@query(f"""WITH {_PAIRS}, z AS (SELECT p.candidate, count(*) AS n, any_value(cost) AS cost FROM pairs p JOIN costs c ON c.candidate = p.candidate GROUP BY 1),
+k AS (SELECT a.candidate AS a, b.candidate AS b, count(*) AS n FROM pairs a JOIN pairs b ON a.element = b.element AND a.candidate <> b.candidate GROUP BY 1, 2)
+SELECT DISTINCT a.candidate FROM k JOIN z a ON a.candidate = k.a JOIN z b ON b.candidate = k.b WHERE k.n = a.n AND b.cost <= a.cost AND (b.n > a.n OR b.cost < a.cost OR b.candidate < a.candidate)""")
 def cover_dominated(spark, d):
-    return cover.dominated(*_cover(spark, d, _ROWS))
+    return cover.dominated(*_cover(spark, d))
 
 
 @query(f"""WITH {_PAIRS}, p AS (SELECT sum(cost) + 1 AS p FROM costs), t AS (SELECT a.candidate AS i, b.candidate AS j, CASE WHEN a.candidate = b.candidate THEN -p ELSE 2 * p END AS v FROM pairs a JOIN pairs b ON a.element = b.element AND a.candidate <= b.candidate, p UNION ALL SELECT candidate, candidate, cost FROM costs)
 SELECT i, j, CAST(sum(v) AS BIGINT) AS v FROM t GROUP BY i, j HAVING sum(v) <> 0""")
 def cover_penalties(spark, d):
-    return cover.cover_qubo(*_cover(spark, d, _ROWS))
+    return cover.cover_qubo(*_cover(spark, d))
 
 
 def _quadratic(spark, d):
@@ -303,8 +301,6 @@ def month_rollup(spark, d):
 
 @query(f"""WITH {_LEDGER} SELECT event_id, bank, kind, outcome FROM (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY ts DESC, event_id DESC) AS k FROM ledger WHERE outcome IN ('missed', 'false-alarm')) WHERE k <= 15""")
 def last_wrong(spark, d):
-    from pyspark.sql import Window as W
-
     k = F.row_number().over(W.partitionBy("bank").orderBy(F.desc("ts"), F.desc("event_id")))
     return _ledger(spark, d).filter(F.col("outcome").isin("missed", "false-alarm")).withColumn("k", k).filter("k <= 15").select("event_id", "bank", "kind", "outcome")
 
@@ -321,7 +317,5 @@ def ledger_stream(spark, d):
 @query("""WITH s AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events) SELECT event_id, event_type, k AS place FROM s WHERE k <= 20""")
 def stratified_rows(spark, d):
     """The first rows of each kind in a fixed order (a sampling report)."""
-    from pyspark.sql import Window as W
-
     k = F.row_number().over(W.partitionBy("event_type").orderBy("event_id"))
     return table(spark, d, "events").withColumn("place", k.cast("long")).filter("place <= 20").select("event_id", "event_type", "place")

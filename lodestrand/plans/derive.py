@@ -84,3 +84,37 @@ commits AS (
     o_orderkey % 3 = 0 AS bot, CASE WHEN o_orderkey % 4 = 0 THEN 'CHG' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 7, '0') END AS record
   FROM orders)
 """
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commit message for each order, of many forms: (change, author, email, text). Words come from the order's comment-like columns, so texts vary with the rows."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    t = lambda x: x.cast("string")
+    line = lambda cond, *parts: F.when(cond, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    subject = (
+        F.when(k % 7 == 0, F.concat(F.lit("[PAY-"), t(k % 50), F.lit("] Update rates"))).when(k % 7 == 1, F.concat(F.lit("OPS-"), t(k % 90), F.lit(": use UTF-8 and SHA-256")))
+        .when(k % 7 == 2, F.concat(F.lit("Use ISO-"), t(k), F.lit(" names [API2-"), t(c), F.lit("]"))).when(k % 7 == 3, F.concat(F.lit("Fix INC"), F.lpad(t(c), 7, "0"), F.lit(" and INC123")))
+        .when(k % 7 == 4, F.concat(F.lit("Order "), F.col("o_orderpriority"), F.lit(" REQ"), F.lpad(t(k), 7, "0"))).otherwise(F.concat(F.lit("Change "), F.col("o_orderstatus"), F.lit(" rows of A-"), t(k))))
+    parts = F.array_compact(F.array(
+        subject, F.lit(""), F.concat(F.lit("See OPS-1 for why, ["), F.upper(F.substring("o_orderpriority", 3, 3)), F.lit("-"), t(k % 40), F.lit("] for how.")),
+        line(k % 5 == 0, "Task CTASK", F.lpad(t(k % 999), 7, "0"), " and PRB", t(1_000_000 + c)), line(k % 3 > 0, ""),
+        line(k % 11 > 0, "Reviewed-by: Ann B <ann", t(k % 5), "@example.org>"),
+        line(k % 13 > 1, "Approved-by: User ", t(k % 7), " <U", t(k % 7), "@Example.org>"), line(k % 4 == 0, "approved-by:\tUser ", t(c % 7)), line(k % 6 == 0, "Approved-by: Deploy Bot"), line(k % 9 == 0, "Assisted-by: helper <x.bot@example.org>"),
+        line(k % 4 == 1, "Change: CHG", F.lpad(t(k % 1000), 7, "0"), " for PAY-", t(k % 30)), line(k % 8 < 3, "Change-type: ", F.when(k % 8 == 0, "Emergency").when(k % 8 == 1, "normal").otherwise("Expedited ")),
+        line(k % 10 < 6, "Requested-by: Lead-", t(c % 9)), line(k % 17 == 0, "not a trailer"),
+    ))
+    return table(spark, sf_dir, "orders").select(k.alias("change"), F.concat(F.lit("User "), t(c % 7)).alias("author"), F.when(k % 6 != 0, F.concat(F.lit("u"), t(c % 7), F.lit("@example.org"))).alias("email"), F.array_join(parts, "\n").alias("text"))
+
+
+MESSAGES_SQL = r"""
+m0 AS (SELECT *, o_orderkey AS k, o_custkey AS c FROM orders),
+messages AS (SELECT k AS change, 'User ' || (c % 7) AS author, CASE WHEN k % 6 <> 0 THEN 'u' || (c % 7) || '@example.org' END AS email, array_to_string(list_filter([
+  CASE k % 7 WHEN 0 THEN '[PAY-' || (k % 50) || '] Update rates' WHEN 1 THEN 'OPS-' || (k % 90) || ': use UTF-8 and SHA-256' WHEN 2 THEN 'Use ISO-' || k || ' names [API2-' || c || ']' WHEN 3 THEN 'Fix INC' || lpad(left(CAST(c AS VARCHAR), 7), 7, '0') || ' and INC123'
+    WHEN 4 THEN 'Order ' || o_orderpriority || ' REQ' || lpad(left(CAST(k AS VARCHAR), 7), 7, '0') ELSE 'Change ' || o_orderstatus || ' rows of A-' || k END,
+  '', 'See OPS-1 for why, [' || upper(substring(o_orderpriority, 3, 3)) || '-' || (k % 40) || '] for how.',
+  CASE WHEN k % 5 = 0 THEN 'Task CTASK' || lpad(CAST(k % 999 AS VARCHAR), 7, '0') || ' and PRB' || (1000000 + c) END, CASE WHEN k % 3 > 0 THEN '' END,
+  CASE WHEN k % 11 > 0 THEN 'Reviewed-by: Ann B <ann' || (k % 5) || '@example.org>' END,
+  CASE WHEN k % 13 > 1 THEN 'Approved-by: User ' || (k % 7) || ' <U' || (k % 7) || '@Example.org>' END, CASE WHEN k % 4 = 0 THEN 'approved-by:' || chr(9) || 'User ' || (c % 7) END, CASE WHEN k % 6 = 0 THEN 'Approved-by: Deploy Bot' END, CASE WHEN k % 9 = 0 THEN 'Assisted-by: helper <x.bot@example.org>' END,
+  CASE WHEN k % 4 = 1 THEN 'Change: CHG' || lpad(CAST(k % 1000 AS VARCHAR), 7, '0') || ' for PAY-' || (k % 30) END, CASE WHEN k % 8 < 3 THEN 'Change-type: ' || CASE k % 8 WHEN 0 THEN 'Emergency' WHEN 1 THEN 'normal' ELSE 'Expedited ' END END,
+  CASE WHEN k % 10 < 6 THEN 'Requested-by: Lead-' || (c % 9) END, CASE WHEN k % 17 = 0 THEN 'not a trailer' END], lambda x: x IS NOT NULL), chr(10)) AS text FROM m0)
+"""

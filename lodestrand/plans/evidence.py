@@ -151,25 +151,27 @@ def statement_fold(spark, d):
     return folded.select(F.col("file").alias("doc_id"), "statement", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.sha2("text", 256).alias("digest"))
 
 
-@query("""WITH c AS (SELECT o_orderkey AS id, o_orderkey % 40 AS file, o_orderkey % 400 + 1 AS first, o_orderkey % 400 + 4 AS last FROM orders),
-h AS (SELECT event_id % 40 AS file, event_id % 397 + 1 AS b, event_id % 397 + 2 AS e FROM events WHERE event_id % 11 = 0)
+@query("""WITH n AS (SELECT count(*) // 250 + 1 AS files FROM orders), c AS (SELECT o_orderkey AS id, o_orderkey % files AS file, (o_orderkey * 7919) % 20000 + 1 AS first, (o_orderkey * 7919) % 20000 + 4 AS last FROM orders, n),
+h AS (SELECT event_id % files AS file, (event_id * 104729) % 20000 + 1 AS b, (event_id * 104729) % 20000 + 1 + event_id % 90 AS e FROM events, n)
 SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.file = c.file AND h.b <= c.last AND c.first <= h.e)""")
 def outside_hunks(spark, d):
-    changes = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 40).alias("file"), (F.col("o_orderkey") % 400 + 1).alias("first"), (F.col("o_orderkey") % 400 + 4).alias("last"))
-    hunks = table(spark, d, "events").filter("event_id % 11 = 0").select((F.col("event_id") % 40).alias("file"), (F.col("event_id") % 397 + 1).alias("begin"), (F.col("event_id") % 397 + 2).alias("end"))
+    orders = table(spark, d, "orders")
+    files, k, e = orders.count() // 250 + 1, F.col("o_orderkey"), F.col("event_id")
+    changes = orders.select(k.alias("id"), (k % files).alias("file"), (k * 7919 % 20000 + 1).alias("first"), (k * 7919 % 20000 + 4).alias("last"))
+    hunks = table(spark, d, "events").select((e % files).alias("file"), (e * 104729 % 20000 + 1).alias("begin"), (e * 104729 % 20000 + 1 + e % 90).alias("end"))
     return graph.overlapping(changes, hunks).select("id")
 
 
-@query("""SELECT l_orderkey AS file, l_linenumber AS step, 'PGM' || l_partkey AS program, 'PROD.S' || l_suppkey AS dataset, CASE l_linenumber % 3 WHEN 0 THEN 'NEW' WHEN 1 THEN 'SHR' ELSE 'OLD' END AS disposition
-FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS k FROM lineitem) WHERE k = 1""")
+@query("""SELECT l_orderkey AS file, CAST(k AS INTEGER) AS step, 'PGM' || l_partkey AS program, 'PROD.S' || l_suppkey AS dataset, CASE l_linenumber % 3 WHEN 0 THEN 'NEW' WHEN 1 THEN 'SHR' ELSE 'OLD' END AS disposition
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)""")
 def job_steps(spark, d):
     from pyspark.sql import Window as W
 
-    n = F.col("l_linenumber").cast("string")
-    one = table(spark, d, "lineitem").withColumn("k", F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey"))).filter("k = 1")
+    n = F.col("k").cast("string")
+    one = table(spark, d, "lineitem").withColumn("k", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
     disp = F.when(F.col("l_linenumber") % 3 == 0, "").when(F.col("l_linenumber") % 3 == 1, ",DISP=SHR").otherwise(",DISP=(OLD,KEEP)")
     text = F.concat_ws("\n", F.concat(F.lit("//S"), n, F.lit(" EXEC PGM=PGM"), F.col("l_partkey").cast("string")), F.lit("//* DD NOTE=1"), F.concat(F.lit("//OUT DD DSN=PROD.S"), F.col("l_suppkey").cast("string"), F.lit(",")), F.concat(F.lit("//   UNIT=A"), disp), F.lit("//IN DD *"), F.lit("EXEC PGM=NOT"), F.lit("/*"))
-    files = one.select("l_orderkey", F.struct("l_linenumber", text.alias("t")).alias("x")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("x")).select("l_orderkey", F.concat(F.lit("//J JOB A\n"), F.array_join(F.transform("x", lambda x: x["t"]), "\n")).alias("t"))
+    files = one.select("l_orderkey", F.struct("k", text.alias("t")).alias("x")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("x")).select("l_orderkey", F.concat(F.lit("//J JOB A\n"), F.array_join(F.transform("x", lambda x: x["t"]), "\n")).alias("t"))
     found = L.jcl(L.to_lines(files, "l_orderkey", "t"))
     steps = found.withColumn("line", F.col("first"))
     step = L.carried(L.carried(steps, F.when(F.col("kind") == "EXEC", F.col("name")), "step"), F.when(F.col("kind") == "EXEC", L.operand(F.col("operands"), "PGM")), "program")
@@ -198,15 +200,14 @@ def sql_tables(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(T.tables_read(sql), ",").alias("reads"), F.array_join(T.tables_written(sql), ",").alias("writes"))
 
 
-@query(f"""WITH {COMMITS_SQL} SELECT change, ticket, rank FROM (
-  SELECT change, ticket, row_number() OVER (PARTITION BY change ORDER BY p) AS rank FROM (
-    SELECT change, regexp_extract(subject, '(PAY-[0-9]+)') AS ticket, 1 AS p FROM commits UNION ALL SELECT change, 'INC0012345', 2 FROM commits WHERE contains(subject, 'INC')
-    UNION ALL SELECT change, record, 0 FROM commits WHERE record IS NOT NULL AND has_trailers))""")
+@query(f"""WITH {COMMITS_SQL} SELECT change, ticket, row_number() OVER (PARTITION BY change ORDER BY p) AS rank FROM (
+    SELECT change, record AS ticket, 0 AS p FROM commits WHERE record IS NOT NULL AND has_trailers UNION ALL SELECT change, regexp_extract(subject, '(INC[0-9]{{7}})'), 1 FROM commits WHERE contains(subject, 'INC')
+    UNION ALL SELECT change, regexp_extract(subject, '^\\[(PAY-[1-9][0-9]*)\\]', 1), 2 FROM commits WHERE regexp_matches(subject, '^\\[PAY-[1-9]')
+    UNION ALL SELECT change, record, 3 FROM commits WHERE record IS NOT NULL AND NOT has_trailers)""")
 def ticket_refs(spark, d):
-    c = commits(spark, d).withColumn("subject", F.col("lines")[0]).withColumn("block", T.trailers(F.col("lines")))
-    values = F.transform(F.filter("block", lambda x: ~x.rlike("-by: ")), lambda x: F.regexp_extract(x, "^[^:]+: (.+)$", 1))
-    refs = F.array_distinct(F.concat(F.flatten(F.transform(values, lambda v: F.concat(F.regexp_extract_all(v, F.lit(T.RECORD), 1), F.regexp_extract_all(v, F.lit(T.TICKET), 1)))), F.regexp_extract_all("subject", F.lit(T.TICKET), 1), F.regexp_extract_all("subject", F.lit(T.RECORD), 1)))
-    return c.select("change", F.posexplode(refs).alias("k", "ticket")).select("change", "ticket", (F.col("k") + 1).cast("long").alias("rank"))
+    c = commits(spark, d).withColumn("block", T.trailers(F.col("lines")))
+    refs = T.tickets(F.col("lines"), F.col("block"))
+    return c.select("change", F.posexplode(refs).alias("k", "t")).select("change", F.col("t.id").alias("ticket"), (F.col("k") + 1).cast("long").alias("rank"))
 
 
 @query(f"""WITH {COMMITS_SQL}, p AS (SELECT change, author, email, approver AS name, approver_email AS mail FROM commits WHERE has_trailers)
@@ -216,8 +217,9 @@ SELECT change, approver, CASE WHEN approver IS NULL THEN NULL ELSE NOT same END
 def who(spark, d):
     c = commits(spark, d).withColumn("block", T.trailers(F.col("lines")))
     approvals = T.values_of(F.col("block"), "Approved-by")
-    human = F.filter(approvals, lambda v: ~v.rlike(T.AGENT))
-    c = c.withColumns({"first": F.get(human, F.lit(0)), "agents": F.size(F.filter(approvals, lambda v: v.rlike(T.AGENT))), "review": F.get(T.values_of(F.col("block"), "Reviewed-by"), F.lit(0))})
+    bot = lambda v: T.is_agent(*T.person(v))
+    human = F.filter(approvals, lambda v: ~bot(v))
+    c = c.withColumns({"first": F.get(human, F.lit(0)), "agents": F.size(F.filter(approvals, bot)), "review": F.get(T.values_of(F.col("block"), "Reviewed-by"), F.lit(0))})
     name, mail = T.person(F.col("first"))
     return c.select("change", name.alias("approver"), (~T.same_person(F.col("author"), F.col("email"), name, mail)).alias("independent"), T.person(F.col("review"))[1].alias("reviewer"), "agents").withColumn("independent", F.when(F.col("approver").isNotNull(), F.col("independent")))
 

@@ -46,12 +46,12 @@ def copy_expand(spark, d):
     return program.expand_copies(lines, library).select("file", F.array_join(F.col("order").cast("array<string>"), ".").alias("place"), "text")
 
 
-@query("""WITH RECURSIVE m AS (SELECT DISTINCT 'F' || l_suppkey AS source, 'F' || (l_suppkey * 7 + l_linenumber) % 60 AS target FROM lineitem WHERE l_suppkey % 4 = 0), l AS (SELECT DISTINCT 'F' || s_suppkey AS field, s_nationkey AS value FROM supplier WHERE s_suppkey % 5 = 0),
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT 'F' || l_suppkey AS source, 'F' || (l_suppkey * 7 + l_linenumber) % 60 AS target FROM lineitem), l AS (SELECT DISTINCT 'F' || s_suppkey AS field, s_nationkey AS value FROM supplier),
 v(field, value) AS (SELECT field, value FROM l UNION SELECT m.target, v.value FROM v JOIN m ON m.source = v.field) SELECT field, value FROM v""")
 def value_closure(spark, d):
     f = lambda c: F.concat(F.lit("F"), c.cast("string"))
-    moves = table(spark, d, "lineitem").filter("l_suppkey % 4 = 0").select(f(F.col("l_suppkey")).alias("source"), f((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 60).alias("target")).distinct()
-    return program.values(moves, table(spark, d, "supplier").filter("s_suppkey % 5 = 0").select(f(F.col("s_suppkey")).alias("field"), F.col("s_nationkey").alias("value")))
+    moves = table(spark, d, "lineitem").select(f(F.col("l_suppkey")).alias("source"), f((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 60).alias("target")).distinct()
+    return program.values(moves, table(spark, d, "supplier").select(f(F.col("s_suppkey")).alias("field"), F.col("s_nationkey").alias("value")))
 
 
 @query("""SELECT p_partkey AS record, seq, start, bytes FROM part, LATERAL (VALUES (1, 0, p_size), (2, p_size, 9 * (p_size % 4 + 1)), (3, p_size + 9 * (p_size % 4 + 1), 1)) v(seq, start, bytes)""")

@@ -60,7 +60,7 @@ def definitions(lines: DataFrame) -> DataFrame:
     folded = fold(lines, F.col("text").rlike(r"^\s*DEFINE\s"))
     pairs = F.regexp_extract_all("text", F.lit(r"(\w+)\(([^)]*)\)"), 0)
     entry = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"^(\w+)", 1).alias("key"), F.regexp_extract(p, r"\(([^)]*)\)", 1).alias("value")))
-    first = F.aggregate(F.slice(entry, 2, 10_000), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, F.create_map(e["key"], e["value"]))))
+    first = F.aggregate(F.slice(entry, F.lit(2), F.greatest(F.size(entry) - 1, F.lit(0))), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, F.create_map(e["key"], e["value"]))))
     return folded.select("file", "statement", entry[0]["key"].alias("kind"), entry[0]["value"].alias("name"), first.alias("options"))
 
 
