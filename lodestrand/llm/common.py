@@ -49,7 +49,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -198,13 +198,14 @@ def search(table: pa.Table, size: int) -> pa.Table:
 
 def repeated_windows(raw: DataFrame, all_: DataFrame, same: DataFrame, size: int = 13) -> DataFrame:
     """id, mark and starts (of the repeated windows) of the documents that have some. raw: id and text; all_: their stored summaries; same: the stored groups of documents with the same words."""
-    known = all_.filter("id IS NOT NULL")
-    keyed = known.select("id", "mark", F.col("mark").alias("same"), F.explode("runs").alias("run"))
-    if not same.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():  # then only the SHA-256 tells them apart
-        keyed = known.join(same.select("sha", F.col("first").alias("same")), "sha").select("id", "mark", "same", F.explode("runs").alias("run"))
-    shared = keyed.groupBy("run").agg(F.min("same").alias("a"), F.max("same").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b").select("run", (F.col("n") > HOT).alias("hot"))
-    found = keyed.select("id", "mark", "run").join(shared, "run").groupBy("id", "mark").agg(F.collect_set("run").alias("runs"), F.collect_set(F.when(F.col("hot"), F.col("run"))).alias("hot"))
-    found = found.join(same.select(F.col("first").alias("id"), "mark"), ["id", "mark"], "left_semi")
+    text = F.col("mark")
+    keyed = all_.filter("id IS NOT NULL").select(text.alias("of"), F.explode("runs").alias("run"))
+    if not same.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():  # then only the SHA-256 tells those apart
+        text = F.col("sha")
+        keyed = all_.filter("id IS NOT NULL").select(text.alias("of"), F.explode("runs").alias("run"))
+    shared = keyed.groupBy("run").agg(F.min("of").alias("a"), F.max("of").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b").select("run", (F.col("n") > HOT).alias("hot"))
+    found = keyed.join(shared, "run").groupBy("of").agg(F.collect_set("run").alias("runs"), F.collect_set(F.when(F.col("hot"), F.col("run"))).alias("hot"))
+    found = found.join(same.select(text.alias("of"), F.col("first").alias("id"), "mark"), "of").drop("of")
     rows = stored(stretches(raw.join(found, "id").select("id", "text", "mark", "runs", "hot"), size), "stretches")
     shards = max(1, rows.count() * (size + RUN // 8) // SHARD)
     plain, hot = rows.filter("digest IS NULL"), rows.filter("digest IS NOT NULL")

@@ -21,11 +21,18 @@ def test_exact_groups(docs, empty, texts):
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
-def test_tree_merge_gives_one_row_a_digest_for_any_shape(docs):
+def test_tree_merge_gives_one_row_a_digest_for_any_number_of_partitions(docs):
     leaves = exact_dedup.digests(docs)
-    want = leaves.select("digest").distinct().count()
-    for fanout, homes in ((2, 2), (2, 8), (4, 16)):
-        assert exact_dedup.merged(leaves, fanout, homes).count() == want
+    want = {(bytes(r["digest"]), r["n"]) for r in leaves.groupBy("digest").count().withColumnRenamed("count", "n").collect()}
+    for partitions in (1, 2, 3, 8):
+        got = exact_dedup.merged(leaves, partitions).collect()
+        assert {(bytes(r["digest"]), r["count"]) for r in got} == want and len(got) == len(want)
+
+
+def test_a_round_is_one_exchange_with_partners_only(spark):
+    leaves = exact_dedup.digests(spark.range(0, 64, 1, 8).selectExpr("id AS doc_id", "CAST(id % 20 AS string) AS text"))
+    plan = exact_dedup.merged(leaves, 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 3
 
 
 def sets_of(texts, words):
@@ -93,18 +100,28 @@ def test_frequent_runs_are_dealt_by_windows(spark, texts, monkeypatch):
     assert got == cut([x for x in texts if x[0] != 80], 13)
 
 
-def test_backward_search_counts_patterns():
+def test_matching_statistics_against_earlier_documents():
     import numpy as np
 
     r = random.Random(8)
-    text = np.array([r.choice([1, 1, 2, 3, 4, 5]) for _ in range(700)] + [0], np.int64)
-    index = fm_index.FmIndex(text, 6)
-    s = text.tolist()
-    for size in (1, 3, 7, 13):
-        ends = np.arange(size, 700)
-        length, lo, hi = index.statistics(text, ends, size)
-        assert (length == size).all()
-        for e, a, b in list(zip(ends.tolist(), lo.tolist(), hi.tolist(), strict=True))[::37]:
-            assert b - a == sum(s[i : i + size] == s[e - size : e] for i in range(700 - size + 1))
-    values = np.array([r.randrange(99) for _ in range(50)])
-    assert fm_index.range_minima(values, np.array([0, 3, 49]), np.array([50, 5, 50])).tolist() == [values.min(), values[3:5].min(), values[49]]
+    documents = [[r.choice([1, 1, 2, 3, 4, 5]) for _ in range(r.randint(1, 90))] for _ in range(12)]
+    text = np.array([x for d in documents for x in [*d, 0]], np.int32)
+    owners = np.array([k for k, d in enumerate(documents) for _ in range(len(d) + 1)], np.int32)
+    index = fm_index.FmIndex(text, 6, 100, owners)
+    begin = np.cumsum([0] + [len(d) + 1 for d in documents])[:-1]
+    places = [(k, e) for k, d in enumerate(documents) for e in range(1, len(d) + 1)]
+    own = np.array([k for k, _ in places])
+    for size in (1, 3, 7):
+        length, least = index.statistics(text, begin[own], begin[own] + [e for _, e in places], own.astype(np.int32), size)
+        for (k, e), n, m in zip(places, length.tolist(), least.tolist(), strict=True):
+            d = documents[k]
+            has = lambda part: [j for j, x in enumerate(documents) if any(x[i : i + len(part)] == part for i in range(len(x) - len(part) + 1))]  # noqa: E731, B023
+            assert n == max(i for i in range(e + 1) if i == 0 or has(d[e - i : e])[0] < k)
+            assert n < size or m == has(d[e - size : e])[0]
+
+
+def test_substring_dedup_of_rows_without_id_and_of_one_id_with_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(None, a), (None, a), (5, a), (5, a), (7, b), (7, f"{c} x {a}"), (9, f"{b} y {c}"), (10, f"{b}  y {c}")]
+    got = collections.Counter((r["id"], r["n_words"], r["n_removed"]) for r in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == collections.Counter([(None, 30, 0), (None, 30, 0), (5, 30, 0), (5, 30, 0), (7, 30, 0), (7, 61, 30), (9, 61, 60), (10, 61, 61)])
