@@ -7,6 +7,7 @@ alternatives and the repeats ? * + {m} {m,n}. Everything else is refused.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -118,43 +119,92 @@ class Nfa:
         return begin, end
 
 
-def search_automaton(rules: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray]:
-    """One automaton that finds where a match of any rule ends: (next state at [state * 256 + byte], accept mask by state).
+@dataclass(frozen=True)
+class Dfa:
+    """A minimal automaton: next state at [state * 256 + byte], accept mask by state; state 0 is the start, and no way leads out of `dead` (-1: there is no such state)."""
 
-    Subset construction over byte classes with the start set kept alive, so that matches
-    may begin anywhere; then Moore's partition refinement. State 0 is the start.
-    """
-    nfa = Nfa()
-    ends: dict[int, int] = {}
-    begins = []
+    nexts: np.ndarray
+    accepts: np.ndarray
+    dead: int
+
+    def furthest(self, data: bytes, at: int, stop: int, step: int) -> int | None:
+        """The last place in an accepting state on the way from `at` towards `stop`; the byte read at a place p is p, or p - 1 on the way back (step -1)."""
+        nexts, accepts, dead, state, found = *self.lists(), 0, None
+        while at != stop:
+            state = nexts[state << 8 | data[at if step > 0 else at - 1]]
+            at += step
+            if state == dead:
+                break
+            if accepts[state]:
+                found = at
+        return found
+
+    def lists(self) -> tuple[list[int], list[int], int]:
+        if "_lists" not in self.__dict__:
+            self.__dict__["_lists"] = (self.nexts.tolist(), self.accepts.tolist(), self.dead)
+        return self.__dict__["_lists"]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_lists"}
+
+
+def search_automaton(rules: list[tuple[str, bool]]) -> Dfa:
+    """One automaton that finds where a match of any rule ends; matches may begin anywhere. Bit k of a mask stands for rule k."""
+    nfa, ends, begins = Nfa(), {}, []
     for k, (rule, ignore_case) in enumerate(rules):
         begin, end = nfa.add(rule, ignore_case)
         begins.append(begin)
         ends[end] = 1 << k
+    return _minimal(nfa.empty, [[e] if e else [] for e in nfa.step], begins, ends, anywhere=True)
+
+
+def match_automaton(rule: str, ignore_case: bool = False) -> Dfa:
+    """One rule's automaton, matches beginning at the place where it starts."""
+    nfa = Nfa()
+    begin, end = nfa.add(rule, ignore_case)
+    return _minimal(nfa.empty, [[e] if e else [] for e in nfa.step], [begin], {end: 1}, anywhere=False)
+
+
+def backward_automaton(rule: str, ignore_case: bool = False) -> Dfa:
+    """One rule's automaton read from a match's end to its beginning."""
+    nfa = Nfa()
+    begin, end = nfa.add(rule, ignore_case)
+    empty: list[list[int]] = [[] for _ in nfa.empty]
+    steps: list[list[tuple[frozenset[int], int]]] = [[] for _ in nfa.empty]
+    for state, (nexts, edge) in enumerate(zip(nfa.empty, nfa.step, strict=True)):
+        for to in nexts:
+            empty[to].append(state)
+        if edge:
+            steps[edge[1]].append((edge[0], state))
+    return _minimal(empty, steps, [end], {begin: 1}, anywhere=False)
+
+
+def _minimal(empty: list[list[int]], steps: list[list[tuple[frozenset[int], int]]], begins: list[int], ends: dict[int, int], anywhere: bool) -> Dfa:
+    """Subset construction over byte classes (anywhere: with the start set kept alive), then Moore's partition refinement."""
 
     def closure(states: frozenset[int]) -> frozenset[int]:
         out, todo = set(states), list(states)
         while todo:
-            for t in nfa.empty[todo.pop()]:
+            for t in empty[todo.pop()]:
                 if t not in out:
                     out.add(t)
                     todo.append(t)
-        return frozenset(s for s in out if nfa.step[s] is not None or s in ends)
+        return frozenset(s for s in out if steps[s] or s in ends)
 
-    own = [edge[0] for edge in nfa.step if edge]
+    distinct = list({edge[0] for edges in steps for edge in edges})
     kinds: dict[tuple[bool, ...], int] = {}
-    distinct = list(set(own))
     kind = np.array([kinds.setdefault(tuple(b in c for c in distinct), len(kinds)) for b in range(256)])
     sample = [int(np.flatnonzero(kind == k)[0]) for k in range(len(kinds))]
+    again = frozenset(begins if anywhere else [])
     memo: dict[frozenset[int], frozenset[int]] = {}
     start = closure(frozenset(begins))
     index, table, todo = {start: 0}, [], [start]
     for states in todo:
         row = []
         for b in sample:
-            moved = frozenset(e[1] for s in states if (e := nfa.step[s]) and b in e[0])
+            moved = frozenset(to for s in states for own, to in steps[s] if b in own)
             if moved not in memo:
-                memo[moved] = closure(moved | frozenset(begins))
+                memo[moved] = closure(moved | again)
             to = memo[moved]
             if to not in index:
                 index[to] = len(index)
@@ -175,5 +225,6 @@ def search_automaton(rules: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndar
     block = np.array([number[int(b)] for b in block])
     first = np.zeros(len(number), np.int64)
     first[block[::-1]] = np.arange(len(block))[::-1]
-    small = block[moves[first]]
-    return small[:, kind].astype(np.int32).reshape(-1), accept[first].astype(np.int32)
+    small, accepts = block[moves[first]], accept[first].astype(np.int32)
+    dead = [k for k in range(len(first)) if not accepts[k] and (small[k] == k).all()]
+    return Dfa(small[:, kind].astype(np.int32).reshape(-1), accepts, dead[0] if dead and not anywhere else -1)

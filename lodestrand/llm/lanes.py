@@ -18,20 +18,23 @@ def cut(resets: np.ndarray, total: int, step: int) -> np.ndarray:
     return np.unique(np.concatenate(([0], starts[starts < total], [total]))).astype(np.int64)
 
 
-def scan(text: np.ndarray, starts: np.ndarray, nexts: np.ndarray, accepts: np.ndarray) -> np.ndarray:
-    """The union of accept masks met in each lane. nexts: next state at [state * 256 + byte]; the start state is 0."""
+def scan(text: np.ndarray, starts: np.ndarray, nexts: np.ndarray, accepts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where matches end (the places behind them, ascending) and the accept masks there. nexts: next state at [state * 256 + byte]; the start state is 0."""
     lengths = np.diff(starts)
     order = np.argsort(-lengths, kind="stable")
     by_length, at = lengths[order], starts[:-1][order].copy()
-    state, met = np.zeros(len(order), np.int32), np.zeros(len(order), accepts.dtype)
-    if not len(order):
-        return met
-    live = np.searchsorted(-by_length, -np.arange(int(by_length[0])), side="left")  # lanes longer than the step
+    state = np.zeros(len(order), np.int32)
+    places, masks = [np.zeros(0, np.int64)], [np.zeros(0, accepts.dtype)]
+    live = np.searchsorted(-by_length, -np.arange(int(by_length[0]) if len(order) else 0), side="left")  # lanes longer than the step
     for n in live:
         s = nexts[state[:n] * 256 + text[at[:n]]]
         state[:n] = s
-        met[:n] |= accepts[s]
         at[:n] += 1
-    out = np.zeros_like(met)
-    out[order] = met
-    return out
+        met = accepts[s]
+        if met.any():
+            some = np.flatnonzero(met)
+            places.append(at[some])
+            masks.append(met[some])
+    place, mask = np.concatenate(places), np.concatenate(masks)
+    order = np.argsort(place, kind="stable")
+    return place[order], mask[order]
