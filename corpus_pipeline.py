@@ -7,23 +7,29 @@ written as Parquet before the next begins. All but the last return the columns o
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.llm import exact_dedup, language, near_dedup, packing, secrets
 from lodestrand.llm.common import documents, stored
 
-#: A document goes if its language is undetermined, or if fewer of its 4-grams than this are known to the best language.
-LEAST_KNOWN = 0.02
+#: A document is in none of the learned languages if fewer of its 4-grams than this are known to the best one.
+LEAST_KNOWN = 0.3
+#: A document of so many 4-grams is in several languages if the best one's lead over the next is less than this share of what it is in texts of one language alone.
+#: Shorter documents can't be told, nor can languages that are nearly the same (where that lead is small).
+MIXED_FROM, LEAST_LEAD, LEAST_APART = 100, 0.3, 0.15
+
+
+def _in_one_language(found: dict[str, np.ndarray]) -> np.ndarray:
+    mixed = (found["grams"] >= MIXED_FROM) & (found["lead"] < LEAST_LEAD * found["apart"]) & (found["apart"] >= LEAST_APART)
+    return (found["lang_pred"] != "und") & (found["known"] >= LEAST_KNOWN) & ~mixed
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those in none of the learned languages; where nothing can be learned, nothing is dropped."""
+    """Drops documents without letters, those in none of the learned languages and those in several; where nothing can be learned, nothing is dropped."""
     model = language.trained_on(docs)
-    if not model.languages:
-        return docs
-    found = language.identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("known") >= LEAST_KNOWN)).select(F.col("id").alias("_found_id"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_found_id"]), "left_semi")
+    return language.in_language(docs, model, _in_one_language) if model.languages else docs
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ out; an empty table gives an empty result. With nothing learned at all, all rows
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import arrow_map, documents, id_and_text, utf8
+from lodestrand.llm.common import arrow_map, documents, id_and_text, parts, utf8
 
 #: Bounds of training: labelled rows of each language that are read, and n-grams kept of each.
 SAMPLE, GRAMS = 1500, 12_000
@@ -59,6 +60,7 @@ class Model:
     languages: tuple[str, ...]
     masks: tuple[np.ndarray, ...]
     false: np.ndarray
+    apart: np.ndarray  # [a, b]: the share of a's n-grams, as often as they occur, that b hasn't
 
 
 def _slots(keys: np.ndarray) -> list[np.ndarray]:
@@ -69,15 +71,20 @@ def _slots(keys: np.ndarray) -> list[np.ndarray]:
     return [((x >> (width * np.uint64(k))) & keep).astype(np.int32) for k in range(HASHES)]
 
 
-def build(sets: dict[str, np.ndarray]) -> Model:
-    """The bit-sliced filter of {language: its n-grams}."""
+def build(sets: dict[str, np.ndarray], counts: dict[str, np.ndarray] | None = None) -> Model:
+    """The bit-sliced filter of {language: its n-grams}; counts: how often each n-gram of a language occurs (once unless given)."""
     languages = tuple(sorted(sets))
     masks = [np.zeros(1 << SLOTS_LOG2, np.uint8) for _ in range(0, len(languages), 8)]
     for k, language in enumerate(languages):
         for slots in _slots(sets[language]):
             masks[k // 8][slots] |= np.uint8(1 << k % 8)
     fill = [np.mean(masks[k // 8] >> (k % 8) & 1) for k in range(len(languages))]
-    return Model(languages, tuple(masks), np.array(fill, float) ** HASHES)
+    apart = np.zeros((len(languages), len(languages)))
+    for i, a in enumerate(languages):
+        n = counts[a] if counts else np.ones(len(sets[a]))
+        for j, b in enumerate(languages):
+            apart[i, j] = n[~np.isin(sets[a], sets[b])].sum() / max(n.sum(), 1)
+    return Model(languages, tuple(masks), np.array(fill, float) ** HASHES, apart)
 
 
 def learn(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, keep: int = GRAMS) -> Model:
@@ -103,46 +110,64 @@ def learn(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
     counted = arrow_map(chosen, each, "lang string, gram long, n long", mb=1).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counted.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("k") <= keep)
-    sets: dict[str, list[int]] = {lang: [] for lang in counts}
-    for r in top.select("lang", "gram").collect():  # `keep` rows a language at most
-        sets[r["lang"]].append(r["gram"])
-    return build({lang: np.array(sorted(x), np.uint32) for lang, x in sets.items()})
+    sets: dict[str, list[tuple[int, int]]] = {lang: [] for lang in counts}
+    for r in top.select("lang", "gram", "n").collect():  # `keep` rows a language at most
+        sets[r["lang"]].append((r["gram"], r["n"]))
+    return build({lang: np.array([g for g, _ in x], np.uint32) for lang, x in sets.items()}, {lang: np.array([n for _, n in x], np.int64) for lang, x in sets.items()})
+
+
+def judged(column: pa.Array, model: Model) -> dict[str, np.ndarray]:
+    """lang_pred, score (the share of the winner among all corrected counts), known (the share of n-grams that the winner knows), lead (the winner's corrected count less the runner-up's, as a share of the winner's), apart (what that lead is in texts of one of the two languages alone, the smaller of both) and grams (how many n-grams there are) of each text."""
+    import regex
+
+    names, letter = model.languages, regex.compile(r"\p{L}")
+    g, begin, end = _joined(column)
+    n = len(column)
+    slots = _slots(g)
+    hits = np.zeros((len(names), n))
+    for plane, table in enumerate(model.masks):
+        mask = table[slots[0]]
+        for s in slots[1:]:
+            mask &= table[s]
+        for k in range(min(8, len(names) - 8 * plane)):
+            total = np.concatenate(([0], np.cumsum(mask >> k & 1, dtype=np.int64)))
+            hits[8 * plane + k] = total[end] - total[begin]
+    many = np.maximum(end - begin, 1)
+    best, whole, top, second, apart = np.zeros(n, int), np.zeros(n), np.zeros(n), np.zeros(n), np.ones(n)
+    if len(names):
+        right = np.maximum((hits - many * model.false[:, None]) / (1 - model.false[:, None]), 0)
+        best, whole, top = right.argmax(0), right.sum(0), right.max(0)
+        if len(names) > 1:
+            order = np.argsort(right, 0, kind="stable")
+            second, apart = right[order[-2], np.arange(n)], np.minimum(model.apart, model.apart.T)[order[-1], order[-2]]
+    some = np.array([t is not None and letter.search(t) is not None for t in column.to_pylist()], bool) & bool(names)
+    return {
+        "lang_pred": np.array([names[b] if s else "und" for b, s in zip(best, some, strict=True)], object), "score": np.where(some & (whole > 0), top / np.maximum(whole, 1e-9), 0.0),
+        "known": np.where(some, np.minimum(top / many, 1.0), 0.0), "lead": np.where(some, (top - second) / np.maximum(top, 1e-9), 0.0), "apart": apart, "grams": end - begin,
+    }
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id, lang_pred, score (the share of the winner among all corrected counts) and known (the share of n-grams that the winner knows)."""
-    names = model.languages
+    """Columns id and those of judged(), one row for each row of `df`."""
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
-        import regex
-
-        letter = regex.compile(r"\p{L}")
-        g, begin, end = _joined(batch.column(1))
-        n = batch.num_rows
-        slots = _slots(g)
-        hits = np.zeros((len(names), n))
-        for plane, table in enumerate(model.masks):
-            mask = table[slots[0]]
-            for s in slots[1:]:
-                mask &= table[s]
-            for k in range(min(8, len(names) - 8 * plane)):
-                total = np.concatenate(([0], np.cumsum(mask >> k & 1, dtype=np.int64)))
-                hits[8 * plane + k] = total[end] - total[begin]
-        many = np.maximum(end - begin, 1)
-        if len(names):
-            right = np.maximum((hits - many * model.false[:, None]) / (1 - model.false[:, None]), 0)
-            best, whole = right.argmax(0), right.sum(0)
-            top = right.max(0)
-        else:
-            best, whole, top = np.zeros(n, int), np.zeros(n), np.zeros(n)
-        some = np.array([t is not None and letter.search(t) is not None for t in batch.column(1).to_pylist()], bool) & bool(names)
-        score = np.where(some & (whole > 0), top / np.maximum(whole, 1e-9), 0.0)
-        return {
-            "id": batch.column(0), "lang_pred": [names[b] if s else "und" for b, s in zip(best, some, strict=True)],
-            "score": pa.array(score), "known": pa.array(np.where(some, np.minimum(top / many, 1.0), 0.0)),
-        }
-
-    return arrow_map(id_and_text(df, id_col, text_col), each, "id long, lang_pred string, score double, known double", mb=1)
+        return {"id": batch.column(0), **{k: pa.array(v) for k, v in judged(batch.column(1), model).items()}}
+
+    return arrow_map(id_and_text(df, id_col, text_col), each, "id long, lang_pred string, score double, known double, lead double, apart double, grams long", mb=1)
+
+
+def in_language(df: DataFrame, model: Model, keep: Callable[[dict[str, np.ndarray]], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows of `df`, with all their columns, that `keep` says yes to, given what judged() has of their texts. Nothing is shuffled, and each row is judged for itself."""
+    place, names = df.columns.index(text_col), df.columns
+
+    def run(batches):
+        for whole in batches:
+            named = whole.rename_columns([("text" if i == place else f"c{i}") for i in range(len(names))])
+            for part in parts(named, 1 << 20):
+                mask = pa.array(keep(judged(part.column(place), model)))
+                yield pa.RecordBatch.from_arrays(part.columns, schema=whole.schema).filter(mask)
+
+    return df.mapInArrow(run, df.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

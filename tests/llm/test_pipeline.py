@@ -37,6 +37,30 @@ def test_repeated_rows_and_rows_without_id(spark, docs):
     assert {k for k, _ in got} == alone | {None}
 
 
+def test_language_stage_drops_foreign_and_mixed_rows_and_keeps_clean_ones(spark, tmp_path):
+    import random
+
+    r = random.Random(11)
+    syllables = {"en": ["the", "ing", "and", "th", "er", "on", "an", "ou"], "de": ["ch", "ein", "der", "ung", "sch", "keit", "ge", "zu"], "fi": ["kk", "ää", "yt", "vu", "jok", "pii", "uo", "hy"]}
+    text = lambda lang, n: " ".join("".join(r.choice(syllables[lang]) for _ in range(r.randint(1, 4))) for _ in range(n))
+    clean = [(k, text(lang, r.randint(3, 120)), lang) for k, lang in enumerate(["en", "de"] * 200)]
+    bad = [(1000 + k, text("fi", 60), None) for k in range(30)] + [(1100 + k, text("en", 60) + " " + text("de", 47), None) for k in range(30)] + [(1200, "4 5 6", "en"), (1201, None, "de"), (None, "", None)]
+    schema = "doc_id long, text string, lang string, id int, known string"
+    docs = spark.createDataFrame([(k, t, lang, 7, "x") for k, t, lang in clean + bad + clean[:1]], schema)
+    kept = corpus_pipeline.language_id(spark, docs, str(tmp_path))
+    got = [r_["doc_id"] for r_ in kept.collect()]
+    assert kept.dtypes == docs.dtypes and got.count(0) == 2
+    assert len({k for k in got if k is not None and k < 1000}) >= 0.99 * len(clean)
+    assert not {1200, 1201, None} & set(got) and sum(1000 <= (k or 0) < 1100 for k in got) == 0
+    assert sum(1100 <= (k or 0) < 1200 for k in got) <= 8
+
+
+def test_stages_of_an_empty_table(spark, empty, tmp_path):
+    now = empty.selectExpr("doc_id", "text", "lang", "'s' AS source", "cast(0 AS long) AS n_chars")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, now, str(tmp_path)).count() == 0
+
+
 def test_registered():
     assert {f"op{k}" for k in range(1, 11)} == {name.split("_")[0] for name in queries.queries()}
     assert set(queries.oracle_sql()) <= set(queries.queries()) and "pipeline" in corpus_pipeline.queries()
