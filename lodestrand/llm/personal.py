@@ -5,8 +5,10 @@ the sum over its segments of weights of whole-span features (shape, number of di
 digit, value of groups, neighbouring words, length), with segments of a kind bounded to
 MOST tokens; dynamic programming finds boundaries and kinds together. Weights are trained
 by gradient steps on the log-likelihood (forward and backward sums over all segmentations)
-of a bounded sample of stretches labelled by the base expressions; in half of the steps a
-leading plus is hidden, so that numbers are known by their form and neighbours as well.
+of a bounded sample of stretches labelled by the base expressions; in two of three steps
+their entities are rewritten as people write them elsewhere (numbers without plus and country,
+other separators, addresses in words), or into what looks alike and is none (dates, numbers
+whose check digit is wrong, versions), so that the field knows more forms than the base has.
 Added spans need odds of at least SURE against no entity and never overlap base spans.
 
 Null and empty texts have no spans. Repeated rows are answered one by one; an empty table
@@ -77,6 +79,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|[\w]")
 _SEED = re.compile(r"[0-9]+|@|\b(?:at|AT)\b")
+_WORDED = r"\b(?:dot|DOT)\b|[(\[](?:at|AT)[)\]]"
+#: What an address in words has for signs, and one that is read with signs put there.
+_AT, _DOT = re.compile(r"\s*[(\[]?\b(?:at|AT)\b[)\]]?\s*|\s*@\s*"), re.compile(r"\s+(?:dot|DOT)\s+")
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_RUN = re.compile(r"[0-9]+")
 _SHAPE = re.compile(r"[0-9]+|[^\W\d_]+|\s+")
 
 
@@ -92,7 +99,7 @@ def stretches(text: str) -> list[list[tuple[int, int]]]:
     made = []
     for a, b in out:
         tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, a, b)]
-        if sum(text[s].isdigit() for s, _ in tokens) >= 3 or "@" in text[a:b] or re.search(r"\b(?:dot|DOT)\b", text[a:b]):
+        if sum(text[s].isdigit() for s, _ in tokens) >= 3 or "@" in text[a:b] or re.search(_WORDED, text[a:b]):
             made.append(tokens)
     return made
 
@@ -101,7 +108,7 @@ def _clean(word: str) -> str:
     return word.lower()[:12]
 
 
-def segments(text: str, tokens: list[tuple[int, int]], hide: bool = False) -> list[tuple[int, int, int, list[str]]]:
+def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int, list[str]]]:
     """All segments of the lattice: (first token, token behind, kind or -1, features)."""
     out = []
     n = len(tokens)
@@ -122,28 +129,62 @@ def segments(text: str, tokens: list[tuple[int, int]], hide: bool = False) -> li
                 marks += 1
             if c not in "9a" or digits > 24:
                 continue
-            kinds = [0] if marks == 1 and j - i >= 4 else [] if marks or what[i] == "a" or c == "a" else [k for k, ok in ((1, 4 <= digits <= 12 and j - i == 6), (2, 13 <= digits <= 19), (3, 7 <= digits <= 15)) if ok]
+            kinds = [0] if marks == 1 and j - i >= 4 else [] if marks or what[i] == "a" or c == "a" else [k for k, ok in ((1, 4 <= digits <= 12 and j - i == 6 and what[i + 1 : j : 2] == ["."] * 3), (2, 13 <= digits <= 19), (3, 7 <= digits <= 15)) if ok]
             if not kinds or kinds != [0] and "a" in what[i : j + 1]:
                 continue
             whole = text[a : tokens[j][1]]
             bare = _SHAPE.sub(lambda m: str(min(len(m[0]), 9)) if m[0][0].isdigit() else "a" if m[0][0].isalpha() else " ", whole)
-            if hide:
-                bare = bare.lstrip("+")
             left = _clean(text[tokens[i - 1][0] : tokens[i - 1][1]]) if i else "^"
             right = what[j + 1] if j + 1 < n else "$"
             for k in kinds:
                 d = _digits(whole)
-                f = [f"{k}:bias", f"{k}:shape:{bare[:28]}", f"{k}:digits:{digits}", f"{k}:left:{left}", f"{k}:right:{right}", f"{k}:tokens:{j - i + 1}", f"{k}:first:{'' if hide and what[i] == '+' else what[i]}"]
+                f = [f"{k}:bias", f"{k}:shape:{bare[:28]}", f"{k}:groups:{'-'.join(str(len(x)) for x in _RUN.findall(whole)[:6]) if k else ''}", f"{k}:digits:{digits}", f"{k}:left:{left}", f"{k}:right:{right}", f"{k}:tokens:{j - i + 1}", f"{k}:first:{what[i]}"]
                 if k == 1:
                     f.append(f"1:octets:{all(int(x) <= 255 for x in re.findall('[0-9]+', whole))}:{whole.count('.')}")
                 if k == 2:
                     f.append(f"2:check:{_luhn(d)}")
                 if k == 0:
+                    read = _AT.sub("@", _DOT.sub(".", whole))
+                    f += [f"0:reads:{bool(_ADDRESS.fullmatch(read))}"] * (j - i + 2)  # once, and once for each token that would else be none
                     f.append(f"0:mark:{'@' in whole}:{'dot' in whole.lower() or '.' in whole.split('@')[-1]}")
                 out.append((i, j + 1, k, f))
     return out
 
 
+def _other_form(kind: int, whole: str, way: int) -> tuple[str, bool]:
+    """An entity in another form, or something that looks alike; and whether it is an entity still."""
+    d = _digits(whole)
+    if kind == 3 and len(d) >= 10:
+        x, y, z = d[-10:-7], d[-7:-4], d[-4:]
+        return [(f"({x}) {y}-{z}", True), (f"{x}-{y}-{z}", True), (f"{x}.{y}.{z}", True), (f"{x} {y} {z}", True), (f"({x}) {y} {z}", True), (f"20{x[:2]}-0{y[0]}-1{z[0]}", False), (f"{x[:2]}.0{y[0]}.20{z[:2]}", False), (f"{x},{y},{z[:3]}.{z[2:]}", False)][way % 8]
+    if kind == 2:
+        four = [d[k : k + 4] for k in range(0, len(d), 4)]
+        wrong = d[:-1] + str((int(d[-1]) + 1) % 10)
+        return [(".".join(four), True), ("/".join(four), True), (". ".join(four), True), (whole, True), (wrong, False), (".".join(wrong[k : k + 4] for k in range(0, len(d), 4)), False), (f"{d[:2]}/{d[2:4]}/{d[4:8]}", False)][way % 7]
+    if kind == 0 and "@" in whole:
+        local, _, domain = whole.partition("@")
+        return [(f"{local} at {domain.replace('.', ' dot ')}", True), (f"{local} (at) {domain}", True), (f"{local} [at] {domain.replace('.', ' dot ')}", True), (whole, True), (f"{local} at {domain.partition('.')[0]}", False)][way % 5]
+    if kind == 1:
+        return [(whole, True), (whole, True), (whole.rpartition(".")[0], False)][way % 3]
+    return whole, True
+
+
+def rewritten(text: str, spans: list[tuple[int, int, int]], way: int) -> tuple[str, list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """(text, tokens, spans) with entities in other forms."""
+    out, found, at, size = [], [], 0, 0
+    for n, (kind, a, b) in enumerate(sorted(spans, key=lambda x: x[1])):
+        if a < at:
+            continue
+        form, is_one = _other_form(kind, text[a:b], way + n)
+        out += [text[at:a], form]
+        size += a - at
+        if is_one:
+            found.append((kind, size, size + len(form)))
+        at, size = b, size + len(form)
+    whole = "".join([*out, text[at:]])
+    return whole, [(m.start(), m.end()) for m in _TOKEN.finditer(whole)], found
+
+
 def _sum(values: list[float]) -> float:
     top = max(values)
     return top + math.log(sum(math.exp(v - top) for v in values))
@@ -158,7 +199,9 @@ def train(examples: list[tuple[str, list[tuple[int, int]], list[tuple[int, int,
     weights: dict[str, float] = {}
     for turn in range(passes):
         for number, (text, tokens, spans) in enumerate(examples):
-            lattice = segments(text, tokens, hide=(turn + number) % 2 == 1)
+            if way := (turn + number) % 3:
+                text, tokens, spans = rewritten(text, spans, number // 3 + 3 * turn + way)
+            lattice = segments(text, tokens)
             gold = {(a, b): k for k, a, b in spans}
             right, taken, covered = set(), [], set()
             for s, (i, j, k, _) in enumerate(lattice):
@@ -214,7 +257,7 @@ def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, float],
             if i >= hi or k >= 0 and score[s] - (none[j] - none[i]) < SURE:
                 continue
             v = best[i] + score[s]
-            if v > best[j]:
+            if v > best[j] + 1e-9:  # so that rounding decides nothing
                 best[j], how[j] = v, (i, k)
             if k >= 0:
                 reach = max(reach, j)
@@ -263,7 +306,7 @@ def find_personal(df: DataFrame, weights: dict[str, float], id_col: str = "doc_i
         column = batch.column(1)
         body, at = utf8(column)
         seeds = np.concatenate(([0], np.cumsum((body - 48 < 10) | (body == 64), dtype=np.int64)))
-        worded = pc.fill_null(pc.match_substring_regex(column, r"\b(?:dot|DOT)\b"), False).to_numpy(zero_copy_only=False)
+        worded = pc.fill_null(pc.match_substring_regex(column, _WORDED), False).to_numpy(zero_copy_only=False)
         rows: list[list[dict]] = [[] for _ in range(batch.num_rows)]
         for i in np.flatnonzero((seeds[at[1:]] > seeds[at[:-1]]) | worded):  # no span does without a digit, an at-sign or, beside the word at, the word dot
             text = column[int(i)].as_py()
