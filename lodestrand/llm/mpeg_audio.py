@@ -4,8 +4,9 @@ write_stream() stores bytes losslessly in a variable-bitrate MPEG-1 Layer III st
 a frame with the variable-bitrate table, then frames whose main data (8-bit units) carry the
 payload while the side information says silence. read_stream() reads any stream of MPEG-1, 2
 or 2.5, Layers I to III: it skips and parses tags, finds the first frame header, follows
-frame lengths, resynchronises behind junk, parses the variable-bitrate table, verifies frame
-checksums, and gives the exact duration (samples over rate) and each frame's byte offset.
+frame lengths, resynchronises behind junk, parses the variable-bitrate table (Xing, Info or
+VBRI), verifies the frame checksums of all layers, and gives the exact duration (samples over
+rate, as a fraction) and each frame's byte offset.
 
 Null and empty texts are stored as 64 zero bytes. Damaged streams give what can be read:
 junk bytes and failing checksums are counted. A null stream has null features. Repeated
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass, field
+from fractions import Fraction
 from functools import cache
 
 import pyarrow as pa
@@ -51,6 +53,19 @@ class Header:
     mono: bool
     one: bool  # MPEG-1
     protected: bool
+    bound: int = 32  # the first subband whose allocation both channels share
+
+    @property
+    def widths(self) -> tuple[int, ...]:
+        """Bits of each subband's allocation in Layers I and II."""
+        if self.layer == 1:
+            return (4,) * 32
+        if not self.one:
+            return (4,) * 4 + (3,) * 7 + (2,) * 19
+        each = self.kbits if self.mono else self.kbits // 2
+        if each <= 48:
+            return (4,) * 2 + (3,) * (10 if self.rate == 32000 else 6)
+        return (4,) * 11 + (3,) * 12 + (2,) * (4 if self.rate == 48000 or each <= 80 else 7)
 
     @property
     def side(self) -> int:
@@ -72,7 +87,7 @@ def header(word: int) -> Header | None:
     else:
         samples = 1152 if one or layer == 2 else 576
         length = samples // 8 * 1000 * kbits // hertz + pad
-    return Header(length, samples, hertz, kbits, layer, word >> 6 & 3 == 3, one, not word >> 16 & 1)
+    return Header(length, samples, hertz, kbits, layer, word >> 6 & 3 == 3, one, not word >> 16 & 1, 4 * ((word >> 4 & 3) + 1) if word >> 6 & 3 == 1 else 32)
 
 
 def _table() -> tuple[int, ...]:
@@ -97,6 +112,31 @@ def checksum(protected: bytes) -> int:
     return x
 
 
+def _bit_checksum(bits: str) -> int:
+    x = 0xFFFF
+    for b in bits:
+        x = (x << 1 & 0xFFFF) ^ (0x8005 if (x >> 15) ^ (b == "1") else 0)
+    return x
+
+
+def frame_checksum(data: bytes, at: int, h: Header) -> int:
+    """What the checksum of the protected frame at `at` should be: over header bytes 2 and 3, and the side information (Layer III), the allocation (I), or the allocation and the scale factor selection (II)."""
+    body = at + 6
+    if h.layer == 3:
+        return checksum(data[at + 2 : at + 4] + data[body : body + h.side])
+    bits = "".join(f"{b:08b}" for b in data[body : min(at + h.length, body + 72)])
+    place, used = 0, 0  # allocated subbands, counted by channel
+    channels = 1 if h.mono else 2
+    for k, width in enumerate(h.widths):
+        for _ in range(1 if k >= h.bound else channels):
+            if "1" in bits[place : place + width]:
+                used += channels if k >= h.bound else 1
+            place += width
+    if h.layer == 2:
+        place += 2 * used
+    return _bit_checksum("".join(f"{b:08b}" for b in data[at + 2 : at + 4]) + bits[:place])
+
+
 # MPEG-1 Layer III, checksum present, 32 kHz, mono: the frames that write_stream() uses.
 _OVER = 4 + 2 + 17
 
@@ -155,6 +195,7 @@ class Stream:
     offsets: list[int] = field(default_factory=list)
     samples: int = 0
     rate: int = 0
+    seconds: dict[int, int] = field(default_factory=dict)  # samples by rate
     kbits: dict[int, int] = field(default_factory=dict)
     bad_checksums: int = 0
     unprotected: int = 0
@@ -167,21 +208,31 @@ class Stream:
 
 
 def _tag(data: bytes, out: Stream) -> int:
-    """Parses an ID3v2 tag at the start; where the audio begins."""
+    """Parses an ID3v2 tag (2.2 to 2.4, with extended header and unsynchronisation) at the start; where the audio begins."""
     if data[:3] != b"ID3" or len(data) < 10:
         return 0
     safe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
-    end, at = min(10 + safe(data[6:10]), len(data)), 10
-    while at + 10 <= end and data[at : at + 4].strip(b"\0"):
-        name = data[at : at + 4].decode("latin-1")
-        size = safe(data[at + 4 : at + 8]) if data[3] >= 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        body = data[at + 10 : min(at + 10 + size, end)]
+    version, flags = data[3], data[5]
+    end = min(10 + safe(data[6:10]), len(data))
+    held, at = data[10:end], 0
+    if flags & 128 and version < 4:
+        held = held.replace(b"\xff\0", b"\xff")
+    if flags & 64 and version > 2 and len(held) >= 4:  # of 2.3 its size leaves the size field out
+        at = safe(held[:4]) if version >= 4 else 4 + int.from_bytes(held[:4], "big")
+    head, letters = (6, 3) if version == 2 else (10, 4)
+    while at + head <= len(held) and held[at : at + letters].strip(b"\0"):
+        name = held[at : at + letters].decode("latin-1")
+        size = int.from_bytes(held[at + 3 : at + 6], "big") if version == 2 else safe(held[at + 4 : at + 8]) if version >= 4 else int.from_bytes(held[at + 4 : at + 8], "big")
+        body = held[at + head : at + head + size]
+        if version >= 4 and held[at + 9] & 2:
+            body = body[4 if held[at + 9] & 1 else 0 :].replace(b"\xff\0", b"\xff")
         if name[0] == "T" and body:
             text = body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[body[0] & 3], "replace")
             key, _, value = text.partition("\0")
-            out.notes[key if name == "TXXX" else name] = value if name == "TXXX" else key
-        at += 10 + size
-    return end + (10 if data[5] & 16 else 0)
+            own = name in ("TXXX", "TXX")
+            out.notes[key if own else name] = value.rstrip("\0") if own else key
+        at += head + size
+    return end + (10 if flags & 16 else 0)
 
 
 def _at(data: bytes, at: int, end: int, tag: int) -> Header | None:
@@ -200,7 +251,7 @@ def read_stream(data: bytes) -> Stream:
     out = Stream()
     at, end = _tag(data, out), len(data)
     tag = end - 128 if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" else end  # a closing tag only if no frame holds these bytes
-    start, first = at, True
+    start, first, seek, steps = at, True, b"", None
     while at < end:
         h = _at(data, at, end, tag)
         if h is None:
@@ -216,11 +267,10 @@ def read_stream(data: bytes) -> Stream:
             out.junk += at - seen
             out.resyncs += 1
         body = at + (6 if h.protected else 4)
-        if h.protected and h.layer == 3:
-            if checksum(data[at + 2 : at + 4] + data[body : body + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big"):
-                out.bad_checksums += 1
-        elif not h.protected:
+        if not h.protected:
             out.unprotected += 1
+        elif frame_checksum(data, at, h) != int.from_bytes(data[at + 4 : at + 6], "big"):
+            out.bad_checksums += 1
         main = body + h.side
         if first and data[main : main + 4] in (b"Xing", b"Info"):
             flags, p = int.from_bytes(data[main + 4 : main + 8], "big"), main + 8
@@ -229,11 +279,15 @@ def read_stream(data: bytes) -> Stream:
             if flags & 2:
                 out.table_bytes, p = int.from_bytes(data[p : p + 4], "big"), p + 4
             seek, start = data[p : p + 100] if flags & 4 else b"", at
+        elif first and data[at + 36 : at + 40] == b"VBRI" and at + 62 <= end:
+            out.table_bytes, out.table_frames = struct.unpack(">II", data[at + 46 : at + 54])
+            many, scale, width, each = struct.unpack(">HHHH", data[at + 54 : at + 62])
+            cells = [int.from_bytes(data[p : p + width], "big") * scale for p in range(at + 62, min(at + 62 + many * width, at + h.length), max(width, 1))]
+            seek, start, steps = b"", at, (cells, each)
         else:
-            if first:
-                seek = b""
             out.offsets.append(at)
             out.samples += h.samples
+            out.seconds[h.rate] = out.seconds.get(h.rate, 0) + h.samples
             out.rate = out.rate or h.rate
             out.kbits[h.kbits] = out.kbits.get(h.kbits, 0) + 1
             out.main.append(data[main : at + h.length])
@@ -241,7 +295,15 @@ def read_stream(data: bytes) -> Stream:
         at += h.length
     if end < len(data):
         out.notes.setdefault("TIT2", data[end + 3 : end + 33].split(b"\0")[0].decode("latin-1").strip())
-    if out.table_frames is not None:
+    if steps is not None:
+        cells, each = steps  # each cell has the bytes of so many frames; the frame with the table may be counted or not
+        place, ends = start, set(out.offsets) | {end, start}
+        n, fits = len(out.offsets), True
+        for cell in cells:
+            place += cell
+            fits &= place in ends or place >= end
+        out.table_right = fits and out.table_frames in (n, n + 1) and out.table_bytes == end - start
+    elif out.table_frames is not None:
         n = len(out.offsets)
         right = n == out.table_frames and out.table_bytes in (None, end - start)
         out.table_right = right and (not seek or seek == bytes((out.offsets[i * n // 100] - start) * 256 // (end - start) for i in range(100)))
@@ -263,21 +325,22 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit
 
 
 FEATURES = (
-    "struct<tags: map<string, string>, frames: int, samples: long, rate: int, duration_us: long, kbits: map<int, int>, bad_checksums: int, "
+    "struct<tags: map<string, string>, frames: int, samples: long, rate: int, duration: struct<numerator: long, denominator: long>, duration_us: long, kbits: map<int, int>, bad_checksums: int, "
     "unprotected: int, resyncs: int, junk_bytes: long, table_frames: int, table_right: boolean, seek_offsets: array<long>>"
 )
 
 
 def _features(s: Stream) -> dict[str, object]:
+    seconds = sum((Fraction(n, rate) for rate, n in s.seconds.items()), Fraction(0))
     return {
         "tags": list(s.notes.items()), "frames": len(s.offsets), "samples": s.samples, "rate": s.rate,
-        "duration_us": s.samples * 1_000_000 // s.rate if s.rate else 0, "kbits": sorted(s.kbits.items()), "bad_checksums": s.bad_checksums,
+        "duration": {"numerator": seconds.numerator, "denominator": seconds.denominator}, "duration_us": int(seconds * 1_000_000), "kbits": sorted(s.kbits.items()), "bad_checksums": s.bad_checksums,
         "unprotected": s.unprotected, "resyncs": s.resyncs, "junk_bytes": s.junk, "table_frames": s.table_frames, "table_right": s.table_right, "seek_offsets": s.offsets,
     }
 
 
 def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """The other columns of `df`, payload and features (duration_us is rounded down; samples over rate is exact).
+    """The other columns of `df`, payload and features (duration is exact, in seconds as a fraction in lowest terms; duration_us is rounded down).
 
     Columns of `df` that are named payload or features give way to the new ones.
     """
