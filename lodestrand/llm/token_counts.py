@@ -11,9 +11,16 @@ of its own, after which the state is the start state again and the sum of annota
 the word's count. Transitions are compiled when they are first met and kept by the worker.
 
 Texts are cut into chunks of equal size, whatever stands at the cuts. A chunk's map of
-states is: what a word's rest at its front does to the state before it, then (if a word
-begins inside) a constant. Chunks run side by side from their first word on; a prefix scan
-over the maps then gives every chunk the state that enters it, and the fronts are counted.
+states is constant behind its first word end; before that (its front), or all through it if
+a word spans it, it depends on the state that enters. Chunks run side by side from their
+first word on. A chunk inside a word has its map taken at the state that a run-up of
+WARM bytes leads to (only the last bytes matter, so that state is nearly always the right
+one); maps of neighbours compose where one's exit is the other's entry, which a scan of
+doubling spans finds for all chunks at once, and only where they don't fit a map is taken
+again at the true state. Then all fronts are counted.
+
+A worker's table is bounded: when it is full it is dropped, and the batch is halved. A text
+that is one endless word is run in segments, with the state carried by value over the drop.
 
 Null and empty texts have no tokens. Strings of special tokens inside a text count as one
 token each, as the library has it. Repeated rows are answered one by one; an empty table
@@ -33,8 +40,8 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm.common import HELD, arrow_map, documents, id_and_text, texts
 
-#: Bytes of a chunk, and states at which a worker drops what it has compiled and begins again.
-CHUNK, STATES = 256, 240_000
+#: Bytes of a chunk and of a run-up, states at which a worker drops what it has compiled and begins again, and bytes of an endless word between looks at that bound.
+CHUNK, WARM, STATES, SEGMENT = 256, 64, 240_000, 32_768
 SPACE, LETTER, DIGIT, OTHER, MARK = range(5)  # kinds of characters; MARK stands for a special token's string
 _WS = "\t-\r \x85\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -139,6 +146,13 @@ class Transducer:
         self.table(1 << 16)
         self.filled = 0
 
+    def entry(self, state: tuple) -> int:
+        """The number of a state that is given by value."""
+        if state not in self.number:
+            self.number[state] = len(self.state)
+            self.state.append(state)
+        return self.number[state]
+
     def table(self, size: int) -> None:
         """Transitions by code (state * 512 + symbol) in an open-addressing table: next state, tokens more, the token that ends with the symbol."""
         self.shift = np.uint64(64 - size.bit_length() + 1)
@@ -172,10 +186,7 @@ class Transducer:
         made = []
         for code in codes.tolist():
             to, more, last = self._step(self.state[code >> 9], code & 511)
-            if to not in self.number:
-                self.number[to] = len(self.state)
-                self.state.append(to)
-            made.append((self.number[to], more, last))
+            made.append((self.entry(to), more, last))
         add = codes, *(np.array(x) for x in zip(*made, strict=True))
         self.filled += len(codes)
         if self.filled * 5 > len(self.code) * 2:
@@ -312,15 +323,18 @@ def words(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return body[keep], ends, starts
 
 
-def run(machine: Transducer, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Runs lanes of symbols side by side from the given states: (states, tokens) at their ends."""
+def run(machine: Transducer, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray, bounded: bool, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Runs lanes of symbols side by side from the given states: (states, tokens) at their ends. last: takes the token that ends with each symbol, and then tokens aren't counted."""
     order = np.argsort(-length, kind="stable")
     by_length, at, s = length[order], begin[order].copy(), state[order].astype(np.int64)
     total = np.zeros(len(order), np.int64)
     live = np.searchsorted(-by_length, -np.arange(int(by_length[0]) if len(order) else 0), side="left")
     for n in live:
         slot = machine.slots(s[:n] * 512 + symbols[at[:n]], bounded)
-        total[:n] += machine.emit[slot]
+        if last is None:
+            total[:n] += machine.emit[slot]
+        else:
+            last[at[:n]] = machine.last[slot]
         s[:n] = machine.next[slot]
         at[:n] += 1
     states, tokens = np.zeros(len(order), np.int32), np.zeros(len(order), np.int64)
@@ -328,20 +342,29 @@ def run(machine: Transducer, symbols: np.ndarray, begin: np.ndarray, length: np.
     return states, tokens
 
 
+def run_endless(machine: Transducer, symbols: np.ndarray, last: np.ndarray | None = None) -> int:
+    """The tokens of one sequence of symbols from the start state, whatever its length, with a table that stays bounded."""
+    state, total = machine.state[0], 0
+    for lo in range(0, len(symbols), SEGMENT):
+        if len(machine.state) > STATES - 2 * SEGMENT:
+            machine.reset()
+        one = np.array([min(SEGMENT, len(symbols) - lo)])
+        at, tokens = run(machine, symbols, np.array([lo]), one, np.array([machine.entry(state)]), False, last)
+        state, total = machine.state[int(at[0])], total + int(tokens[0])
+    return total
+
+
 def encoded(machine: Transducer, words: list[bytes]) -> list[bytes]:
     """The ids of whole words (little-endian unsigned 32-bit): the transducer's last tokens, read from each word's end backwards."""
     size = np.array([len(w) for w in words], np.int64)
     stop = np.cumsum(size)
     symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
     symbols[stop - 1] += 256
-    order = np.argsort(-size, kind="stable")
-    by_length, at, s = size[order], (stop - size)[order], np.zeros(len(words), np.int64)
     last = np.zeros(len(symbols), np.int32)
-    for n in np.searchsorted(-by_length, -np.arange(int(by_length[0])), side="left"):
-        slot = machine.slots(s[:n] * 512 + symbols[at[:n]], len(words) > 1)
-        last[at[:n]] = machine.last[slot]
-        s[:n] = machine.next[slot]
-        at[:n] += 1
+    if len(words) == 1:
+        run_endless(machine, symbols, last)
+    else:
+        run(machine, symbols, stop - size, size, np.zeros(len(size), np.int32), True, last)
     if not hasattr(machine, "long"):
         machine.long, machine.id = np.array([len(t) for t in machine.tokens]), np.array(machine.ids, np.uint32)
     # `where` walks back; tokens are written where they begin, so that reading on gives them in order
@@ -360,6 +383,12 @@ def encoded(machine: Transducer, words: list[bytes]) -> list[bytes]:
     return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _same_chain(linked: np.ndarray, span: int) -> np.ndarray:
+    """Whether each place from `span` on is linked, step by step, to the one `span` before it."""
+    breaks = np.concatenate(([0], np.cumsum(~linked)))
+    return breaks[span + 1 :] == breaks[1 : len(breaks) - span]
+
+
 def counted(machine: Transducer, batch: list[str], chunk: int = CHUNK, bounded: bool = True) -> np.ndarray:
     """The tokens of each normal text without special tokens' strings."""
     body, ends, starts = words(batch)
@@ -380,25 +409,32 @@ def counted(machine: Transducer, batch: list[str], chunk: int = CHUNK, bounded:
     fixed |= word_begins
     zero = np.zeros(len(begin), np.int32)
     out, tokens = run(machine, symbols, begin + front, length - front, zero, bounded)
-    # scan: a chunk that is entered inside a word takes the state that its predecessor leaves; without a word end inside it passes its own on
-    waiting = np.flatnonzero(~word_begins)
-    before = waiting - 1
-    # the depth of a chunk is how many chunks in a row before it only pass states on
-    last_fixed = np.maximum.accumulate(np.where(fixed, np.arange(len(begin)), 0))
-    depth = before - last_fixed[before]
-    for d in range(int(depth.max()) + 1 if len(depth) else 0):
-        now = waiting[depth == d]
-        entered = out[now - 1]
-        s, more = run(machine, symbols, begin[now], front[now], entered, bounded)
-        tokens[now] += more
-        out[now] = np.where(fixed[now], out[now], s)
-    # the states after a fixed chunk's front start anew, so `out` of these was right from the beginning
+    # a chunk that is entered inside a word takes the state that its predecessor leaves
+    inner = np.flatnonzero(~word_begins & ~fixed)  # no word end inside: a map from state to state
+    if len(inner):
+        linked = np.isin(inner - 1, inner)  # behind another such chunk, whose exit isn't known yet
+        entry = out[inner - 1].copy()
+        warm = np.minimum(WARM, begin[inner[linked]])
+        entry[linked] = run(machine, symbols, begin[inner[linked]] - warm, warm, np.zeros(len(warm), np.int32), bounded)[0]
+        todo = np.arange(len(inner))
+        while len(todo):
+            out[inner[todo]], tokens[inner[todo]] = run(machine, symbols, begin[inner[todo]], length[inner[todo]], entry[todo], bounded)
+            fits = ~linked | (out[inner - 1] == entry)
+            span = 1
+            while span < len(inner):  # composed: all maps from a chain's beginning on fit each other
+                fits[span:] &= fits[:-span] | ~_same_chain(linked, span)
+                span *= 2
+            first = np.flatnonzero(~fits & np.concatenate(([True], fits[:-1])))  # of each chain the first that doesn't fit
+            entry[first] = out[inner[first] - 1]
+            todo = first
+    front_of = np.flatnonzero(~word_begins & fixed)
+    tokens[front_of] += run(machine, symbols, begin[front_of], front[front_of], out[front_of - 1], bounded)[1]
     sums = np.concatenate(([0], np.cumsum(tokens)))
     return np.diff(sums[np.searchsorted(begin, starts)])
 
 
 def _summed(machine: Transducer, parts: list[str]) -> np.ndarray:
-    """counted() of parts that may need more states than fit: they are halved, at white space within a text; one endless word may exceed the bound."""
+    """counted() of parts that may need more states than fit: they are halved, at white space within a text, and an endless word runs in segments."""
     try:
         return counted(machine, parts)
     except Full:
@@ -409,7 +445,8 @@ def _summed(machine: Transducer, parts: list[str]) -> np.ndarray:
     text = parts[0].strip()
     if m := _SPACES.search(text, len(text) // 2) or _SPACES.search(text):
         return _summed(machine, [text[: m.start()]]) + _summed(machine, [text[m.end() :]])
-    return counted(machine, parts, bounded=False)
+    body, ends, _ = words([text])
+    return np.array([run_endless(machine, body.astype(np.int64) + 256 * ends)])
 
 
 def count_batch(batch: list[str], path: str) -> np.ndarray:

@@ -55,6 +55,28 @@ def test_chunks_of_any_size_agree():
         assert token_counts.counted(machine, batch, chunk).tolist() == want
 
 
+def test_maps_of_chunks_inside_long_words_compose(library):
+    r = random.Random(12)
+    machine = token_counts.transducer(token_counts.default_vocabulary())
+    batch = ["".join(r.choice(letters) for _ in range(n)) for letters, n in (("abcdefghij", 3000), ("aab", 1500), ("th", 900), ("漢字仮名ab", 700), ("q", 5000))] + ["x " + "lantern" * 300 + " y"]
+    want = [len(e.ids) for e in library.encode_batch(batch, add_special_tokens=False)]
+    for chunk in (5, 16, 64, 256, 1 << 20):
+        assert token_counts.counted(machine, [token_counts.normal(t) for t in batch], chunk).tolist() == want
+
+
+def test_an_endless_word_keeps_the_table_bounded(library, monkeypatch):
+    monkeypatch.setattr(token_counts, "STATES", 9_000)
+    monkeypatch.setattr(token_counts, "SEGMENT", 2_000)
+    r = random.Random(13)
+    text = "".join(r.choice("abcdefghijklmnop") for _ in range(30_000))
+    machine = token_counts.transducer(token_counts.default_vocabulary())
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert token_counts.count_batch([text], token_counts.default_vocabulary()).tolist() == [len(ids)]
+    assert len(machine.state) < 14_000
+    assert word_tokens.ids_of([text], token_counts.default_vocabulary()) == [np.array(ids, "<u4").tobytes()]
+    assert len(machine.state) < 14_000
+
+
 def test_ids_of_odd_texts(library):
     batch = fuzz(3000)
     want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(batch, add_special_tokens=False)]
