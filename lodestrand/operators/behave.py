@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +44,13 @@ def text_candidates(fields: DataFrame, literals: DataFrame) -> DataFrame:
 
 def touched_lines(base: Column, head: Column) -> Column:
     """The line numbers of `base` that an edit to `head` touches: replaced and deleted lines, and both neighbours of an insertion. A text at a time, by the standard library's sequence matcher, whose choice of matches no expression gives. Null texts are empty."""
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def touched(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
         out = []
-        for old, new in zip(a.fillna("").str.splitlines(), b.fillna("").str.splitlines(), strict=True):
-            found: set[int] = set()
+        for x, y in zip(a.fillna(""), b.fillna(""), strict=True):
+            old, new, found = x.splitlines(), y.splitlines(), set()
             for kind, i, j, _, _ in SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
                 if kind == "insert":
                     found |= {n for n in (i, i + 1) if 0 < n <= len(old)}

@@ -120,3 +120,18 @@ def perform_range(performs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     ranged = performs.join(at("target", "_from"), ["program", "target"]).join(at("through", "_to"), ["program", "through"], "left")
     wide = ranged.select("program", "src", F.explode(F.sequence("_from", F.greatest("_from", F.coalesce("_to", "_from")))).alias("seq"))
     return wide.join(paragraphs.select("program", "seq", "id"), ["program", "seq"]).select("src", F.col("id").alias("dst")).distinct()
+
+
+def flow_edges(statements: DataFrame, items: DataFrame) -> DataFrame:
+    """(src, dst, resolved) from each source to each target of statements (sources and targets, arrays of names); items: (name, id). What is unknown is a stub."""
+    pairs = statements.select("*", F.explode("sources").alias("_source")).select("*", F.explode("targets").alias("_target"))
+    a, b = items.select(F.col("name").alias("_source"), F.col("id").alias("_a")), items.select(F.col("name").alias("_target"), F.col("id").alias("_b"))
+    stub = lambda name: F.concat(F.lit("unresolved:data:"), F.col(name))
+    found = pairs.join(a, "_source", "left").join(b, "_target", "left")
+    return found.select(F.coalesce("_a", stub("_source")).alias("src"), F.coalesce("_b", stub("_target")).alias("dst"), (F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("resolved"))
+
+
+def bindings(dds: DataFrame, files: DataFrame) -> DataFrame:
+    """(src, dst, step): a program's file bound to a step's dataset where its assigned name, without device prefixes, is the DD's. dds: (step, program, dd, dataset); files: (program, assigned, id)."""
+    named = files.select("program", F.regexp_replace(F.upper("assigned"), r"^([A-Z]{2}-)*(S-)?", "").alias("dd"), "id")
+    return dds.join(named, ["program", "dd"]).select(F.col("id").alias("src"), F.concat(F.lit("dataset:"), F.col("dataset")).alias("dst"), "step").distinct()

@@ -55,6 +55,50 @@ def disposition(operands: Column) -> Column:
     return F.coalesce(F.regexp_extract(operand(operands, "DISP"), r"\(?([A-Z]+)", 1), F.lit("NEW"))
 
 
+def tso_runs(lines: DataFrame) -> DataFrame:
+    """(file, line, first, program) of RUN PROGRAM(NAME) in the input behind an EXEC, up to the next EXEC, JOB or PROC; `first` is that EXEC's line. Comment lines don't count."""
+    opens = F.col("text").rlike(r"^//\S*\s+(EXEC|JOB|PROC)\b")
+    placed = carried(lines, F.when(opens, F.struct(F.col("line").alias("first"), F.col("text").rlike(r"^//\S*\s+EXEC\b").alias("exec"))), "_step")
+    named = F.upper(F.regexp_extract(F.substring("text", 1, 72), r"(?i)\bRUN\s+PROG(?:RAM)?\s*\(\s*([A-Z0-9@#$]+)\s*\)", 1))
+    return placed.filter(~F.col("text").startswith("//*") & ~opens & F.col("_step.exec")).select("file", "line", F.col("_step.first").alias("first"), named.alias("program")).filter("program <> ''")
+
+
+def region_program(program: Column, parm: Column) -> Column:
+    """The program that a region controller's PARM names as its second field, null for other programs and regions."""
+    fields = F.split(F.regexp_replace(F.upper(parm), r"[()']", ""), ",")
+    return F.when((program == "DFSRRC00") & F.get(fields, F.lit(0)).isin("BMP", "DLI", "DBB"), F.get(fields, F.lit(1)))
+
+
+def job_entities(statements: DataFrame) -> DataFrame:
+    """(file, id, kind, name, program, dataset, disp) of jobs, steps and DD statements from jcl(), so that two versions can be compared by id."""
+    job = F.col("kind").isin("JOB", "PROC")
+    placed = carried(carried(statements.withColumn("line", F.col("first")), F.when(job, F.struct(F.lower("kind").alias("kind"), F.col("name").alias("name"))), "_job"), F.when(F.col("kind") == "EXEC", F.col("name")), "_step")
+    step = F.concat_ws(".", "_job.name", "_step")
+    id_ = F.when(job, F.concat_ws(":", "_job.kind", "_job.name")).when(F.col("kind") == "EXEC", F.concat(F.lit("jcl-step:"), step)).otherwise(F.concat(F.lit("jcl-dd:"), step, F.lit("."), F.col("name")))
+    kind = F.when(job, F.concat(F.lit("jcl-"), F.lower("kind"))).when(F.col("kind") == "EXEC", "jcl-step").otherwise("jcl-dd")
+    dataset = F.upper(F.regexp_replace(F.coalesce(operand(F.col("operands"), "DSN"), operand(F.col("operands"), "DSNAME")), r"\([^)]*\)$", ""))
+    return placed.filter(job | F.col("kind").isin("EXEC", "DD")).select("file", id_.alias("id"), kind.alias("kind"), "name", F.upper(operand(F.col("operands"), "PGM")).alias("program"), dataset.alias("dataset"), F.when(F.col("kind") == "DD", operand(F.col("operands"), "DISP")).alias("disp"))
+
+
+def without_separators(text: Column) -> Column:
+    """Commas and semicolons before white space or the end become spaces, but in quoted strings."""
+    parts = F.regexp_extract_all(text, F.lit(r"""('[^']*'|"[^"]*"|[^'"]+|['"])"""), 1)
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("""^['"]"""), p).otherwise(F.regexp_replace(p, r"[,;](?=\s|$)", " "))), "")
+
+
+EXEC_BLOCK = r"(?is)\bEXEC\s+(SQL|CICS|DLI)\s+(.*?)\s*END-EXEC"
+
+
+def exec_blocks(text: Column) -> dict[str, Column]:
+    """blocks (kind and text with single spaces) of EXEC ... END-EXEC in a program's text, and the text with each block replaced: by CONTINUE behind PROCEDURE DIVISION, by nothing before it."""
+    clean = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    whole = F.regexp_extract_all(text, F.lit(EXEC_BLOCK), 0)
+    blocks = F.transform(whole, lambda x: F.struct(F.upper(F.regexp_extract(x, EXEC_BLOCK, 1)).alias("kind"), clean(F.regexp_extract(x, EXEC_BLOCK, 2)).alias("text")))
+    at = F.regexp_instr(text, F.lit(r"(?i)\bPROCEDURE\s+DIVISION\b"))
+    head, tail = F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text), F.when(at > 0, F.substring(text, at, F.length(text))).otherwise("")
+    return {"blocks": blocks, "masked": F.concat(F.regexp_replace(head, EXEC_BLOCK, ""), F.regexp_replace(tail, EXEC_BLOCK, "CONTINUE"))}
+
+
 def definitions(lines: DataFrame) -> DataFrame:
     """(file, statement, kind, name, options map) of DEFINE KIND(NAME) OPTION(VALUE)...; the first value of an option wins."""
     folded = fold(lines, F.col("text").rlike(r"^\s*DEFINE\s"))

@@ -8,10 +8,10 @@ import duckdb
 import pytest
 
 from lodestrand.operators import cover
-from lodestrand.plans import business, changes, evidence, programs
+from lodestrand.plans import assembly, business, changes, evidence, programs
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = evidence.QUERIES | business.QUERIES | programs.QUERIES | changes.QUERIES, evidence.SQL | business.SQL | programs.SQL | changes.SQL
+QUERIES, SQL = evidence.QUERIES | business.QUERIES | programs.QUERIES | changes.QUERIES | assembly.QUERIES, evidence.SQL | business.SQL | programs.SQL | changes.SQL | assembly.SQL
 
 
 def norm(rows):
