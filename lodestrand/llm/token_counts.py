@@ -63,6 +63,9 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+_NOWHERE = (None, 0)
+
+
 class Full(Exception):
     """The table has reached its bound."""
 
@@ -94,13 +97,16 @@ class Transducer:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merge = {(number(a), number(b)): (k, number(a + b)) for k, (a, b) in enumerate(merges)}
         self.real = [True] * len(self.tokens)  # does BPE make the token from its own bytes?
+        self.made = [(-1, 0, 0)] * len(self.tokens)  # rank and parts of a token's last merge
         # a trie of the tokens, each node with its parent's longest suffix node (as in multi-pattern search)
         self.child: list[dict[int, int]] = [{}]
         self.depth, self.token_at = [0], [-1]
         for k, t in enumerate(self.tokens):
-            self.real[k] = len(t) == 1 or self.encode(t) == [k]
-            if not self.real[k]:
-                continue
+            if len(t) > 1:
+                self.real[k] = self.encode(t) == [k]
+                if not self.real[k]:
+                    continue
+                self.made[k] = self.final
             node = 0
             for s in t:
                 if s not in self.child[node]:
@@ -110,7 +116,7 @@ class Transducer:
                     self.token_at.append(-1)
                 node = self.child[node][s]
             self.token_at[node] = k
-        self.fail = [0] * len(self.child)
+        self.fail, self.begins = [0] * len(self.child), {}
         todo = list(self.child[0].values())
         for node in todo:
             for s, to in self.child[node].items():
@@ -128,18 +134,27 @@ class Transducer:
             found = [(m[0], i, m[1]) for i, pair in enumerate(zip(parts, parts[1:], strict=False)) if (m := self.merge.get(pair))]
             if not found:
                 break
-            _, i, new = min(found)
+            rank, i, new = min(found)
+            self.final = (rank, parts[i], parts[i + 1])
             parts[i : i + 2] = [new]
         return parts
 
     def beside(self, a: int, b: int) -> bool:
-        if (a, b) not in self.ok:
-            self.ok[a, b] = self.encode(self.tokens[a] + self.tokens[b]) == [a, b]
-        return self.ok[a, b]
+        """Whether BPE leaves two tokens side by side: going back in time, the later of both last merges is undone, and what then stands at the border must not have merged before it."""
+        merge, made, before = self.merge.get, self.made, len(self.merge)
+        while True:
+            m = merge((a, b))
+            if m is not None and m[0] < before:
+                return False
+            if made[a][0] > made[b][0]:
+                before, _, a = made[a]
+            elif made[b][0] >= 0:
+                before, b = made[b][0] + 1, made[b][1]  # of equal ranks the left one merges first
+            else:
+                return True
 
     def reset(self) -> None:
         """Forgets all compiled states."""
-        self.ok: dict[tuple[int, int], bool] = {}
         start = (0, ((-1, 0),))
         self.number: dict[tuple, int] = {start: 0}
         self.state: list[tuple] = [start]
@@ -224,12 +239,13 @@ class Transducer:
         more = before[1] + 1
         if symbol >= 256:
             return self.state[0], more, last
-        kept = {depth}
-        at = node
-        while at:  # only places where a token may begin that reaches beyond now
-            kept.add(depth - self.depth[at])
-            at = self.fail[at]
-        rest = tuple((p[0], p[1] - more) if k in kept else (None, 0) for k, p in enumerate(places))
+        if node not in self.begins:  # only places where a token may begin that reaches beyond now
+            kept, at = [False] * depth, node
+            while at:
+                kept[depth - self.depth[at]] = True
+                at = self.fail[at]
+            self.begins[node] = kept
+        rest = [(p[0], p[1] - more) if k else _NOWHERE for k, p in zip(self.begins[node], places, strict=True)]
         return (node, (*rest, (last, 0))), more, last
 
 

@@ -2,20 +2,24 @@
 
 The tokenizer drops white space and lets nothing reach across it, so a normalised text's
 ids are the ids of its pieces between white space, one after another. Each worker remembers
-a bounded number of pieces; new ones are cut into words by the tokenizer's pattern, and all
-new words of a batch run through the compiled transducer of token_counts.py side by side.
+a bounded number of pieces and of words, those asked for last the longest; new pieces are cut
+into words by the tokenizer's pattern, and all new words of a batch run through the compiled
+transducer of token_counts.py side by side.
 """
 
 from __future__ import annotations
 
 import gc
 import re
+from itertools import chain, islice
 
 import numpy as np
 
+from lodestrand.llm.common import Memory
 from lodestrand.llm.token_counts import _WS, DIGIT, LETTER, Full, class_of, encoded, normal, transducer
 
-REMEMBERED = 250_000
+#: Entries of a generation of what a worker remembers.
+PIECES, WORDS = 160_000, 80_000
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _SPACE = re.compile(f"[{_WS}]+")
 _OWN = re.compile("[\x1c-\x1f]")  # white space to str.split() but not to the tokenizer
@@ -29,7 +33,7 @@ class Words:
         letter, digit = class_of(LETTER), class_of(DIGIT)
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{_WS}{letter}{digit}]+")
         self.special = re.compile("|".join(map(re.escape, self.machine.special)))
-        self.known: dict[str, bytes] = {}
+        self.pieces, self.words = Memory(PIECES), Memory(WORDS)
 
     @property
     def machine(self):
@@ -43,27 +47,10 @@ class Words:
             half = len(words) // 2
             return self._encoded(words[:half]) + self._encoded(words[half:])
 
-    def _learn(self, pieces: set[str]) -> None:
-        known, new, cut = self.known, set(), {}
-        for p in pieces:
-            if p.isascii():
-                if p.isalpha():
-                    new.add(p)
-                    continue
-                found = _ASCII.findall(p)
-            else:
-                found = self.pattern.findall(p)
-            if len(found) == 1:
-                new.add(p)
-            else:
-                cut[p] = found
-                new.update(found)
-        order = [w for w in new if w not in known]
-        if order:
-            known.update(zip(order, self._encoded(order), strict=True))
-        get = known.__getitem__
-        for p, found in cut.items():
-            known[p] = b"".join(map(get, found))
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        cut = [[p] if p.isascii() and p.isalpha() else (_ASCII if p.isascii() else self.pattern).findall(p) for p in pieces]
+        found = iter(self.words.of(list(chain.from_iterable(cut)), self._encoded))
+        return [next(found) if len(parts) == 1 else b"".join(islice(found, len(parts))) for parts in cut]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, a special token's string in it being one token."""
@@ -81,19 +68,12 @@ class Words:
             of.append(i)
             marks.append(b"")
         split = [p.split() if not _OWN.search(p) else [x for x in _SPACE.split(p) if x] for p in parts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new: set[str] = set()
-        for pieces in split:
-            new.update(pieces)
-        new.difference_update(known)
-        if new:
-            self._learn(new)
-        get = known.__getitem__
+        found = self.pieces.of(list(chain.from_iterable(split)), self._of_pieces)
         out: list[list[bytes]] = [[] for _ in texts]
+        at = 0
         for i, pieces, mark in zip(of, split, marks, strict=True):
-            out[i] += [*map(get, pieces), mark]
+            out[i] += [*found[at : at + len(pieces)], mark]
+            at += len(pieces)
         return [b"".join(x) for x in out]
 
 
