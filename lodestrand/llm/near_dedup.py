@@ -98,23 +98,27 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return arrow_map(id_and_text(df, id_col, text_col), each, "id long, n long, same binary, bands array<long>", mb=1)
 
 
+def bits_of(sets: list[np.ndarray]) -> np.ndarray:
+    """BITS bits of each (non-empty) set, packed into longs: a bit each of the least and the greatest element under each permutation."""
+    at = np.cumsum([len(s) for s in sets]) - [len(s) for s in sets]
+    joined = np.concatenate(sets)
+    bits = np.empty((len(sets), BITS), np.uint8)
+    for k, (a, b) in enumerate(zip(*_permutations(BITS // 2), strict=True)):
+        x = joined * a
+        x ^= x >> np.uint64(31)
+        x += b
+        x *= _MIX
+        bits[:, 2 * k] = _mixed(np.minimum.reduceat(x, at)) & np.uint64(1)
+        bits[:, 2 * k + 1] = _mixed(np.maximum.reduceat(x, at)) & np.uint64(1)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def sketches(texts: DataFrame, words: int) -> DataFrame:
-    """id and BITS bits in long columns: a bit each of the least and the greatest element under each permutation. Bits agree with probability (1 + similarity) / 2."""
+    """id and BITS bits in long columns. Bits agree with probability (1 + similarity) / 2."""
     names = [f"s{k}" for k in range(BITS // 64)]
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
-        sets = [shingles(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        at = np.cumsum([len(s) for s in sets]) - [len(s) for s in sets]
-        joined = np.concatenate(sets)
-        bits = np.empty((len(sets), BITS), np.uint8)
-        for k, (a, b) in enumerate(zip(*_permutations(BITS // 2), strict=True)):
-            x = joined * a
-            x ^= x >> np.uint64(31)
-            x += b
-            x *= _MIX
-            bits[:, 2 * k] = _mixed(np.minimum.reduceat(x, at)) & np.uint64(1)
-            bits[:, 2 * k + 1] = _mixed(np.maximum.reduceat(x, at)) & np.uint64(1)
-        packed = np.packbits(bits, axis=1).view(np.int64)
+        packed = bits_of([shingles(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()])
         return {"id": batch.column(0), **{c: pa.array(np.ascontiguousarray(packed[:, k])) for k, c in enumerate(names)}}
 
     return arrow_map(texts.select("id", "text"), each, ", ".join(["id long", *(f"{c} long" for c in names)]), mb=1)

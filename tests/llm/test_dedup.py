@@ -64,6 +64,42 @@ def test_near_groups(docs, empty, texts):
     assert near_dedup.near_groups(empty).count() == 0
 
 
+def planted_pairs(count, low, high):
+    """Pairs of sets with a similarity between low and high, and the similarity of each."""
+    import numpy as np
+
+    rng, out, similarity = np.random.default_rng(17), [], []
+    while len(similarity) < count:
+        size = int(rng.integers(40, 160))
+        both = int(rng.integers(size // 2, size + 1))
+        extra = int(rng.integers(0, 30))
+        j = both / (size + extra)
+        if low <= j < high:
+            values = rng.integers(0, 2**64, size + extra, np.uint64)
+            out += [np.sort(values[:size]), np.sort(np.concatenate((values[:both], values[size:])))]
+            similarity.append(j)
+    return out, similarity
+
+
+def test_recall_of_bands_and_sketches_just_above_the_threshold():
+    import numpy as np
+
+    sets, similarity = planted_pairs(10_000, 0.80, 0.85)
+    bands = np.concatenate([near_dedup.bands_of(sets[k : k + 2000], near_dedup.BANDS, near_dedup.ROWS) for k in range(0, len(sets), 2000)])
+    assert (bands[::2] == bands[1::2]).any(1).sum() == 10_000 and 0.80 <= min(similarity) < 0.805
+    bits = near_dedup.bits_of(sets[:2000])
+    assert (np.bitwise_count((bits[::2] ^ bits[1::2]).view(np.uint64)).sum(1) <= near_dedup._most_different(0.8)).all()
+
+
+def test_near_and_exact_groups_of_rows_without_id(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    df = spark.createDataFrame([(None, text), (None, text), (4, text), (9, text + " x"), (None, None), (7, "")], "doc_id long, text string")
+    near = collections.Counter((r["id"], r["component"]) for r in near_dedup.near_groups(df).collect())
+    assert near == collections.Counter([(None, None), (None, None), (None, None), (4, 4), (9, 4), (7, 7)])
+    exact = collections.Counter((r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(df).collect())
+    assert exact == collections.Counter([(None, 4, 3, False), (None, 4, 3, False), (4, 4, 3, True), (9, 9, 1, True), (None, 7, 2, False), (7, 7, 2, True)])
+
+
 def test_a_chain_is_one_component(spark):
     words = [f"w{k}" for k in range(400)]
     rows = [(k, " ".join(words[4 * k : 4 * k + 100])) for k in range(30)] + [(99, " ".join(words[:20] + words[300:380]))]
