@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
 from lodestrand.operators import behave, cover, gate, graph, program, steps, walk
-from lodestrand.plans import assembly
+from lodestrand.plans import assembly, business, programs
 from lodestrand.sources import lines as L
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -204,3 +204,18 @@ def test_risk_model_orders_by_what_it_learned(spark):
     model, area = cover.train_risk(df, ["a", "b"], "risky")
     assert area > 0.95 and model.featureImportances[0] > 0.8
     assert df.select(cover.risk_score({"a": 2.0, "b": 0.0}).alias("s"), "a").filter("abs(s - 2 * a) > 1e-9").count() == 0
+
+
+def test_selected_tests_meet_all_obligations_as_brute_force_picks_them(spark):
+    needs = business.test_obligations(spark, DATA).select(F.col("test").cast("string").alias("test"), "need").distinct()
+    left, want = {}, []
+    for r in needs.collect():
+        left.setdefault(r["test"], set()).add(r["need"])
+    while any(left.values()):
+        best = min((t for t in left if left[t]), key=lambda t: (1 / len(left[t]), t))
+        want.append(best)
+        gone = set(left[best])
+        left = {t: s - gone for t, s in left.items()}
+    chosen = programs.test_selection(spark, DATA)
+    assert [r["candidate"] for r in chosen.orderBy("step").collect()] == want
+    assert behave.chosen_meet_all(needs, chosen.select(F.col("candidate").alias("test"))).count() == 0
