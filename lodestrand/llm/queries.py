@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import byte_bpe, exact_dedup, language, mpeg_audio, near_dedup, packing, parity_join, personal, secrets, substring_dedup, token_counts
+from lodestrand.llm import byte_bpe, exact_dedup, language, mpeg_audio, near_dedup, packing, parity_join, personal, secrets, substring_dedup, token_counts, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_embedding_whitening": whitening.op11_embedding_whitening,
         "op13_ngram_jaccard_join": parity_join.op13_ngram_jaccard_join,
     }
 
