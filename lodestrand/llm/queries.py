@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import byte_bpe, exact_dedup, language, mpeg_audio, near_dedup, packing, parity_join, personal, secrets, substring_dedup, token_counts, whitening
+from lodestrand.llm import byte_bpe, exact_dedup, hard_negatives, language, mpeg_audio, near_dedup, packing, parity_join, personal, secrets, substring_dedup, token_counts, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
         "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
         "op13_ngram_jaccard_join": parity_join.op13_ngram_jaccard_join,
     }
 

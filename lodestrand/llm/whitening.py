@@ -26,7 +26,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCALE, SHIFT = 1024, 100_000
@@ -107,11 +107,11 @@ def components(a: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 # --- passes over the rows ---------------------------------------------------------------------
 
 
-def vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id and x (array of longs) of the rows that take part; vectors of another length than the commonest are left out."""
+def vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *also: Column) -> DataFrame:
+    """id, c (array of doubles) and `also` of the rows that take part; vectors of another length than the commonest are left out."""
     c = F.col(vector_col).cast("array<double>")
     lost = F.exists("c", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), c.alias("c")).filter(F.col("c").isNotNull() & ~lost & (F.size("c") > 0))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), c.alias("c"), *also).filter(F.col("c").isNotNull() & ~lost & (F.size("c") > 0))
     size = rows.groupBy(F.size("c").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
     return rows.filter(F.size("c") == (size[0] if size else 0))
 
