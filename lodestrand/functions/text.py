@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,11 +18,17 @@ AGENT_KEYS = ("assisted-by", "generated-by", "ai-agent")
 PERSON_KEYS = ("requested-by", "approved-by", "reviewed-by", "signed-off-by", "co-authored-by", "acked-by", "tested-by", *AGENT_KEYS)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once for each row, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trailers(lines: Column) -> Column:
     """The last paragraph's lines if a blank line stands before it and each of them is `Key: value`, else an empty array."""
-    blank = F.array_max(F.transform(lines, lambda x, i: F.when(F.trim(x) == "", i).otherwise(-1)))
-    last = F.when(blank >= 0, F.slice(lines, blank + 2, F.greatest(F.size(lines) - blank - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    return F.when((F.size(last) > 0) & F.forall(last, lambda x: x.rlike(TRAILER)), last).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    behind = lambda blank: F.when(blank >= 0, F.slice(lines, blank + 2, F.greatest(F.size(lines) - blank - 1, F.lit(0)))).otherwise(none)
+    last = bound(F.array_max(F.transform(lines, lambda x, i: F.when(F.trim(x) == "", i).otherwise(-1))), behind)
+    return bound(last, lambda part: F.when((F.size(part) > 0) & F.forall(part, lambda x: x.rlike(TRAILER)), part).otherwise(none))
 
 
 def key_of(trailer: Column) -> Column:
@@ -87,8 +95,7 @@ def tickets(lines: Column, block: Column) -> Column:
         found = F.concat(F.filter(F.array(start), lambda x: x != ""), F.regexp_extract_all(text, F.lit(rf"\[({TICKET})\]"), 1))
         return F.concat(records(text, place), keys(found, place))
 
-    all_ = F.concat(first, F.flatten(F.transform(rest, of_line)))
-    return F.filter(all_, lambda x, k: ~F.exists(F.slice(all_, F.lit(1), k), lambda y: y["id"] == x["id"]))
+    return bound(F.concat(first, F.flatten(F.transform(rest, of_line))), lambda a: F.filter(a, lambda x, k: ~F.exists(F.slice(a, F.lit(1), k), lambda y: y["id"] == x["id"])))
 
 
 def same_person(name_a: Column, email_a: Column, name_b: Column, email_b: Column) -> Column:

@@ -20,9 +20,16 @@ def distinct_people(people: Column) -> Column:
 
 def why(lines: Column, block: Column) -> dict[str, Column]:
     """subject, request (the first ticket of a change), change_type and emergency (null where no type is recorded)."""
-    requests = F.filter(T.tickets(lines, block), lambda t: t["type"] == "change")
+    request = F.get(F.filter(T.tickets(lines, block), lambda t: t["type"] == "change"), F.lit(0))["id"]
     kind = F.lower(F.trim(F.get(T.values_of(block, "Change-type"), F.lit(0))))
-    return {"subject": F.get(lines, F.lit(0)), "request": F.get(requests, F.lit(0))["id"], "change_type": kind, "emergency": kind.isin(*EMERGENCIES)}
+    return {"subject": F.get(lines, F.lit(0)), "request": request, "change_type": kind, "emergency": kind.isin(*EMERGENCIES)}
+
+
+#: What change control calls each thing that a message doesn't say.
+OPEN = {
+    "requester": "no requester recorded", "approver": "no approver recorded", "same": "an approver is also the implementer",
+    "one": "an approver also implemented the change; another approver did not", "request": "no change request number", "type": "change type not recorded",
+}
 
 
 def open_items(lines: Column, block: Column, implementers: Column) -> Column:
@@ -30,10 +37,8 @@ def open_items(lines: Column, block: Column, implementers: Column) -> Column:
     approvers = F.filter(T.people_of(block, "Approved-by"), lambda p: ~T.is_agent(p["name"], p["email"]))
     own = lambda a: F.exists(implementers, lambda i: T.same_person(a["name"], a["email"], i["name"], i["email"]))
     reason = why(lines, block)
-    return F.filter(F.array(
-        F.when(F.size(T.values_of(block, "Requested-by")) == 0, "no requester recorded"),
-        F.when(F.size(approvers) == 0, "no approver recorded").when(F.forall(approvers, own), "an approver is also the implementer")
-        .when(F.exists(approvers, own), "an approver also implemented the change; another approver did not"),
-        F.when(reason["request"].isNull(), "no change request number"),
-        F.when(reason["change_type"].isNull(), "change type not recorded"),
-    ), lambda x: x.isNotNull())
+    approval = T.bound(F.transform(approvers, own), lambda same: F.when(F.size(same) == 0, OPEN["approver"]).when(F.forall(same, lambda x: x), OPEN["same"]).when(F.exists(same, lambda x: x), OPEN["one"]))
+    return F.array_compact(F.array(
+        F.when(F.size(T.values_of(block, "Requested-by")) == 0, OPEN["requester"]), approval,
+        F.when(reason["request"].isNull(), OPEN["request"]), F.when(reason["change_type"].isNull(), OPEN["type"]),
+    ))

@@ -35,21 +35,59 @@ def greedy_cover(pairs: DataFrame, costs: DataFrame) -> DataFrame:
             break
         done = first.join(won.select("candidate"), "candidate").select(F.col("element").alias("covered"))
         left = cut(left.join(done, F.col("element").eqNullSafe(F.col("covered")), "left_anti"), "cover")
-    ranged = cut(spark.read.schema(won.schema).parquet(picks).repartitionByRange("by_gain", "candidate").withColumn("part", F.spark_partition_id()), "cover")
-    before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    step = F.row_number().over(W.partitionBy("part").orderBy("by_gain", "candidate")) + F.col("before")
-    return ranged.join(before, "part").select(step.cast("int").alias("step"), "candidate", F.col("cost").cast("long").alias("cost"), "gained")
+    found = numbered(spark.read.schema(won.schema).parquet(picks), ["by_gain", "candidate"], "step")
+    return found.select(F.col("step").cast("int").alias("step"), "candidate", F.col("cost").cast("long").alias("cost"), "gained")
+
+
+def numbered(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """Adds numbers from 1 in an order: within ranges, by how many rows stand in the ranges before; no task gets all rows."""
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    before = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return ranged.join(before, "_part").withColumn(name, F.row_number().over(W.partitionBy("_part").orderBy(*order)) + F.col("_before")).drop("_part", "_before")
+
+
+def bitsets(pairs: DataFrame) -> DataFrame:
+    """(candidate, block, bits, members, links): 64 elements to a block, those of many candidates first, as the bits of a long; `members` and `links` say how many candidates a block has and the sum of squares of its elements' candidates. Null elements are nobody's."""
+    once = cut(pairs.filter("element IS NOT NULL").select("candidate", "element").distinct(), "pairs")
+    often = numbered(once.groupBy("element").agg(F.count(F.lit(1)).alias("often")), [F.desc("often"), "element"], "number")
+    at = often.select("element", "often", F.floor((F.col("number") - 1) / 64).alias("block"), F.call_function("shiftleft", F.lit(1).cast("long"), ((F.col("number") - 1) % 64).cast("int")).alias("bit"))
+    own = cut(once.join(at, "element").groupBy("candidate", "block").agg(F.bit_or("bit").alias("bits")), "bits")
+    links = at.groupBy("block").agg(F.sum(F.col("often") * F.col("often")).alias("links"))
+    return cut(own.join(own.groupBy("block").agg(F.count(F.lit(1)).alias("members")).join(links, "block"), "block"), "bits")
+
+
+def in_common(pairs: DataFrame) -> DataFrame:
+    """(a, b, common): the number of elements that two candidates a < b share, where there are any.
+
+    A block's candidates are compared by their bits where that is less work than meeting at each of its elements; blocks
+    of rare elements, in which most candidates have nothing in common, meet at elements. Counts are added up by pair.
+    """
+    bits = bitsets(pairs)
+    dense = F.col("members") * F.col("members") <= F.col("links")
+    a, b = bits.filter(dense).select(F.col("candidate").alias("a"), "block", F.col("bits").alias("x")), bits.filter(dense).select(F.col("candidate").alias("b"), "block", F.col("bits").alias("y"))
+    near = a.join(b, "block").filter("a < b AND x & y <> 0").select("a", "b", F.bit_count(F.col("x").bitwiseAND(F.col("y"))).cast("long").alias("n"))
+    each = bits.filter(~dense).select("candidate", "block", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.call_function("getbit", F.col("bits"), k) == 1)).alias("k"))
+    c, d = each.withColumnRenamed("candidate", "a"), each.withColumnRenamed("candidate", "b")
+    far = c.join(d, ["block", "k"]).filter("a < b").select("a", "b", F.lit(1).cast("long").alias("n"))
+    return near.unionByName(far).groupBy("a", "b").agg(F.sum("n").alias("common"))
 
 
 def dominated(pairs: DataFrame, costs: DataFrame) -> DataFrame:
-    """Candidates that another one covers at no higher cost (equal ones: the later name)."""
-    sizes = pairs.groupBy("candidate").agg(F.count(F.lit(1)).alias("size")).join(costs, "candidate")
-    a, b = pairs.select(F.col("candidate").alias("a"), "element"), pairs.select(F.col("candidate").alias("b"), "element")
-    common = a.join(b, "element").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
-    one = sizes.select(F.col("candidate").alias("a"), F.col("size").alias("size_a"), F.col("cost").alias("cost_a"))
-    two = sizes.select(F.col("candidate").alias("b"), F.col("size").alias("size_b"), F.col("cost").alias("cost_b"))
-    beaten = common.join(one, "a").join(two, "b").filter("common = size_a AND cost_b <= cost_a AND (size_b > size_a OR cost_b < cost_a OR b < a)")
-    return beaten.select(F.col("a").alias("candidate")).distinct()
+    """Candidates that another one covers at no higher cost (equal ones: the later name).
+
+    Whoever covers a candidate has its rarest element too, so only those that have are compared, block of elements by block. A candidate with a null element is covered by none.
+    """
+    bits = bitsets(pairs)
+    known = pairs.groupBy("candidate").agg(F.count(F.lit(1)).alias("size"), F.bool_or(F.col("element").isNull()).alias("open")).join(costs, "candidate")
+    last = bits.groupBy("candidate").agg(F.max("block").alias("block")).join(bits.select("candidate", "block", "bits"), ["candidate", "block"])
+    rarest = last.select(F.col("candidate").alias("a"), "block", F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin("bits")).cast("int") - 1).alias("bit"))  # the highest number is the rarest
+    one = known.filter("NOT open").select(F.col("candidate").alias("a"), F.col("size").alias("size_a"), F.col("cost").alias("cost_a"))
+    two = known.select(F.col("candidate").alias("b"), F.col("size").alias("size_b"), F.col("cost").alias("cost_b"))
+    may = rarest.join(bits.select(F.col("candidate").alias("b"), "block", "bits"), "block").filter("a <> b AND bits & bit <> 0").select("a", "b")
+    may = cut(may.join(one, "a").join(two, "b").filter("size_b >= size_a AND cost_b <= cost_a AND (size_b > size_a OR cost_b < cost_a OR b < a)").select("a", "b"), "may")
+    left = may.join(bits.select(F.col("candidate").alias("a"), "block", F.col("bits").alias("x")), "a").join(bits.select(F.col("candidate").alias("b"), "block", F.col("bits").alias("y")), ["b", "block"], "left")
+    misses = F.col("x").bitwiseAND(F.bitwise_not(F.coalesce("y", F.lit(0).cast("long")))) != 0
+    return left.groupBy("a", "b").agg(F.bool_or(misses).alias("misses")).filter("NOT misses").select(F.col("a").alias("candidate")).distinct()
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
@@ -95,30 +133,34 @@ def ising(linear: DataFrame, quadratic: DataFrame) -> DataFrame:
 
 def cover_qubo(pairs: DataFrame, costs: DataFrame) -> DataFrame:
     """(i, j, v) of exact-cover penalties: cost on the diagonal, and for each element penalty * (1 - sum)^2 without its constant; i = j is linear."""
-    penalty = costs.agg((F.sum("cost") + 1).alias("p"))
-    a, b = pairs.select(F.col("candidate").alias("i"), "element"), pairs.select(F.col("candidate").alias("j"), "element")
-    both = a.join(b, "element").filter("i <= j").crossJoin(penalty).select("i", "j", F.when(F.col("i") == F.col("j"), -F.col("p")).otherwise(2 * F.col("p")).alias("v"))
-    own = costs.select(F.col("candidate").alias("i"), F.col("candidate").alias("j"), F.col("cost").alias("v"))
-    return both.unionByName(own).groupBy("i", "j").agg(F.sum("v").alias("v")).filter("v <> 0")
+    penalty = costs.agg((F.sum("cost") + 1).alias("p"))  # one row
+    both = in_common(pairs).crossJoin(penalty).select(F.col("a").alias("i"), F.col("b").alias("j"), (2 * F.col("p") * F.col("common")).alias("v"))
+    size = pairs.filter("element IS NOT NULL").select("candidate", "element").distinct().groupBy("candidate").agg(F.count(F.lit(1)).alias("n")).crossJoin(penalty).select("candidate", (-F.col("p") * F.col("n")).alias("v"))
+    own = costs.select("candidate", F.col("cost").cast("long").alias("v")).unionByName(size).groupBy("candidate").agg(F.sum("v").alias("v"))
+    return both.unionByName(own.select(F.col("candidate").alias("i"), F.col("candidate").alias("j"), "v")).filter("v <> 0")
 
 
 def slack_bits(pairs: DataFrame) -> DataFrame:
     """(element, bit, weight): binary slack for `covered at least once`, of weights 1, 2, 4, ... and a last one that fills up to the number of an element's candidates less 1."""
-    room = pairs.groupBy("element").agg((F.count(F.lit(1)) - 1).alias("room")).filter("room > 0").withColumn("bits", F.ceil(F.log2(F.col("room") + 1)).cast("int"))
+    room = pairs.groupBy("element").agg((F.count(F.lit(1)) - 1).alias("room")).filter("room > 0").withColumn("bits", F.length(F.bin("room")))
     return room.select("element", "room", "bits", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)).alias("bit")).select(
         "element", "bit", F.when(F.col("bit") < F.col("bits") - 1, F.expr("shiftleft(1L, bit)")).otherwise(F.col("room") - F.expr("shiftleft(1L, bits - 1)") + 1).alias("weight"))
 
 
 def cover_slack_qubo(pairs: DataFrame, costs: DataFrame) -> DataFrame:
     """(a, b, v) of a cover in which elements may be covered more than once: cost on the diagonal, and for each element penalty * (candidates - slack - 1)^2 without its constant; a = b is linear. Variables are candidates and `slack/element/bit`."""
-    slack = slack_bits(pairs).select("element", F.concat_ws("/", F.lit("slack"), "element", F.col("bit").cast("string")).alias("x"), (-F.col("weight")).alias("w"))
-    terms = pairs.select("element", F.col("candidate").alias("x"), F.lit(1).cast("long").alias("w")).distinct().unionByName(slack)
-    penalty = costs.agg((F.sum("cost") + 1).alias("p"))
-    other = terms.select("element", F.col("x").alias("y"), F.col("w").alias("u"))
-    both = terms.join(other, "element").filter("x <= y").crossJoin(penalty)  # one row
-    v = F.when(F.col("x") == F.col("y"), F.col("p") * (F.col("w") * F.col("w") - 2 * F.col("w"))).otherwise(2 * F.col("p") * F.col("w") * F.col("u"))
-    own = costs.select(F.col("candidate").alias("a"), F.col("candidate").alias("b"), F.col("cost").cast("long").alias("v"))
-    return both.select(F.col("x").alias("a"), F.col("y").alias("b"), v.alias("v")).unionByName(own).groupBy("a", "b").agg(F.sum("v").alias("v")).filter("v <> 0")
+    once = pairs.filter("element IS NOT NULL").select("candidate", "element").distinct()
+    slack = slack_bits(once).select("element", F.concat_ws("/", F.lit("slack"), "element", F.col("bit").cast("string")).alias("y"), (-F.col("weight")).alias("u"))
+    penalty = costs.agg((F.sum("cost") + 1).alias("p"))  # one row
+    chosen = in_common(once).select("a", "b", F.col("common").alias("w"))
+    mixed = once.join(slack, "element").select(F.least("candidate", "y").alias("a"), F.greatest("candidate", "y").alias("b"), F.col("u").alias("w"))  # a slack has one element
+    other = slack.select("element", F.col("y").alias("x"), F.col("u").alias("w"))
+    spare = other.join(slack, "element").filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), (F.col("w") * F.col("u")).alias("w"))
+    both = chosen.unionByName(mixed).unionByName(spare).crossJoin(penalty).select("a", "b", (2 * F.col("p") * F.col("w")).alias("v"))
+    alone = once.groupBy(F.col("candidate").alias("x")).agg((-F.count(F.lit(1))).alias("w")).unionByName(slack.select(F.col("y").alias("x"), (F.col("u") * F.col("u") - 2 * F.col("u")).alias("w")))
+    own = alone.crossJoin(penalty).select("x", (F.col("p") * F.col("w")).alias("v")).unionByName(costs.select(F.col("candidate").alias("x"), F.col("cost").cast("long").alias("v")))
+    own = own.groupBy("x").agg(F.sum("v").alias("v")).select(F.col("x").alias("a"), F.col("x").alias("b"), "v")
+    return both.unionByName(own).filter("v <> 0")
 
 
 def features(programs: DataFrame, parts: dict[str, DataFrame], key: str) -> DataFrame:

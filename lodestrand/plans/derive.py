@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to as many tasks as there are cores, where a table has fewer splits than that: for rows that take much work each."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cents(column: str):
     return F.round(F.col(column) * 100).cast("long")
 
@@ -61,7 +67,7 @@ edges AS (
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A commit message for each order: (change, author, email, lines)."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
     k = F.col("o_orderkey")
     text = lambda c: c.cast("string")
     when = lambda m, r, x: F.when(k % m == r, F.array(x)).otherwise(F.array().cast("array<string>"))
@@ -103,7 +109,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         line(k % 4 == 1, "Change: CHG", F.lpad(t(k % 1000), 7, "0"), " for PAY-", t(k % 30)), line(k % 8 < 3, "Change-type: ", F.when(k % 8 == 0, "Emergency").when(k % 8 == 1, "normal").otherwise("Expedited ")),
         line(k % 10 < 6, "Requested-by: Lead-", t(c % 9)), line(k % 17 == 0, "not a trailer"),
     ))
-    return table(spark, sf_dir, "orders").select(k.alias("change"), F.concat(F.lit("User "), t(c % 7)).alias("author"), F.when(k % 6 != 0, F.concat(F.lit("u"), t(c % 7), F.lit("@example.org"))).alias("email"), F.array_join(parts, "\n").alias("text"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")).select(k.alias("change"), F.concat(F.lit("User "), t(c % 7)).alias("author"), F.when(k % 6 != 0, F.concat(F.lit("u"), t(c % 7), F.lit("@example.org"))).alias("email"), F.array_join(parts, "\n").alias("text"))
 
 
 MESSAGES_SQL = r"""
