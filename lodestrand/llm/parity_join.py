@@ -20,7 +20,8 @@ components, what is outside the largest meets members of other components inside
 sifts by sketches of `FOLDED` bits (folded by XOR, so the bound stays). Where that would be
 more than `HARD` comparisons for one key, its documents are joined by their rarest shingles
 instead: in an order by frequency among these documents, a linked pair shares one of its
-first n - ceil(n * percent / 100) + 1. All links are confirmed on full sets from whole texts.
+first n - ceil(n * percent / 100) + 1. What passes is sifted
+again by sketches that grow with the set, and all links are confirmed on full sets from whole texts.
 
 Null texts and texts without words have an empty set and are linked with nothing. A text
 with fewer words than a shingle has the whole sequence as its one shingle. Very long texts
@@ -85,16 +86,24 @@ def keys_of(hashes: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(made).view(np.int64)
 
 
-def folded(hashes: np.ndarray) -> np.ndarray:
-    """A sketch of FOLDED bits in longs."""
-    out = np.zeros(FOLDED // 64, np.uint64)
-    at = (hashes >> np.uint64(16)) % np.uint64(FOLDED)
+def sketch_of(hashes: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """A sketch in longs, of the power of two that is twice the set's size or more if `bits` isn't given."""
+    bits = bits or max(FOLDED, 1 << (2 * len(hashes) - 1).bit_length())
+    out = np.zeros(bits // 64, np.uint64)
+    at = (hashes >> np.uint64(16)) % np.uint64(bits)
     np.bitwise_xor.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
     return out.view(np.int64)
 
 
+def folded(sketch: np.ndarray, longs: int) -> np.ndarray:
+    """A sketch's halves XORed until so many longs are left."""
+    while len(sketch) > longs:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
 def signatures(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """id, n (set size), same (a 128-bit digest of the set, null if empty), keys and sketch (arrays of longs)."""
+    """id, n (set size), same (a 128-bit digest of the set, null if empty), keys, sketch (of FOLDED bits) and whole (a sketch that follows the set's size), arrays of longs."""
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
         body, at = utf8(batch.column(1))
@@ -103,10 +112,11 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, percent: i
         lists = lambda made: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *made]))
         return {
             "id": batch.column(0), "n": [len(s) for s in sets], "same": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-            "keys": lists([keys_of(s, percent) for s in sets]), "sketch": lists([folded(s) for s in sets]),
+            "keys": lists([keys_of(s, percent) for s in sets]),
+            "whole": lists(whole := [sketch_of(s) for s in sets]), "sketch": lists([folded(s, FOLDED // 64) for s in whole]),
         }
 
-    return arrow_map(id_and_text(df, id_col, text_col), each, "id long, n long, same binary, keys array<long>, sketch array<long>", mb=1)
+    return arrow_map(id_and_text(df, id_col, text_col), each, "id long, n long, same binary, keys array<long>, sketch array<long>, whole array<long>", mb=1)
 
 
 def _may_link(percent: int) -> Column:
@@ -147,13 +157,32 @@ def candidates(rows: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def sifted(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sketches, folded to the shorter one's length, differ in no more bits than linked sets may."""
+
+    def each(batch: pa.RecordBatch) -> dict[str, object]:
+        a, b, n, x, m, y = batch.columns
+        keep = []
+        for i, (n_a, left, n_b, right) in enumerate(zip(n.to_pylist(), x, m.to_pylist(), y, strict=True)):
+            p, q = left.values.to_numpy(), right.values.to_numpy()
+            longs = min(len(p), len(q))
+            if int(np.bitwise_count((folded(p, longs) ^ folded(q, longs)).view(np.uint64)).sum()) <= most_different(n_a, n_b, percent):
+                keep.append(i)
+        return {"a": a.take(pa.array(keep, pa.int32())), "b": b.take(pa.array(keep, pa.int32()))}
+
+    one = sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("whole").alias("whole_a"))
+    two = sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("whole").alias("whole_b"))
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "whole_a", "n_b", "whole_b")
+    return arrow_map(joined, each, "a long, b long")
+
+
 def rare_shingles(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """bucket (a shingle) and id: of each text the rarest n - ceil(n * percent / 100) + 1 shingles, by their frequency among these texts."""
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
         return {"id": batch.column(0), "found": [shingles(t, words).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]}
 
-    found = stored(arrow_map(texts.select("id", "text"), each, "id long, found array<long>", mb=1).select("id", F.size("found").alias("n"), F.explode("found").alias("bucket")), "shingles")
+    found = stored(arrow_map(texts.select("id", "text"), each, "id long, found array<long>", mb=1).select("id", F.size("found").alias("n"), F.explode("found").alias("bucket")).distinct(), "shingles")
     often = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")  # those of one text alone come first and lead to nobody
     alone = found.join(often, "bucket", "left").select("id", "n", "bucket", F.coalesce("often", F.lit(1)).alias("often"))
     ranked = alone.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("often", "bucket")))
@@ -165,17 +194,18 @@ def linked_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     raw = id_and_text(df, id_col, text_col)
     signed = stored(signatures(raw, "id", "text", words, percent), "parity")
     known = signed.filter("same IS NOT NULL AND id IS NOT NULL")
-    classes = stored(known.groupBy("same").agg(F.min(F.struct("id", "n", "keys", "sketch")).alias("first")).select("same", "first.*"), "classes")
-    drawn = classes.select("id", "n", "sketch")
+    classes = known.groupBy("same").agg(F.min(F.struct("id", "n", "keys")).alias("first")).select("same", "first.*")
+    drawn = known.select("id", "n", "sketch")
     member = stored(shared_keys(classes), "members")
     met = member.filter("id <> center").select(F.col("center").alias("a"), "id").distinct()
     stars = _side(met.withColumnRenamed("a", "other"), drawn, "b", "other").withColumnRenamed("other", "id")
     own = [c for c in stars.columns if c != "id"]
     stars = stored(_side(stars, drawn, "a", *own).filter(_may_link(percent)).select("a", "b"), "pairs")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def confirm(found: DataFrame) -> DataFrame:
+        pairs = stored(sifted(found, known.select("id", "n", "whole"), percent), "sifted")
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        return stored(_confirmed(pairs, raw.filter("id IS NOT NULL").join(ids, "id", "left_semi").dropDuplicates(["id"]), words, percent), "links")
+        return stored(_confirmed(pairs, raw.join(ids, "id", "left_semi"), words, percent), "links")
 
     first = confirm(stars)
     label = components(first)
@@ -184,7 +214,7 @@ def linked_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = candidates(rows.filter("NOT hard"), drawn, percent)
     hard = stored(rows.filter("hard").select("id").distinct(), "hard")
     if not hard.isEmpty():
-        rare = stored(still_open(place(rare_shingles(raw.join(hard, "id", "left_semi").dropDuplicates(["id"]), words, percent))), "rare")
+        rare = stored(still_open(place(rare_shingles(raw.join(hard, "id", "left_semi"), words, percent))), "rare")
         pairs = pairs.union(candidates(rare, drawn, percent)).distinct()
     second = confirm(stored(pairs.join(stars, ["a", "b"], "left_anti"), "pairs"))
     if not second.isEmpty():
