@@ -7,11 +7,12 @@ and b at the threshold differ in D = (a + b) * (100 - percent) / (100 + percent)
 at most.
 
 Size bands. Sizes are dealt into bands that double, with a band around each edge for pairs
-across it. A band cuts its sketches into the same parts of 64 bits, and parts are taken in
-one order. Of a document's parts that are not zero the first D + 1 are its keys: a linked
-pair differs in D parts at most, so the first part that is not zero and agrees is a key of
-both (parts before it differ, and there are D of those at most). Sketches hold so many parts
-that a document lacks D + 1 of them with a chance below 1e-12.
+across it. A band cuts its sketches into the same parts of 64 bits. A part's place and bits
+make a key, for parts that are not zero. Of its keys in a band a document keeps the D + 1
+that fewest documents have (of equally many, by hash): a linked pair differs in D parts at
+most, so the rarest key that both have is among these (keys before it are not shared, and
+there are D of those at most). Keys out of passages that many documents share are the ones
+that go. Sketches hold so many parts that a document lacks D + 1 keys with a chance below 1e-12.
 
 Documents that share a key are compared in three steps, none of which expands a key into
 all pairs of its members. Equal sets are one class from the start. The members of a key meet
@@ -73,17 +74,17 @@ def parts_of(hashes: np.ndarray, top: int, percent: int) -> np.ndarray:
     return parts
 
 
-def keys_of(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of a set. Sets that may differ in nothing have none, as equal sets are one class anyway."""
+def keys_of(hashes: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """For each band of a set its keys, and how many of them it may spare. Sets that may differ in nothing have none, as equal sets are one class anyway."""
     n = len(hashes)
     need = most_different(n, n * 100 // percent, percent) + 1
-    made = [np.zeros(0, np.uint64)]
-    if need > 1:
-        for band, top in bands(n, percent):
-            parts = parts_of(hashes, top, percent)
-            at = np.flatnonzero(parts)[:need]
-            made.append(_mixed(_mixed(parts[at] * _MIX + at.astype(np.uint64)) * _MIX + np.uint64(band)))
-    return np.concatenate(made).view(np.int64)
+    made = []
+    for band, top in bands(n, percent) if need > 1 else []:
+        parts = parts_of(hashes, top, percent)
+        at = np.flatnonzero(parts)
+        keys = _mixed(_mixed(parts[at] * _MIX + at.astype(np.uint64)) * _MIX + np.uint64(band))
+        made.append((keys.view(np.int64), max(0, len(at) - need)))
+    return made
 
 
 def sketch_of(hashes: np.ndarray, bits: int | None = None) -> np.ndarray:
@@ -103,20 +104,22 @@ def folded(sketch: np.ndarray, longs: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """id, n (set size), same (a 128-bit digest of the set, null if empty), keys, sketch (of FOLDED bits) and whole (a sketch that follows the set's size), arrays of longs."""
+    """id, n (set size), same (a 128-bit digest of the set, null if empty), keys0 to keys2 and spare0 to spare2 of its bands, sketch (of FOLDED bits) and whole (a sketch that follows the set's size)."""
+    none = (np.zeros(0, np.int64), 0)
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
         body, at = utf8(batch.column(1))
         raw = body.tobytes()
         sets = [shingles(raw[a:b], words) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
         lists = lambda made: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *made]))
+        keys = [[*keys_of(s, percent), none, none, none][:3] for s in sets]
         return {
             "id": batch.column(0), "n": [len(s) for s in sets], "same": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-            "keys": lists([keys_of(s, percent) for s in sets]),
+            **{f"keys{k}": lists([x[k][0] for x in keys]) for k in range(3)}, **{f"spare{k}": [x[k][1] for x in keys] for k in range(3)},
             "whole": lists(whole := [sketch_of(s) for s in sets]), "sketch": lists([folded(s, FOLDED // 64) for s in whole]),
         }
 
-    return arrow_map(id_and_text(df, id_col, text_col), each, "id long, n long, same binary, keys array<long>, sketch array<long>, whole array<long>", mb=1)
+    return arrow_map(id_and_text(df, id_col, text_col), each, "id long, n long, same binary, keys0 array<long>, keys1 array<long>, keys2 array<long>, spare0 int, spare1 int, spare2 int, sketch array<long>, whole array<long>", mb=1)
 
 
 def _may_link(percent: int) -> Column:
@@ -133,11 +136,15 @@ def _side(rows: DataFrame, drawn: DataFrame, k: str, *more: Column) -> DataFrame
     return rows.join(drawn, "id").select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), *more, *longs)
 
 
-def shared_keys(classes: DataFrame) -> DataFrame:
-    """bucket, id and center (the smallest id) of keys that several classes have."""
-    each = Window.partitionBy("bucket")
-    rows = classes.select("id", F.explode("keys").alias("bucket"))
-    return rows.select("bucket", "id", F.count(F.lit(1)).over(each).alias("members"), F.min("id").over(each).alias("center")).filter("members > 1").drop("members")
+def shared_keys(known: DataFrame, first: DataFrame) -> DataFrame:
+    """bucket, id and center (the smallest id) of keys that several of the `first` rows (id) of a class have, after each has spared its most frequent ones."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col(f"spare{k}").alias("spare"), F.col(f"keys{k}").alias("keys")) for k in range(3)]))
+    rows = known.select("id", each.alias("x")).select("id", "x.band", "x.spare", F.explode("x.keys").alias("bucket"))
+    often = rows.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("often > 1")
+    own = Window.partitionBy("id", "band").orderBy(F.desc("often"), F.desc("bucket"))
+    kept = often.join(first, "id", "left_semi").withColumn("rank", F.row_number().over(own)).filter("rank > spare").select("bucket", "id")
+    same = Window.partitionBy("bucket")
+    return kept.select("bucket", "id", F.count(F.lit(1)).over(same).alias("members"), F.min("id").over(same).alias("center")).filter("members > 1").drop("members")
 
 
 def still_open(placed: DataFrame) -> DataFrame:
@@ -194,9 +201,9 @@ def linked_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     raw = id_and_text(df, id_col, text_col)
     signed = stored(signatures(raw, "id", "text", words, percent), "parity")
     known = signed.filter("same IS NOT NULL AND id IS NOT NULL")
-    classes = known.groupBy("same").agg(F.min(F.struct("id", "n", "keys")).alias("first")).select("same", "first.*")
+    classes = stored(known.groupBy("same").agg(F.min("id").alias("id")), "classes")
     drawn = known.select("id", "n", "sketch")
-    member = stored(shared_keys(classes), "members")
+    member = stored(shared_keys(known, classes.select("id")), "members")
     met = member.filter("id <> center").select(F.col("center").alias("a"), "id").distinct()
     stars = _side(met.withColumnRenamed("a", "other"), drawn, "b", "other").withColumnRenamed("other", "id")
     own = [c for c in stars.columns if c != "id"]
