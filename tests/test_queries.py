@@ -8,10 +8,11 @@ import duckdb
 import pytest
 
 from lodestrand.operators import cover
-from lodestrand.plans import assembly, business, changes, evidence, programs
+from __spark_entry__ import PLANS
+from lodestrand.plans import business
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = evidence.QUERIES | business.QUERIES | programs.QUERIES | changes.QUERIES | assembly.QUERIES, evidence.SQL | business.SQL | programs.SQL | changes.SQL | assembly.SQL
+QUERIES, SQL = {k: v for m in PLANS for k, v in m.QUERIES.items()}, {k: v for m in PLANS for k, v in m.SQL.items()}
 
 
 def norm(rows):
