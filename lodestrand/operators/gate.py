@@ -20,8 +20,8 @@ def rule_rows(changes: DataFrame, rule: str, applies: Column, deny: Column, warn
 
 
 def equivalence_rule(facts: DataFrame) -> DataFrame:
-    """Adds verdict and status to facts (different, errors, untested counts of a change's tests): a difference fails; errors or untested programs are neither failed nor passed."""
-    verdict = F.when(F.col("different") > 0, "not-equivalent").when((F.col("errors") > 0) | (F.col("untested") > 0), "inconclusive").otherwise("equivalent")
+    """Adds verdict and status to facts (tests, and of these different and errors; untested programs): a difference fails; errors, untested programs or no test at all are neither failed nor passed."""
+    verdict = F.when(F.col("different") > 0, "not-equivalent").when((F.col("errors") > 0) | (F.col("untested") > 0) | (F.col("tests") == 0), "inconclusive").otherwise("equivalent")
     status = F.when(F.col("verdict") == "not-equivalent", "fail").when(F.col("verdict") == "inconclusive", "inconclusive").otherwise("pass")
     return facts.withColumn("verdict", verdict).withColumn("status", status)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrand.operators.program import values
+
 
 def first_by(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in an explicit order."""
@@ -91,19 +93,18 @@ def overlapping(changes: DataFrame, hunks: DataFrame, width: int = 64) -> DataFr
 
 
 def assemble(nodes: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a graph from sightings of nodes (id, kind, name, rank) and references (src, kind, target_kind, target, where).
+    """(nodes, edges) of a graph from sightings of nodes (id, kind, name, rank) and references (key, rank, src, kind, target_kind, target, where).
 
-    A reference leads to the node of its kind and name, or to a stub `unresolved:kind:name`, which becomes a node; equal
-    references are one edge, at the first place.
+    A reference leads to the node of its kind and name, or to a stub `unresolved:kind:name`, which becomes a node. An edge is
+    known by the fact (key) that it comes from: two statements make two edges, and of a fact that is written twice the last counts.
     """
     known = merge_nodes(nodes)
     by_name = known.groupBy(F.col("kind").alias("target_kind"), F.col("name").alias("target")).agg(F.min("id").alias("_id"))
     stub = F.concat_ws(":", F.lit("unresolved"), "target_kind", F.coalesce("target", F.lit("?")))
-    joined = references.join(by_name, ["target_kind", "target"], "left")
-    edges = joined.select("src", F.coalesce("_id", stub).alias("dst"), "kind", F.col("_id").isNotNull().alias("resolved"), "target_kind", "target", "where")
+    joined = merge_edges(references).join(by_name, ["target_kind", "target"], "left")
+    edges = joined.select("key", "src", F.coalesce("_id", stub).alias("dst"), "kind", F.col("_id").isNotNull().alias("resolved"), "target_kind", "target", "where")
     stubs = edges.filter("NOT resolved").select(F.col("dst").alias("id"), F.col("target_kind").alias("kind"), F.col("target").alias("name")).distinct()
-    merged = edges.groupBy("src", "dst", "kind").agg(F.first("resolved").alias("resolved"), F.min("where").alias("where"))
-    return known.select("id", "kind", "name").unionByName(stubs), merged
+    return known.select("id", "kind", "name").unionByName(stubs), edges.drop("target_kind", "target")
 
 
 def dynamic_calls(calls: DataFrame, values: DataFrame, programs: DataFrame) -> DataFrame:
@@ -114,12 +115,41 @@ def dynamic_calls(calls: DataFrame, values: DataFrame, programs: DataFrame) -> D
     return named.select("src", F.coalesce("id", F.concat(F.lit("unresolved:program:"), "name")).alias("dst"), F.col("id").isNotNull().alias("resolved"), "probable")
 
 
-def perform_range(performs: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """(src, dst) of performed paragraphs: the target, and with `through` all up to that one in the program's order. performs: (program, src, target, through); paragraphs: (program, seq, name, id)."""
-    at = lambda name, seq: paragraphs.select("program", F.col("name").alias(name), F.col("seq").alias(seq))
-    ranged = performs.join(at("target", "_from"), ["program", "target"]).join(at("through", "_to"), ["program", "through"], "left")
-    wide = ranged.select("program", "src", F.explode(F.sequence("_from", F.greatest("_from", F.coalesce("_to", "_from")))).alias("seq"))
-    return wide.join(paragraphs.select("program", "seq", "id"), ["program", "seq"]).select("src", F.col("id").alias("dst")).distinct()
+def procedures(wanted: DataFrame, paragraphs: DataFrame, sections: DataFrame) -> DataFrame:
+    """Adds `found` to wanted (ref, program, name, section, in_section): the paragraph of that name, one in the caller's section first, else the section of that name.
+
+    paragraphs: (program, section, seq, name, id); sections: (program, seq, name, id). With `in_section` (a qualified name) only that section's paragraphs count. The first in the program's order is taken.
+    """
+    p = paragraphs.select("program", "name", F.col("section").alias("_section"), F.col("seq").alias("_seq"), F.col("id").alias("_id"))
+    near = wanted.join(p, ["program", "name"]).filter(F.col("in_section").isNull() | F.col("_section").eqNullSafe(F.col("in_section")))
+    first = near.groupBy("ref").agg(F.min(F.struct((~F.col("_section").eqNullSafe(F.col("section"))).alias("far"), "_seq", "_id")).alias("p")).select("ref", F.col("p._id").alias("_paragraph"))
+    s = sections.groupBy("program", "name").agg(F.min_by("id", "seq").alias("_whole"))
+    return wanted.join(first, "ref", "left").join(s, ["program", "name"], "left").withColumn("found", F.coalesce("_paragraph", "_whole")).drop("_paragraph", "_whole")
+
+
+def jump_edges(jumps: DataFrame, paragraphs: DataFrame, sections: DataFrame) -> DataFrame:
+    """(key, src, dst, kind, resolved, thru) of PERFORM and GO TO statements (key, program, src, kind, target, thru, section, in_section): one edge for each statement, with its THRU end beside it.
+
+    What no paragraph or section has the name of is a stub; an unknown THRU end stays the name that it is.
+    """
+    ask = lambda name: jumps.select(F.col("key").alias("ref"), "program", F.col(name).alias("name"), "section", "in_section").filter("name IS NOT NULL")
+    to = procedures(ask("target"), paragraphs, sections).select(F.col("ref").alias("key"), F.col("found").alias("_dst"))
+    end = procedures(ask("thru"), paragraphs, sections).select(F.col("ref").alias("key"), F.col("found").alias("_thru"))
+    found = jumps.join(to, "key", "left").join(end, "key", "left")
+    known = F.col("_dst").isNotNull()
+    dst = F.coalesce("_dst", F.concat(F.lit("unresolved:paragraph:"), F.coalesce("target", F.lit("?"))))
+    return found.select("key", "src", dst.alias("dst"), "kind", known.alias("resolved"), F.when(known, F.coalesce("_thru", "thru")).alias("thru"))
+
+
+def shared_through(edges: DataFrame, shared: DataFrame, owners: DataFrame) -> DataFrame:
+    """(resource, components, users): resources (id) that several components reach, directly or through other nodes that no component owns. edges: (src, dst); owners: (id, component).
+
+    What reaches a resource is pushed along edges between such nodes until nothing is new; a round joins only what was new in the one before.
+    """
+    into = edges.join(shared.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").distinct()
+    direct = into.join(owners.select(F.col("id").alias("src"), "component"), "src").select(F.col("dst").alias("field"), F.col("component").alias("value"))
+    between = into.join(owners.select(F.col("id").alias("src")), "src", "left_anti").filter("src <> dst").select(F.col("src").alias("source"), F.col("dst").alias("target"))
+    return shared_by(values(between, direct).select(F.col("field").alias("resource"), F.col("value").alias("component")))
 
 
 def flow_edges(statements: DataFrame, items: DataFrame) -> DataFrame:

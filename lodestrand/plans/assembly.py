@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrand.operators import behave, cover, graph, steps
@@ -120,14 +121,49 @@ def call_edges(spark, d):
     return graph.dynamic_calls(calls, values, programs)
 
 
-@query("""WITH p AS (SELECT DISTINCT l_suppkey AS program, l_linenumber AS seq FROM lineitem), r AS (SELECT DISTINCT l_suppkey AS program, l_linenumber AS s, l_partkey % 7 + 1 AS a, CASE WHEN l_quantity > 25 THEN l_partkey % 5 + 3 END AS b FROM lineitem)
-SELECT DISTINCT 'P' || r.program || '.A' || r.s AS src, 'P' || q.program || '.A' || q.seq AS dst FROM r JOIN p x ON x.program = r.program AND x.seq = r.a LEFT JOIN p y ON y.program = r.program AND y.seq = r.b
-JOIN p q ON q.program = r.program AND q.seq BETWEEN r.a AND greatest(r.a, coalesce(y.seq, r.a))""")
+@query("""WITH p AS (SELECT DISTINCT l_suppkey AS program, 'S' || (l_linenumber % 3) AS section, l_linenumber AS seq, 'A' || (l_linenumber % 4) AS name, 'P' || l_suppkey || '.' || l_linenumber AS id FROM lineitem),
+s AS (SELECT program, min(seq) AS seq, section AS name, 'section:P' || program || '.' || section AS id FROM p GROUP BY program, section),
+r AS (SELECT l_orderkey * 10 + l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS k, l_suppkey AS program, 'P' || l_suppkey || '.' || l_linenumber AS src, CASE WHEN l_tax > 0.06 THEN 'goes-to' ELSE 'performs' END AS kind,
+  CASE WHEN l_partkey % 9 < 7 THEN 'A' || (l_partkey % 6) ELSE 'S' || (l_partkey % 4) END AS target, CASE WHEN l_quantity > 25 THEN 'A' || (l_partkey % 5 + 1) END AS thru, 'S' || (l_linenumber % 3) AS section, CASE WHEN l_partkey % 8 = 0 THEN 'S' || (l_partkey % 3) END AS in_section FROM lineitem),
+w AS (SELECT n, k, program, section, in_section, target AS name, 0 AS side FROM r UNION ALL SELECT n, k, program, section, in_section, thru, 1 FROM r WHERE thru IS NOT NULL),
+c AS (SELECT w.n, w.k, w.side, p.id, row_number() OVER (PARTITION BY w.n, w.k, w.side ORDER BY CASE WHEN p.section = w.section THEN 0 ELSE 1 END, p.seq) AS best FROM w JOIN p ON p.program = w.program AND p.name = w.name AND (w.in_section IS NULL OR p.section = w.in_section)),
+f AS (SELECT w.n, w.k, w.side, coalesce(c.id, s.id) AS id FROM w LEFT JOIN c ON c.n = w.n AND c.k = w.k AND c.side = w.side AND c.best = 1 LEFT JOIN s ON s.program = w.program AND s.name = w.name)
+SELECT r.n || '#' || r.k AS key, r.src, coalesce(a.id, 'unresolved:paragraph:' || r.target) AS dst, r.kind, a.id IS NOT NULL AS resolved, CASE WHEN a.id IS NOT NULL THEN coalesce(b.id, r.thru) END AS thru
+FROM r LEFT JOIN f a ON a.n = r.n AND a.k = r.k AND a.side = 0 LEFT JOIN f b ON b.n = r.n AND b.k = r.k AND b.side = 1""")
 def perform_edges(spark, d):
+    """Jumps between the paragraphs of programs: names repeat in other sections, some are sections', some nobody's."""
     c, line = F.col, table(spark, d, "lineitem")
-    paragraphs = line.select(c("l_suppkey").alias("program"), c("l_linenumber").alias("seq"), _n("A", c("l_linenumber")).alias("name"), _n("P", c("l_suppkey"), ".A", c("l_linenumber")).alias("id")).distinct()
-    performs = line.select(c("l_suppkey").alias("program"), _n("P", c("l_suppkey"), ".A", c("l_linenumber")).alias("src"), _n("A", c("l_partkey") % 7 + 1).alias("target"), F.when(c("l_quantity") > 25, _n("A", c("l_partkey") % 5 + 3)).alias("through")).distinct()
-    return graph.perform_range(performs, paragraphs)
+    k, part = c("l_linenumber"), c("l_partkey")
+    paragraphs = line.select(c("l_suppkey").alias("program"), _n("S", k % 3).alias("section"), k.alias("seq"), _n("A", k % 4).alias("name"), _n("P", c("l_suppkey"), ".", k).alias("id")).distinct()
+    sections = paragraphs.groupBy("program", F.col("section").alias("name")).agg(F.min("seq").alias("seq")).withColumn("id", _n("section:P", c("program"), ".", c("name")))
+    again = F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity"))
+    jumps = line.withColumn("again", again).select(
+        _n(c("l_orderkey") * 10 + k, "#", c("again")).alias("key"), c("l_suppkey").alias("program"), _n("P", c("l_suppkey"), ".", k).alias("src"), F.when(c("l_tax") > 0.06, "goes-to").otherwise("performs").alias("kind"),
+        F.when(part % 9 < 7, _n("A", part % 6)).otherwise(_n("S", part % 4)).alias("target"), F.when(c("l_quantity") > 25, _n("A", part % 5 + 1)).alias("thru"), _n("S", k % 3).alias("section"), F.when(part % 8 == 0, _n("S", part % 3)).alias("in_section"))
+    return graph.jump_edges(jumps, paragraphs, sections)
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'P' || l_suppkey AS src, 'R' || l_partkey % 700 AS dst FROM lineitem UNION SELECT DISTINCT 'R' || (p_partkey * 3 + 1) % 700, 'R' || p_partkey % 700 FROM part UNION SELECT DISTINCT 'X' || o_custkey % 90, 'R' || o_custkey % 800 FROM orders),
+own AS (SELECT 'P' || s_suppkey AS id, 'C' || s_nationkey AS component FROM supplier WHERE s_nationkey < 4), r(resource, component) AS (SELECT e.dst, own.component FROM e JOIN own ON own.id = e.src WHERE e.dst LIKE 'R%' UNION SELECT e.dst, r.component FROM r JOIN e ON e.src = r.resource WHERE e.dst LIKE 'R%' AND e.src NOT IN (SELECT id FROM own))
+SELECT resource, string_agg(component, ',' ORDER BY component) AS components, count(*) AS users FROM r GROUP BY resource HAVING count(*) > 1""")
+def shared_through_resources(spark, d):
+    """Resources (parts) that suppliers of several of the first nations (the components) reach, some of them through other resources."""
+    c = F.col
+    line, part, orders = table(spark, d, "lineitem"), table(spark, d, "part"), table(spark, d, "orders")
+    edges = line.select(_n("P", c("l_suppkey")).alias("src"), _n("R", c("l_partkey") % 700).alias("dst")).union(
+        part.select(_n("R", (c("p_partkey") * 3 + 1) % 700), _n("R", c("p_partkey") % 700))).union(orders.select(_n("X", c("o_custkey") % 90), _n("R", c("o_custkey") % 800))).distinct()
+    owners = table(spark, d, "supplier").filter("s_nationkey < 4").select(_n("P", c("s_suppkey")).alias("id"), _n("C", c("s_nationkey")).alias("component"))
+    found = graph.shared_through(edges, edges.filter("dst LIKE 'R%'").select(c("dst").alias("id")), owners)
+    return found.select("resource", F.array_join("components", ",").alias("components"), "users")
+
+
+@query()
+def impact_paths(spark, d):
+    """The way on which a changed definition, a changed program and a changed paragraph reach each node; its test walks the same steps with a heap."""
+    spread = steps.steps(*_system(spark, d))
+    anchors = spark.sql("SELECT 'data:D7' AS id, 'definition' AS mode, CAST(NULL AS STRING) AS entry UNION ALL SELECT 'program:P2', 'node', NULL UNION ALL SELECT 'para:P3.A1', 'node', 'flow:P3#9'")
+    found = steps.reached_by(spread, anchors)
+    return found.select("id", "tier", "length", F.array_join(F.transform("via", lambda x: F.concat_ws(" ", x["src"], x["label"], x["dst"])), " > ").alias("via"))
 
 
 @query("""WITH f AS (SELECT 'C' || l_partkey % 40 AS source, 'C' || l_linenumber * 7 AS target FROM lineitem), i AS (SELECT 'C' || p_size AS name, min(p_partkey) AS id FROM part GROUP BY 1),
@@ -140,14 +176,15 @@ def flow_edges(spark, d):
     return graph.flow_edges(moves, items).groupBy("src", "dst", "resolved").agg(F.count(F.lit(1)).alias("statements"))
 
 
-@query("""WITH n AS (SELECT CAST(s_suppkey AS VARCHAR) AS name, 'supplier:' || s_suppkey AS id FROM supplier), r AS (SELECT DISTINCT 'order:' || l_orderkey AS src, CAST(l_suppkey + (l_partkey % 9) // 8 * 1000000 AS VARCHAR) AS target, l_returnflag AS kind FROM lineitem)
-SELECT r.src, coalesce(n.id, 'unresolved:supplier:' || r.target) AS dst, r.kind, n.id IS NOT NULL AS resolved FROM r LEFT JOIN n ON n.name = r.target""")
+@query("""WITH n AS (SELECT CAST(s_suppkey AS VARCHAR) AS name, 'supplier:' || s_suppkey AS id FROM supplier), f AS (SELECT 'order:' || l_orderkey AS src, CAST(l_suppkey + (l_partkey % 9) // 8 * 1000000 AS VARCHAR) AS target, l_returnflag AS kind, l_orderkey * 10 + l_linenumber AS key, l_partkey * 1000000 + l_suppkey AS rank FROM lineitem),
+r AS (SELECT key, arg_max(src, (rank, src, target, kind)) AS src, arg_max(target, (rank, src, target, kind)) AS target, arg_max(kind, (rank, src, target, kind)) AS kind FROM f GROUP BY key)
+SELECT r.key, r.src, coalesce(n.id, 'unresolved:supplier:' || r.target) AS dst, r.kind, n.id IS NOT NULL AS resolved FROM r LEFT JOIN n ON n.name = r.target""")
 def assembled_edges(spark, d):
     c = F.col
     known = table(spark, d, "supplier").select(_n("supplier:", c("s_suppkey")).alias("id"), F.lit("supplier").alias("kind"), c("s_suppkey").cast("string").alias("name"), F.lit(0).alias("rank"))
     target = (c("l_suppkey") + F.call_function("div", c("l_partkey") % 9, F.lit(8)) * 1_000_000).cast("string")
-    refs = table(spark, d, "lineitem").select(_n("order:", c("l_orderkey")).alias("src"), c("l_returnflag").alias("kind"), F.lit("supplier").alias("target_kind"), target.alias("target"), c("l_linenumber").alias("where"))
-    return graph.assemble(known, refs)[1].select("src", "dst", "kind", "resolved")
+    refs = table(spark, d, "lineitem").select(_n("order:", c("l_orderkey")).alias("src"), c("l_returnflag").alias("kind"), F.lit("supplier").alias("target_kind"), target.alias("target"), c("l_linenumber").alias("where"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("key"), F.struct(c("l_partkey") * 1_000_000 + c("l_suppkey"), _n("order:", c("l_orderkey")), target, c("l_returnflag")).alias("rank"))
+    return graph.assemble(known, refs)[1].select("key", "src", "dst", "kind", "resolved")
 
 
 @query("""WITH s AS (SELECT DISTINCT 'step:S' || l_orderkey AS step, 'P' || l_suppkey AS program, 'DD' || l_linenumber AS dd, 'X.Y' || l_partkey AS dataset FROM lineitem), f AS (SELECT 'P' || s_suppkey AS program, CASE s_suppkey % 3 WHEN 0 THEN 'UT-S-DD' WHEN 1 THEN 'S-DD' ELSE 'DD' END || (s_suppkey % 7 + 1) AS assigned, 'file:P' || s_suppkey || '.F' AS id FROM supplier)
@@ -160,11 +197,13 @@ def file_bindings(spark, d):
     return graph.bindings(dds, files)
 
 
-@query("""SELECT doc_id, CAST(k AS INTEGER) AS line, regexp_replace(text, '[,;](\\s|$)', ' \\1', 'g') AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL) WHERE NOT regexp_matches(text, '[''"]')""")
+@query(r"""WITH l AS (SELECT doc_id, CAST(k AS INTEGER) AS line, regexp_replace(text, '([aeiou])([,;])', '\1 "q, \2" \2 ''x; ', 'g') AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL)),
+p AS (SELECT doc_id, line, regexp_extract_all(text, '''[^'']*''|"[^"]*"|[^''"]+|[''"]') AS parts FROM l)
+SELECT doc_id, line, array_to_string(list_transform(parts, lambda p: CASE WHEN regexp_matches(p, '^[''"]') THEN p ELSE regexp_replace(p, '[,;](\s|$)', ' \1', 'g') END), '') AS text FROM p""")
 def separators_dropped(spark, d):
-    """All lines without quotes, which have one rule; those with quotes are in the tests."""
-    lines = L.to_lines(table(spark, d, "documents"), "doc_id", "text").filter(~F.col("text").rlike("['\"]"))
-    return lines.select(F.col("file").alias("doc_id"), "line", L.without_separators(F.col("text")).alias("text"))
+    """All lines, with literals put into many of them, some of which stay open."""
+    lines = L.to_lines(table(spark, d, "documents").filter("text IS NOT NULL"), "doc_id", "text")
+    return lines.select(F.col("file").alias("doc_id"), "line", L.without_separators(F.regexp_replace("text", "([aeiou])([,;])", "$1 \"q, $2\" $2 'x; ")).alias("text"))
 
 
 @query(f"""WITH {_PAIRS}, n AS (SELECT element, count(*) - 1 AS room FROM pairs GROUP BY element), b AS (SELECT element, room, CAST(ceil(log2(room + 1)) AS INTEGER) AS bits FROM n WHERE room > 0), k AS (SELECT element, room, bits, unnest(range(bits)) AS bit FROM b),

@@ -95,19 +95,19 @@ def implementers(spark, d):
     return merged.select("change", F.array_join(F.transform(people, lambda p: F.concat_ws(" ", p["name"], F.coalesce(p["email"], F.lit("-")))), ",").alias("people"))
 
 
-_RUNS = """v AS (SELECT o_orderkey AS change, o_custkey % 5 AS p, count(*) AS tests, count(*) FILTER (l_tax > 0.07 AND l_discount > 0.09) AS different, count(*) FILTER (l_linenumber = 7 AND l_quantity > 45) AS errors FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
-w AS (SELECT change, CASE WHEN different > 0 THEN 'not-equivalent' WHEN errors > 0 OR p = 4 THEN 'inconclusive' ELSE 'equivalent' END AS verdict, different, errors, CAST(CASE WHEN p = 4 THEN 1 ELSE 0 END AS INTEGER) AS untested FROM v)"""
+_RUNS = """v AS (SELECT o_orderkey AS change, o_custkey % 5 AS p, count(l_orderkey) AS tests, count(*) FILTER (l_tax > 0.07 AND l_discount > 0.09) AS different, count(*) FILTER (l_linenumber = 7 AND l_quantity > 45) AS errors FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+w AS (SELECT change, CASE WHEN different > 0 THEN 'not-equivalent' WHEN errors > 0 OR p = 4 OR tests = 0 THEN 'inconclusive' ELSE 'equivalent' END AS verdict, tests, different, errors, CAST(CASE WHEN p = 4 THEN 1 ELSE 0 END AS INTEGER) AS untested FROM v)"""
 
 
-@query(f"WITH {_RUNS} SELECT change, verdict, CASE verdict WHEN 'not-equivalent' THEN 'fail' WHEN 'inconclusive' THEN 'inconclusive' ELSE 'pass' END AS status, different, errors, untested FROM w")
+@query(f"WITH {_RUNS} SELECT change, verdict, CASE verdict WHEN 'not-equivalent' THEN 'fail' WHEN 'inconclusive' THEN 'inconclusive' ELSE 'pass' END AS status, tests, different, errors, untested FROM w")
 def equivalence_rule(spark, d):
-    """The rule on behaviour: a difference fails, untested programs and errors prove nothing."""
+    """The rule on behaviour: a difference fails; untested programs, errors and changes without any test prove nothing."""
     o, line = table(spark, d, "orders").select(F.col("o_orderkey").alias("change"), "o_custkey"), table(spark, d, "lineitem")
     n = lambda c: F.count_if(c)
     facts = o.join(line, F.col("change") == F.col("l_orderkey"), "left").groupBy("change", "o_custkey").agg(
-        n((F.col("l_tax") > 0.07) & (F.col("l_discount") > 0.09)).alias("different"), n((F.col("l_linenumber") == 7) & (F.col("l_quantity") > 45)).alias("errors"))
+        F.count("l_orderkey").alias("tests"), n((F.col("l_tax") > 0.07) & (F.col("l_discount") > 0.09)).alias("different"), n((F.col("l_linenumber") == 7) & (F.col("l_quantity") > 45)).alias("errors"))
     facts = facts.withColumn("untested", F.when(F.col("o_custkey") % 5 == 4, 1).otherwise(0))
-    return gate.equivalence_rule(facts).select("change", "verdict", "status", "different", "errors", "untested")
+    return gate.equivalence_rule(facts).select("change", "verdict", "status", "tests", "different", "errors", "untested")
 
 
 @query(f"""WITH {_PARSED}, people AS (SELECT DISTINCT change, 'approver' AS role, coalesce(lower(mail), lower(name)) AS person FROM q WHERE key = 'approved-by' AND NOT bot UNION SELECT change, 'implementer', coalesce(lower(email), lower(author)) FROM messages)
