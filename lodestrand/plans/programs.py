@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
-from lodestrand.operators import behave, cover, program, rollup
+from lodestrand.operators import behave, cover, program, rollup, storage
 from lodestrand.plans.business import test_obligations
 from lodestrand.plans.derive import cents, table
 from lodestrand.sources import lines as L
@@ -146,3 +146,42 @@ def baseline_reuse(spark, d):
     part = table(spark, d, "part").withColumn("digest", F.sha2(F.concat("p_name", "p_brand"), 256))
     kept = part.filter("p_size % 2 = 0").select(F.col("digest").alias("_kept")).distinct()
     return part.join(kept, part["digest"] == kept["_kept"], "left").select(F.col("p_partkey").alias("id"), F.col("_kept").isNotNull().alias("reused"))
+
+
+def _records(spark, d):
+    """Data descriptions (file, line, text) that vary with each part: tables in groups, redefinitions, packed and binary numbers."""
+    part = table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_type")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    n = lambda c: c.cast("string")
+    usage = F.element_at(F.array(*map(F.lit, ["", " COMP", " COMP-3", " USAGE IS BINARY", " PACKED-DECIMAL", " DISPLAY", " COMPUTATIONAL-5"])), (k % 7 + 1).cast("int"))
+    some = lambda cond, *parts: F.when(cond, _text(*parts))
+    lines = F.array_compact(F.array(
+        _text("01 REC-", n(k), "."), _text(" 05 KEY-A PIC X(", n(size), ") VALUE 'K", n(k % 9), "'."), some(k % 2 == 0, " 05 KEY-B REDEFINES KEY-A."), some(k % 2 == 0, "  10 B-ONE PIC X(", n(size), ")."), some(k % 6 == 0, " 05 KEY-C REDEFINES KEY-B PIC 9(", n(size + k % 5), ")."),
+        _text(" 05 ROWS OCCURS ", n(k % 4 + 1), " TIMES", F.when(k % 3 == 0, usage).otherwise(""), "."), _text("  10 AMT PIC S9(", n(size % 9 + 1), ")V9(", n(k % 3 + 1), ")", F.when(k % 3 == 0, "").otherwise(usage), "."), _text("  10 CELL OCCURS ", n(size % 3 + 1), "."),
+        F.lit("   15 TAG PIC XX VALUE 'T'."), _text("   15 FILLER PIC X(", n(k % 2 + 1), ")."), some(k % 5 == 0, "   15 TAG-N REDEFINES TAG PIC 99."), some(k % 5 == 0, "    88 IS-T VALUE '01'."), some(k % 4 == 1, "  10 VIEW-R REDEFINES CELL."), some(k % 4 == 1, "   15 VR PIC XX."),
+        some(k % 11 == 0, " 05 PTR POINTER."), some(k % 13 == 0, " 05 VAR OCCURS 1 TO 9 DEPENDING ON N PIC X."), F.lit(" 05 LAST-F PIC 9(3)."), _text("77 ALONE PIC ", F.when(k % 2 == 0, "X(4)").otherwise("S9(5)"), usage, " VALUE 7."), F.lit("01 OTHER REDEFINES NOTHING."), _text(" 03 O PIC X(", n(size), ").")))
+    return L.to_lines(part.select("p_partkey", F.array_join(lines, "\n").alias("t")), "p_partkey", "t")
+
+
+def _layout(spark, d):
+    items = storage.described(_records(spark, d))
+    return storage.record_layout(program.parents(items, [1, 3, 5, 10, 15, 77, 88]))
+
+
+@query()
+def storage_layout(spark, d):
+    """Sizes and starts of all items of all records; a recursive layout checks them."""
+    return _layout(spark, d).select("file", "line", "name", "size", "bytes", "start", "problem")
+
+
+@query()
+def storage_occurrences(spark, d):
+    """Each elementary occurrence with its subscripts, start and bytes."""
+    return storage.occurrences(_layout(spark, d)).select("file", "line", "name", F.array_join(F.col("subscripts").cast("array<string>"), ",").alias("subscripts"), "start", "bytes")
+
+
+@query()
+def storage_values(spark, d):
+    """Values that items may hold through storage that they share with others."""
+    given = storage.described(_records(spark, d)).filter("value IS NOT NULL AND level <> 88").select("file", "line", "value")
+    return storage.redefined_values(_layout(spark, d), given)
