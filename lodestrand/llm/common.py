@@ -48,39 +48,49 @@ HELD: dict[str, Callable[[], None]] = {}
 
 
 def release(keeps: str | None = None) -> None:
-    """Drops what other operators have left in this worker process."""
+    """Drops what other operators than those named in `keeps` (with spaces between) have left in this worker process."""
     for name, drop in HELD.items():
-        if name != keeps:
+        if name not in (keeps or "").split():
             drop()
 
 
 class Memory:
-    """What a worker has computed for keys, in two generations of at most `most` entries and a batch's new keys.
+    """What a worker has computed for keys, in two generations of at most `most` entries and 128 bytes an entry on average, and a batch's new keys.
 
     What a batch asks for is moved to the younger one; when that is full it becomes the older one, and what was not asked for since is dropped.
+    Keys of more than LONGEST characters (lines of text without spaces, say) are never kept, so memory follows neither their number nor their length.
     """
 
+    LONGEST = 64
+
     def __init__(self, most: int) -> None:
-        self.most, self.young, self.old = most, {}, {}
+        self.most, self.young, self.old, self.size = most, {}, {}, 0
 
     def of(self, keys: list, learn: Callable[[list], list]) -> list:
         """The value of each key; `learn` is asked for those of new keys."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
+        if len(self.young) > self.most or self.size > 128 * self.most:
+            self.young, self.old, self.size = {}, self.young, 0
         young, old = self.young, self.old
         found = list(map(young.get, keys))
         gaps = [i for i, v in enumerate(found) if v is None]
         if gaps:
-            new = []
+            new, long = [], {}
             for k in dict.fromkeys(map(keys.__getitem__, gaps)):
                 if (v := old.get(k)) is not None:
                     young[k] = v
+                    self.size += len(k) + len(v)
                 else:
                     new.append(k)
             if new:
-                young.update(zip(new, learn(new), strict=True))
+                for k, v in zip(new, learn(new), strict=True):
+                    if len(k) <= self.LONGEST:
+                        young[k] = v
+                        self.size += len(k) + len(v)
+                    else:
+                        long[k] = v
             for i in gaps:
-                found[i] = young[keys[i]]
+                k = keys[i]
+                found[i] = young[k] if len(k) <= self.LONGEST else long[k]
         return found
 
 

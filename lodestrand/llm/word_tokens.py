@@ -15,7 +15,7 @@ from itertools import chain, islice
 
 import numpy as np
 
-from lodestrand.llm.common import Memory
+from lodestrand.llm.common import HELD, Memory
 from lodestrand.llm.token_counts import _WS, DIGIT, LETTER, Full, class_of, encoded, normal, transducer
 
 #: Entries of a generation of what a worker remembers.
@@ -78,6 +78,7 @@ class Words:
 
 
 _MADE: dict[str, Words] = {}
+HELD["words"] = _MADE.clear
 
 
 def ids_of(texts: list[str], path: str) -> list[bytes]:

@@ -143,3 +143,32 @@ def test_fillings_use_every_piece_once():
     assert used == counts
     full = packing.fillings({60: 2, 50: 2, 40: 1, 25: 2}, 100)
     assert sum(t for _, t in full) == 4 and ({60: 1, 40: 1}, 1) in full
+
+
+def test_memory_of_workers_follows_neither_number_nor_length_of_keys():
+    from lodestrand.llm.common import Memory
+
+    r = random.Random(2)
+    memory = Memory(1000)
+    for _ in range(60):
+        keys = ["".join(chr(0x4E00 + r.randrange(2000)) for _ in range(r.choice((2, 5, 63, 64, 65, 4000)))) for _ in range(300)]
+        keys += keys[:20]
+        assert memory.of(keys, lambda new: [k.encode() for k in new]) == [k.encode() for k in keys]
+        held = [*memory.young.items(), *memory.old.items()]
+        assert all(len(k) <= Memory.LONGEST for k, _ in held) and sum(len(k) + len(v) for k, v in held) < 3 * 128 * 1000
+
+
+def test_text_without_spaces_leaves_little_behind():
+    import public_tokenizers
+
+    from lodestrand.llm import byte_bpe, word_tokens
+
+    r = random.Random(6)
+    coder = byte_bpe.Coder(byte_bpe.default_vocabulary(), byte_bpe.default_pattern())
+    words = word_tokens.Words(public_tokenizers.path("word_bpe_49k.json"))
+    for _ in range(4):
+        batch = ["".join(chr(0x4E00 + r.randrange(5000)) for _ in range(20_000)) for _ in range(6)]
+        coder.encode(batch)
+        words.ids(batch[:1])
+    for memory in (coder.stretches, coder.pieces, words.pieces, words.words):
+        assert sum(len(k) + len(v) for held in (memory.young, memory.old) for k, v in held.items()) < 100_000
