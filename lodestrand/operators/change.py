@@ -42,3 +42,22 @@ def open_items(lines: Column, block: Column, implementers: Column) -> Column:
         F.when(F.size(T.values_of(block, "Requested-by")) == 0, OPEN["requester"]), approval,
         F.when(reason["request"].isNull(), OPEN["request"]), F.when(reason["change_type"].isNull(), OPEN["type"]),
     ))
+
+
+#: What a record lacks.
+GAPS = {
+    "who": "who: implementer has no name or email", "when": "when: missing a time", "where": "where: repository, commit or files missing",
+    "what": "what: a changed file was not accounted for", "how": "how: a text change has no hunks",
+}
+
+
+def gaps(record: Column) -> Column:
+    """The gaps of a record (struct of name, email, authored, committed, repository, commit, files, accounted, problems and edits, an array of binary, insertions, deletions and hunks): an array of texts."""
+    r = lambda name: record[name]
+    empty = lambda c: F.coalesce(c == "", F.lit(True))
+    none = lambda c: F.coalesce(F.size(c) <= 0, F.lit(True))
+    lost = ~none(r("problems")) | (F.size(F.array_except(F.coalesce(r("files"), F.array().cast("array<string>")), F.coalesce(r("accounted"), F.array().cast("array<string>")))) > 0)
+    bare = F.exists(F.coalesce(r("edits"), F.array().cast("array<struct<binary:boolean,insertions:int,deletions:int,hunks:int>>")), lambda e: ~e["binary"] & ((e["insertions"] > 0) | (e["deletions"] > 0)) & (e["hunks"] == 0))
+    return F.array_compact(F.array(
+        F.when(empty(r("name")) | empty(r("email")), GAPS["who"]), F.when(empty(r("authored")) | empty(r("committed")), GAPS["when"]),
+        F.when(empty(r("repository")) | empty(r("commit")) | none(r("files")), GAPS["where"]), F.when(lost, GAPS["what"]), F.when(bare, GAPS["how"])))

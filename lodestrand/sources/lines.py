@@ -55,10 +55,14 @@ def disposition(operands: Column) -> Column:
     return F.coalesce(F.regexp_extract(operand(operands, "DISP"), r"\(?([A-Z]+)", 1), F.lit("NEW"))
 
 
+#: Programs that run what their input names.
+TSO = ("IKJEFT01", "IKJEFT1A", "IKJEFT1B")
+
+
 def tso_runs(lines: DataFrame) -> DataFrame:
-    """(file, line, first, program) of RUN PROGRAM(NAME) in the input behind an EXEC, up to the next EXEC, JOB or PROC; `first` is that EXEC's line. Comment lines don't count."""
+    """(file, line, first, program) of RUN PROGRAM(NAME) in the input behind an EXEC of a TSO program, up to the next EXEC, JOB or PROC; `first` is that EXEC's line. Comment lines don't count."""
     opens = F.col("text").rlike(r"^//\S*\s+(EXEC|JOB|PROC)\b")
-    placed = carried(lines, F.when(opens, F.struct(F.col("line").alias("first"), F.col("text").rlike(r"^//\S*\s+EXEC\b").alias("exec"))), "_step")
+    placed = carried(lines, F.when(opens, F.struct(F.col("line").alias("first"), F.col("text").rlike(rf"^//\S*\s+EXEC\b.*\bPGM=(?:{'|'.join(TSO)})\b").alias("exec"))), "_step")
     named = F.upper(F.regexp_extract(F.substring("text", 1, 72), r"(?i)\bRUN\s+PROG(?:RAM)?\s*\(\s*([A-Z0-9@#$]+)\s*\)", 1))
     return placed.filter(~F.col("text").startswith("//*") & ~opens & F.col("_step.exec")).select("file", "line", F.col("_step.first").alias("first"), named.alias("program")).filter("program <> ''")
 

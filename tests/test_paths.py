@@ -128,3 +128,53 @@ def test_jumps_prefer_the_callers_section_and_keep_unknown_targets(spark):
     jumps = spark.createDataFrame([row("1", "A", None, "S2"), row("2", "A", None, "S9"), row("3", "A", "B", "S1"), row("4", "S2"), row("5", "NO", "B"), row("6", "B", "GONE"), row("7", "A", None, "S1", "S2"), row("8", "B", None, None, "S1")], "key string, program string, src string, kind string, target string, thru string, section string, in_section string")
     got = {e["key"]: (e["dst"], e["resolved"], e["thru"]) for e in graph.jump_edges(jumps, paragraphs, sections).collect()}
     assert got == {"1": ("P.S2.A", True, None), "2": ("P.S1.A", True, None), "3": ("P.S1.A", True, "P.S2.B"), "4": ("P.S2", True, None), "5": ("unresolved:paragraph:NO", False, None), "6": ("P.S2.B", True, "GONE"), "7": ("P.S2.A", True, None), "8": ("unresolved:paragraph:B", False, None)}
+
+
+def test_services_functions_and_exposure(spark):
+    from lodestrand.functions import crypto
+
+    def of(column, schema, *values):
+        r = spark.createDataFrame([values], schema).select(column.alias("x")).first()["x"]
+        return tuple(r) if r is not None and not isinstance(r, list) else r
+
+    c = F.col
+    assert of(crypto.service(c("t")), "t string", "csnbowh1") == ("CSNBOWH", "hash") and of(crypto.service(c("t")), "t string", "CSNFPKE") == ("CSNDPKE", "asymmetric-encrypt")
+    assert of(crypto.service(c("t")), "t string", "CSFZZZ") is None and of(crypto.service(c("t")), "t string", "CSNBZZZ") == ("CSNBZZZ", "unclassified") and of(crypto.service(c("t")), "t string", None) is None
+    assert [tuple(x) for x in of(crypto.sql_functions(c("t")), "t string", "SELECT hash_sha256 (A), MY-HASH(B), ENCRYPT(C) FROM T WHERE HASHED(1)")] == [("HASH_SHA256", "hash"), ("ENCRYPT", "symmetric-encrypt")]
+    use = crypto.use(c("n"), c("t"), c("k"))
+    schema = "n string, t array<string>, k array<int>"
+    assert of(use, schema, "CSNDDSG", ["pad", " rsa-x"], [7, 2048, 4096]) == ("rsa", 2048, True) and of(use, schema, "CSNBOWH", ["SHA-512"], [2048]) == ("sha-512", None, False)
+    assert of(use, schema, "CSNDPKB", ["pad"], [2048]) == (None, None, None) and of(use, schema, "CSNBSYE", [], []) == (None, None, False)
+
+
+def test_gaps_of_records(spark):
+    from lodestrand.operators import change
+
+    schema = "name string, email string, authored string, committed string, repository string, commit string, files array<string>, accounted array<string>, problems array<string>, edits array<struct<binary:boolean,insertions:int,deletions:int,hunks:int>>"
+    full = ("n", "e", "a", "c", "r", "s", ["x"], ["x", "y"], [], [(False, 1, 0, 1), (True, 3, 0, 0), (False, 0, 0, 0)])
+    other = ("n", "", "a", None, "r", "s", [], [], ["bad"], [(False, 0, 2, 0)])
+    rows = spark.createDataFrame([full, other, (None,) * 10], schema)
+    got = [r["g"] for r in rows.select(change.gaps(F.struct(*rows.columns)).alias("g")).collect()]
+    assert got == [[], [change.GAPS[k] for k in ("who", "when", "where", "what", "how")], [change.GAPS[k] for k in ("who", "when", "where")]]
+
+
+def test_tso_input_counts_under_tso_programs_only(spark):
+    text = "//J JOB X\n//S1 EXEC PGM=IKJEFT1B\n RUN PROGRAM(ABC)\n//S2 EXEC PGM=IEFBR14\n RUN PROGRAM(NO)\n//S3 EXEC IKJEFT01\n RUN PROGRAM(NO)"
+    lines = L.to_lines(spark.createDataFrame([(1, text)], "f int, t string"), "f", "t")
+    assert [(r["line"], r["program"]) for r in L.tso_runs(lines).collect()] == [(3, "ABC")]
+
+
+def test_edges_of_jobs_and_books(spark):
+    from lodestrand.operators import edges
+
+    steps = spark.createDataFrame([("J", "JOB", "A", "P1", None), ("J", "JOB", "B", None, "C1"), ("J", "JOB", "C", "DFSRRC00", None), ("J", "JOB", "D", None, None)], "job string, job_kind string, step string, program string, proc string")
+    runs = spark.createDataFrame([("J", "C", "P2"), ("J", "C", "P2")], "job string, step string, program string")
+    dds = spark.createDataFrame([("J", "C", "IN", "D.S", "SHR"), ("J", "C", "NO", None, None)], "job string, step string, dd string, dataset string, disp string")
+    one = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
+    files = spark.createDataFrame([("P2", "ut-s-in", "file:P2.F"), ("P9", "IN", "file:P9.F")], "program string, assigned string, id string")
+    got = {r["key"]: (r["src"], r["dst"], r["resolved"], r["reason"]) for r in edges.job_edges(steps, runs, dds, one("P1", "P2"), one("C9"), files).collect()}
+    assert len(got) == 10 and got["runs>step:J.A"] == ("step:J.A", "program:P1", True, None) and got["runs>step:J.C>P2"][1] == "program:P2"
+    assert got["runs>step:J.B"] == ("step:J.B", "unresolved:proc:C1", False, "procedure not in the analyzed code") and got["runs>step:J.C"][1] == "unresolved:program:DFSRRC00"
+    assert got["binds>step:J.C>IN"][:2] == ("file:P2.F", "dataset:D.S") and got["dd>step:J.C>IN"][1] == "dataset:D.S" and got["contains>step:J.D"][0] == "job:J"
+    copies = spark.createDataFrame([("k1", "P", "BK", None), ("k2", "P", "NO", "x"), ("k3", "P", "BK", "recursive COPY")], "key string, program string, name string, problem string")
+    assert {r["key"]: (r["dst"], r["resolved"], r["reason"]) for r in edges.book_edges(copies, one("BK")).collect()} == {"k1": ("copybook:BK", True, None), "k2": ("unresolved:copybook:NO", False, "copybook not found"), "k3": ("copybook:BK", True, "recursive COPY")}
