@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
-from lodestrand.operators import bank, behave, cover, rollup
+from lodestrand.operators import bank, behave, cover, exact_cover, rollup
 from lodestrand.plans.derive import cents, table
 from lodestrand.streaming import ledger
 
@@ -205,6 +205,21 @@ def _cover_parts(spark, d):
     return pairs, _cover(spark, d)[1]
 
 
+def _buyers(spark, d):
+    """Which nations buy more of a size of parts than their share, and what a nation costs."""
+    t = lambda n: table(spark, d, n)
+    bought = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", "p_size").agg(F.count(F.lit(1)).alias("n"))
+    by_nation, by_size, all_ = W.partitionBy("c_nationkey"), W.partitionBy("p_size"), bought.agg(F.sum("n").alias("all"))  # one row
+    more = bought.withColumns({"of_nation": F.sum("n").over(by_nation), "of_size": F.sum("n").over(by_size)}).crossJoin(all_).filter(F.col("n") * F.col("all") > F.col("of_nation") * F.col("of_size"))
+    return more.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("candidate"), F.col("p_size").alias("element")), t("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("candidate"), (F.col("n_nationkey") % 4 + 2).alias("cost"))
+
+
+@query()
+def cover_exact(spark, d):
+    """The cheapest nations that between them buy more than their share of every size."""
+    return exact_cover.exact_cover(*_buyers(spark, d))
+
+
 _PAIRS = """pairs AS (SELECT DISTINCT 's' || l_suppkey AS candidate, p_brand || '/' || p_type AS element FROM lineitem JOIN part ON l_partkey = p_partkey), costs AS (SELECT 's' || s_suppkey AS candidate, s_suppkey % 3 + 1 AS cost FROM supplier)"""
 
 
