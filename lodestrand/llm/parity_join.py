@@ -138,21 +138,23 @@ def _side(rows: DataFrame, drawn: DataFrame, k: str, *more: Column) -> DataFrame
 
 def shared_keys(known: DataFrame, first: DataFrame) -> DataFrame:
     """bucket, id and center (the smallest id) of keys that several of the `first` rows (id) of a class have, after each has spared its most frequent ones."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col(f"spare{k}").alias("spare"), F.col(f"keys{k}").alias("keys")) for k in range(3)]))
-    rows = known.select("id", each.alias("x")).select("id", "x.band", "x.spare", F.explode("x.keys").alias("bucket"))
-    often = rows.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("often > 1")
-    own = Window.partitionBy("id", "band").orderBy(F.desc("often"), F.desc("bucket"))
-    kept = often.join(first, "id", "left_semi").withColumn("rank", F.row_number().over(own)).filter("rank > spare").select("bucket", "id")
+    # a row's band and what it may spare there are one number, and later how many have the key in front of them: three longs go through each exchange
+    each = F.explode(F.array(*[F.struct((F.col(f"spare{k}").cast("long") * 4 + k).alias("tag"), F.col(f"keys{k}").alias("keys")) for k in range(3)]))
+    rows = known.select("id", each.alias("x")).select("id", "x.tag", F.explode("x.keys").alias("bucket"))
+    often = rows.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("often > 1").select("id", "bucket", (F.least("often", F.lit((1 << 31) - 1)) * (1 << 32) + F.col("tag")).alias("tag"))
+    own = Window.partitionBy("id", F.col("tag") % 4).orderBy(F.desc(F.shiftright("tag", 32)), F.desc("bucket"))
+    kept = often.join(first, "id", "left_semi").withColumn("rank", F.row_number().over(own)).filter(F.col("rank") > F.shiftright(F.col("tag") % (1 << 32), 2)).select("bucket", "id")
     same = Window.partitionBy("bucket")
     return kept.select("bucket", "id", F.count(F.lit(1)).over(same).alias("members"), F.min("id").over(same).alias("center")).filter("members > 1").drop("members")
 
 
 def still_open(placed: DataFrame) -> DataFrame:
-    """Rows (bucket, id, component) of buckets that hold several components, with the bucket's largest one and whether comparing is hard."""
-    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-    most = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("members"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    """Rows (bucket, id, component) of buckets that hold several components, with the bucket's largest one and whether comparing is hard. Buckets are dealt once, for all three windows."""
+    bucket, own = Window.partitionBy("bucket"), Window.partitionBy("bucket", "component")
+    sized = placed.repartition("bucket").withColumn("size", F.count(F.lit(1)).over(own))
+    whole = sized.withColumns({"most": F.max(F.struct("size", "component")).over(bucket), "members": F.count(F.lit(1)).over(bucket)})
     hard = (F.col("members") - F.col("most.size")) * F.col("members") > HARD
-    return placed.join(most.select("bucket", F.col("most.component").alias("largest"), hard.alias("hard")), "bucket")
+    return whole.filter("size < members").select("bucket", "id", "component", F.col("most.component").alias("largest"), hard.alias("hard"))
 
 
 def candidates(rows: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
