@@ -74,23 +74,25 @@ class Memory:
         found = list(map(young.get, keys))
         gaps = [i for i, v in enumerate(found) if v is None]
         if gaps:
-            new, long = [], {}
+            new, long, size = [], {}, 0
             for k in dict.fromkeys(map(keys.__getitem__, gaps)):
                 if (v := old.get(k)) is not None:
                     young[k] = v
-                    self.size += len(k) + len(v)
+                    size += len(k) + len(v)
                 else:
                     new.append(k)
             if new:
-                for k, v in zip(new, learn(new), strict=True):
-                    if len(k) <= self.LONGEST:
-                        young[k] = v
-                        self.size += len(k) + len(v)
-                    else:
-                        long[k] = v
+                made = learn(new)
+                if max(map(len, new)) > self.LONGEST:
+                    long = {k: v for k, v in zip(new, made, strict=True) if len(k) > self.LONGEST}
+                    made = [v for k, v in zip(new, made, strict=True) if k not in long]
+                    new = [k for k in new if k not in long]
+                young.update(zip(new, made, strict=True))
+                size += sum(map(len, new)) + sum(map(len, made))
+            self.size += size
             for i in gaps:
-                k = keys[i]
-                found[i] = young[k] if len(k) <= self.LONGEST else long[k]
+                v = young.get(keys[i])
+                found[i] = long[keys[i]] if v is None else v
         return found
 
 
