@@ -76,11 +76,12 @@ def method_resolution(spark, d):
     return program.resolve_calls(calls, chain, methods)
 
 
-@query("""WITH m AS (SELECT l_suppkey AS file, l_orderkey AS line, 'K' || l_partkey % 9 AS field, 'RSA-' || l_linenumber AS literal FROM lineitem WHERE l_linenumber < 3), c AS (SELECT DISTINCT l_suppkey AS file, l_orderkey AS line, 'K' || l_partkey % 9 AS field FROM lineitem WHERE l_linenumber = 5),
+@query("""WITH m AS (SELECT l_suppkey AS file, l_orderkey AS line, 'K' || l_partkey % 9 AS field, 'RSA-' || l_linenumber AS literal FROM lineitem WHERE l_linenumber <> 5), c AS (SELECT DISTINCT l_suppkey AS file, l_orderkey AS line, 'K' || l_partkey % 9 AS field FROM lineitem WHERE l_linenumber = 5),
 b AS (SELECT file, line, field, max(literal) AS literal FROM m GROUP BY ALL) SELECT c.file, c.line, c.field, (SELECT arg_max(b.literal, b.line) FROM b WHERE b.file = c.file AND b.field = c.field AND b.line < c.line) AS argument FROM c""")
 def call_arguments(spark, d):
+    """Every fifth line of an order is a call, all others are moves."""
     line = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("line"), F.concat(F.lit("K"), (F.col("l_partkey") % 9).cast("string")).alias("field"), "l_linenumber")
-    moves = line.filter("l_linenumber < 3").groupBy("file", "line", "field").agg(F.max(F.concat(F.lit("RSA-"), F.col("l_linenumber").cast("string"))).alias("literal"))
+    moves = line.filter("l_linenumber <> 5").groupBy("file", "line", "field").agg(F.max(F.concat(F.lit("RSA-"), F.col("l_linenumber").cast("string"))).alias("literal"))
     return program.arguments(line.filter("l_linenumber = 5").select("file", "line", "field").distinct(), moves)
 
 

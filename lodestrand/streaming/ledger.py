@@ -1,4 +1,4 @@
-"""The ledger as a stream: re-sent rows dropped within a watermark, windowed counts, and state by key."""
+"""The ledger as a stream: re-sent rows dropped within a watermark, and windowed counts."""
 
 from __future__ import annotations
 
