@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -48,10 +49,13 @@ HELD: dict[str, Callable[[], None]] = {}
 
 
 def release(keeps: str | None = None) -> None:
-    """Drops what other operators than those named in `keeps` (with spaces between) have left in this worker process."""
+    """Drops what other operators than those named in `keeps` (with spaces between) have left in this worker process, and hands freed memory back to the system."""
     for name, drop in HELD.items():
         if name not in (keeps or "").split():
             drop()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 class Memory:
