@@ -11,7 +11,10 @@ start (linked by definition, however many). In each bucket, all classes are firs
 with one of them; linked ones form components. Only then, and only in buckets that still
 hold several components, the classes outside the bucket's largest component meet that
 component and each other: a pair inside one component can't change anything, and every
-other pair of a bucket is looked at. Bit sketches (min-max again, with many more
+other pair of a bucket is looked at. Where that would be more than `HARD` comparisons in one
+bucket or with one component, its documents are joined by their rarest shingles instead (in
+an order by frequency among these documents, a linked pair shares one of its first
+n - ceil(n * percent / 100) + 1), so families that all lie below the threshold stay cheap. Bit sketches (min-max again, with many more
 permutations, drawn for these documents only) leave out pairs that are five standard
 deviations below the threshold. Links are confirmed on the full sets, computed anew from
 whole texts.
@@ -27,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.llm.common import arrow_map, documents, id_and_text, id_key, one_each, stored, utf8
@@ -35,6 +38,8 @@ from lodestrand.llm.common import arrow_map, documents, id_and_text, id_key, one
 BANDS, ROWS = 36, 5
 #: Bits of the sketches by which pairs of different components are sifted before their full sets are compared.
 BITS = 4096
+#: Comparisons that one bucket or component may ask for before its documents are joined by rare shingles instead.
+HARD = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,6 +178,28 @@ def components(links: DataFrame) -> DataFrame:
         total = now
 
 
+def still_open(placed: DataFrame, most: int) -> DataFrame:
+    """Rows (bucket, id, component) of buckets that hold several components, with the bucket's largest one and whether comparing takes more than `most` comparisons. Buckets are dealt once, for all three windows."""
+    bucket, own = Window.partitionBy("bucket"), Window.partitionBy("bucket", "component")
+    sized = placed.repartition("bucket").withColumn("size", F.count(F.lit(1)).over(own))
+    whole = sized.withColumns({"most": F.max(F.struct("size", "component")).over(bucket), "members": F.count(F.lit(1)).over(bucket)})
+    hard = (F.col("members") - F.col("most.size")) * F.col("members") > most
+    return whole.filter("size < members").select("bucket", "id", "component", F.col("most.component").alias("largest"), hard.alias("hard"))
+
+
+def rare_shingles(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """bucket (a shingle) and id: of each text the rarest n - ceil(n * percent / 100) + 1 shingles, by their frequency among these texts."""
+
+    def each(batch: pa.RecordBatch) -> dict[str, object]:
+        return {"id": batch.column(0), "found": [shingles(t, words).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]}
+
+    found = stored(arrow_map(texts.select("id", "text"), each, "id long, found array<long>", mb=1).select("id", F.size("found").alias("n"), F.explode("found").alias("bucket")).distinct(), "shingles")
+    often = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")  # those of one text alone come first and lead to nobody
+    alone = found.join(often, "bucket", "left").select("id", "n", "bucket", F.coalesce("often", F.lit(1)).alias("often"))
+    ranked = alone.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("often", "bucket")))
+    return ranked.filter((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("often") > 1)).select("bucket", "id")
+
+
 def _similar_size(percent: int):
     return F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
 
@@ -204,9 +231,23 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in names[1:]), F.bit_count(F.col(f"{names[0]}_a").bitwiseXOR(F.col(f"{names[0]}_b"))))
     likely = (F.col("c_a") != F.col("c_b")) & _similar_size(percent) & (differ <= _most_different(percent / 100))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    left = side(outside.select("id", "n", "component", "largest").distinct(), "a", F.col("largest").alias("at"))
-    with_largest = left.join(side(whole, "b", F.col("component").alias("at")), "at").filter(likely).select(*ordered)
-    others = side(outside, "a", "bucket").join(side(outside, "b", "bucket"), "bucket").filter((F.col("a") < F.col("b")) & likely).select(*ordered)
+    # what a component or a bucket would compare may grow with its square: beyond HARD comparisons, documents meet at rare shingles instead
+    inside = whole.groupBy(F.col("component").alias("largest")).agg(F.count(F.lit(1)).alias("inside"))
+    hard_at = stored(outside.groupBy("largest").agg(F.count_distinct("id").alias("outside")).join(inside, "largest").filter(F.col("outside") * F.col("inside") > HARD).select("largest"), "hard")
+    hard_in = stored(outside.groupBy("bucket").agg(F.count(F.lit(1)).alias("outside")).filter(F.col("outside") * F.col("outside") > HARD).select("bucket"), "hard")
+    soft = outside.join(hard_at, "largest", "left_anti").select("id", "n", "component", "largest").distinct()
+    at = F.col("component").alias("at")
+    with_largest = side(soft, "a", F.col("largest").alias("at")).join(side(whole.join(hard_at.withColumnRenamed("largest", "component"), "component", "left_anti"), "b", at), "at").filter(likely).select(*ordered)
+    rest = outside.join(hard_in, "bucket", "left_anti")
+    others = side(rest, "a", "bucket").join(side(rest, "b", "bucket"), "bucket").filter((F.col("a") < F.col("b")) & likely).select(*ordered)
+    hard = [outside.join(hard_at, "largest", "left_semi").select("id"), whole.join(hard_at.withColumnRenamed("largest", "component"), "component", "left_semi").select("id"), outside.join(hard_in, "bucket", "left_semi").select("id")]
+    hard = stored(hard[0].union(hard[1]).union(hard[2]).distinct(), "hard")
+    if not hard.isEmpty():
+        known = placed.select("id", "n", "component").distinct()
+        met = stored(still_open(rare_shingles(texts.join(hard, "id", "left_semi"), words, percent).join(known, "id").select("bucket", "id", "component"), HARD), "rare").join(known.select("id", "n"), "id")
+        once = (F.col("c_b") == F.col("largest")) | (F.col("a") < F.col("b"))
+        rare = side(met.filter("component <> largest"), "a", "bucket", "largest").join(side(met, "b", "bucket"), "bucket").filter(once & likely).select(*ordered)
+        others = others.union(rare)
     pairs = stored(with_largest.union(others).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     second = stored(_confirmed(pairs, texts, words, percent), "links")
     if not second.isEmpty():

@@ -40,12 +40,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.llm.common import arrow_map, documents, id_and_text, stored, utf8
-from lodestrand.llm.near_dedup import _confirmed, _mixed, components, shingles
+from lodestrand.llm.near_dedup import HARD, _confirmed, _mixed, components, rare_shingles, shingles, still_open
 
 #: Bits of the folded sketches that sift pairs inside a join.
 FOLDED = 512
-#: Comparisons that one key may ask for before its documents are joined by rare shingles instead.
-HARD = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,15 +146,6 @@ def shared_keys(known: DataFrame, first: DataFrame) -> DataFrame:
     return kept.select("bucket", "id", F.count(F.lit(1)).over(same).alias("members"), F.min("id").over(same).alias("center")).filter("members > 1").drop("members")
 
 
-def still_open(placed: DataFrame) -> DataFrame:
-    """Rows (bucket, id, component) of buckets that hold several components, with the bucket's largest one and whether comparing is hard. Buckets are dealt once, for all three windows."""
-    bucket, own = Window.partitionBy("bucket"), Window.partitionBy("bucket", "component")
-    sized = placed.repartition("bucket").withColumn("size", F.count(F.lit(1)).over(own))
-    whole = sized.withColumns({"most": F.max(F.struct("size", "component")).over(bucket), "members": F.count(F.lit(1)).over(bucket)})
-    hard = (F.col("members") - F.col("most.size")) * F.col("members") > HARD
-    return whole.filter("size < members").select("bucket", "id", "component", F.col("most.component").alias("largest"), hard.alias("hard"))
-
-
 def candidates(rows: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) of one bucket and different components that sizes and sketches allow to be linked."""
     left = _side(rows.filter("component <> largest"), drawn, "a", F.col("component").alias("c_a"), "bucket", "largest")
@@ -185,19 +174,6 @@ def sifted(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return arrow_map(joined, each, "a long, b long")
 
 
-def rare_shingles(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """bucket (a shingle) and id: of each text the rarest n - ceil(n * percent / 100) + 1 shingles, by their frequency among these texts."""
-
-    def each(batch: pa.RecordBatch) -> dict[str, object]:
-        return {"id": batch.column(0), "found": [shingles(t, words).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]}
-
-    found = stored(arrow_map(texts.select("id", "text"), each, "id long, found array<long>", mb=1).select("id", F.size("found").alias("n"), F.explode("found").alias("bucket")).distinct(), "shingles")
-    often = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")  # those of one text alone come first and lead to nobody
-    alone = found.join(often, "bucket", "left").select("id", "n", "bucket", F.coalesce("often", F.lit(1)).alias("often"))
-    ranked = alone.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("often", "bucket")))
-    return ranked.filter((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("often") > 1)).select("bucket", "id")
-
-
 def linked_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """id, n (set size), component (the smallest id reachable over links) and class (the smallest id with the same set), one row for each row of `df`."""
     raw = id_and_text(df, id_col, text_col)
@@ -219,11 +195,11 @@ def linked_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = confirm(stars)
     label = components(first)
     place = lambda rows: rows.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    rows = stored(still_open(place(member.select("bucket", "id"))), "open")
+    rows = stored(still_open(place(member.select("bucket", "id")), HARD), "open")
     pairs = candidates(rows.filter("NOT hard"), drawn, percent)
     hard = stored(rows.filter("hard").select("id").distinct(), "hard")
     if not hard.isEmpty():
-        rare = stored(still_open(place(rare_shingles(raw.join(hard, "id", "left_semi"), words, percent))), "rare")
+        rare = stored(still_open(place(rare_shingles(raw.join(hard, "id", "left_semi"), words, percent)), HARD), "rare")
         pairs = pairs.union(candidates(rare, drawn, percent)).distinct()
     second = confirm(stored(pairs.join(stars, ["a", "b"], "left_anti"), "pairs"))
     if not second.isEmpty():

@@ -64,6 +64,50 @@ def test_near_groups(docs, empty, texts):
     assert near_dedup.near_groups(empty).count() == 0
 
 
+def test_buckets_and_components_that_are_hard_go_by_rare_shingles(spark, docs, texts, monkeypatch):
+    want = {(r["id"], r["n"], r["component"]) for r in near_dedup.near_groups(docs).collect()}
+    monkeypatch.setattr(near_dedup, "HARD", 0)
+    assert {(r["id"], r["n"], r["component"]) for r in near_dedup.near_groups(docs).collect()} == want
+    r, rows, at = random.Random(23), [], 0
+    for size in (6, 12, 40, 150):  # families on both sides of the threshold
+        for edits in (1, max(1, size // 20), size // 16 + 1, size // 10 + 1):
+            base = [f"w{r.randrange(10**6)}" for _ in range(size)]
+            for _ in range(8):
+                words = list(base)
+                for _ in range(edits):
+                    words[r.randrange(size)] = f"v{r.randrange(10**6)}"
+                rows.append((at, " ".join(words)))
+                at += 1
+    sets, parent = sets_of(rows, 2), {k: k for k, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    got = {r["id"]: r["component"] for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {k: root(k) for k in sets} and len(set(got.values())) < len(got)
+
+
+def test_a_boilerplate_family_below_the_threshold(spark, monkeypatch):
+    """Documents of one form with words of their own among it: most share a bucket with many others and none is linked."""
+    monkeypatch.setattr(near_dedup, "HARD", 10_000)
+    r = random.Random(5)
+    form, rows = [f"f{k}" for k in range(160)], []
+    for k in range(1200):
+        words = list(form)
+        at = r.randrange(130)
+        words[at : at + 24] = [f"o{r.randrange(10**7)}" for _ in range(24)]
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert near_dedup.near_groups(df).filter("id <> component").count() == 0
+
+
 def planted_pairs(count, low, high):
     """Pairs of sets with a similarity between low and high, and the similarity of each."""
     import numpy as np
