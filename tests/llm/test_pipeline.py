@@ -62,5 +62,5 @@ def test_stages_of_an_empty_table(spark, empty, tmp_path):
 
 
 def test_registered():
-    assert {f"op{k}" for k in range(1, 11)} == {name.split("_")[0] for name in queries.queries()}
+    assert {f"op{k}" for k in range(1, 14)} == {name.split("_")[0] for name in queries.queries()}
     assert set(queries.oracle_sql()) <= set(queries.queries()) and "pipeline" in corpus_pipeline.queries()
