@@ -38,8 +38,8 @@ from lodestrand.llm.common import arrow_map, documents, id_and_text, id_key, one
 BANDS, ROWS = 36, 5
 #: Bits of the sketches by which pairs of different components are sifted before their full sets are compared.
 BITS = 4096
-#: Comparisons that one bucket or component may ask for before its documents are joined by rare shingles instead.
-HARD = 1 << 20
+#: Comparisons that one bucket or component may ask for (seconds of one task) before its documents are joined by rare shingles instead.
+HARD = 1 << 24
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

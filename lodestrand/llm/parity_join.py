@@ -40,10 +40,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.llm.common import arrow_map, documents, id_and_text, stored, utf8
-from lodestrand.llm.near_dedup import HARD, _confirmed, _mixed, components, rare_shingles, shingles, still_open
+from lodestrand.llm.near_dedup import _confirmed, _mixed, components, rare_shingles, shingles, still_open
 
 #: Bits of the folded sketches that sift pairs inside a join.
 FOLDED = 512
+#: Comparisons that one key may ask for before its documents are joined by rare shingles instead.
+HARD = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
