@@ -7,9 +7,10 @@ and b at the threshold differ in D = (a + b) * (100 - percent) / (100 + percent)
 at most.
 
 Size bands. Sizes are dealt into bands that double, with a band around each edge for pairs
-across it. A band cuts its sketches into the same parts of 64 bits. A part's place and bits
-make a key, for parts that are not zero. Of its keys in a band a document keeps the D + 1
-that fewest documents have (of equally many, by hash): a linked pair differs in D parts at
+across it. A band cuts its sketches into the same parts of 64 bits. A part's place, its bits and
+the XOR of the whole hashes in it make a key, for parts that are not zero; bits alone would not
+do, as a part that holds one shingle has only 64 values, which documents without a common shingle
+share by chance. Of its keys in a band a document keeps the D + 1 that fewest documents have (of equally many, by hash): a linked pair differs in D parts at
 most, so the rarest key that both have is among these (keys before it are not shared, and
 there are D of those at most). Keys out of passages that many documents share are the ones
 that go. Sketches hold so many parts that a document lacks D + 1 keys with a chance below 1e-12.
@@ -66,23 +67,39 @@ def bands(n: int, percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def dealt(hashes: np.ndarray, top: int, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many parts the sketches of a band whose greatest size is `top` have, and each shingle's part and bit."""
+    count = max(64, (most_different(top, top * 100 // percent, percent) + 1) * 5 // 4 + 1)
+    at = (hashes >> np.uint64(16)) % np.uint64(64 * count)
+    return count, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+
+
 def parts_of(hashes: np.ndarray, top: int, percent: int) -> np.ndarray:
     """The sketch of a set in a band whose greatest size is `top`: parts of 64 bits each."""
-    parts = np.zeros(max(64, (most_different(top, top * 100 // percent, percent) + 1) * 5 // 4 + 1), np.uint64)
-    at = (hashes >> np.uint64(16)) % np.uint64(64 * len(parts))
-    np.bitwise_xor.at(parts, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    count, place, bit = dealt(hashes, top, percent)
+    parts = np.zeros(count, np.uint64)
+    np.bitwise_xor.at(parts, place, bit)
     return parts
 
 
+def sums_of(hashes: np.ndarray, top: int, percent: int) -> np.ndarray:
+    """For each part of that sketch the XOR of the whole hashes in it."""
+    count, place, _ = dealt(hashes, top, percent)
+    sums = np.zeros(count, np.uint64)
+    np.bitwise_xor.at(sums, place, hashes)
+    return sums
+
+
 def keys_of(hashes: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
     """For each band of a set its keys, and how many of them it may spare. Sets that may differ in nothing have none, as equal sets are one class anyway."""
     n = len(hashes)
     need = most_different(n, n * 100 // percent, percent) + 1
     made = []
     for band, top in bands(n, percent) if need > 1 else []:
-        parts = parts_of(hashes, top, percent)
+        parts, sums = parts_of(hashes, top, percent), sums_of(hashes, top, percent)
         at = np.flatnonzero(parts)
-        keys = _mixed(_mixed(parts[at] * _MIX + at.astype(np.uint64)) * _MIX + np.uint64(band))
+        keys = _mixed(_mixed(parts[at] * _MIX + at.astype(np.uint64)) * _MIX + sums[at])
+        keys = _mixed(keys * _MIX + np.uint64(band))
         made.append((keys.view(np.int64), max(0, len(at) - need)))
     return made
 

@@ -121,6 +121,17 @@ def test_sketch_parts_bound_the_difference():
         assert sum(int(v).bit_count() for v in x ^ y) <= 2
 
 
+def test_sets_without_a_common_shingle_share_no_key(spark):
+    """A part with few shingles has few bits set, so its bits alone are the same in many unrelated sets."""
+    r = np.random.default_rng(9)
+    made = [parity_join.keys_of(np.unique(r.integers(0, 2**63, n, np.uint64)), 85) for n in (70, 128, 300, 900) for _ in range(300)]
+    keys = np.concatenate([k for bands in made for k, _ in bands])
+    assert len(np.unique(keys)) == len(keys)
+    texts = [(k, " ".join(f"w{r.integers(10**9)}" for _ in range(150))) for k in range(300)]
+    known = parity_join.signatures(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", 4, 85)
+    assert parity_join.shared_keys(known, known.select("id")).count() == 0
+
+
 def test_a_boilerplate_family_below_the_threshold(spark):
     """Documents of one form with a fifth of words of their own: they share keys and none is linked."""
     r = random.Random(3)
