@@ -41,7 +41,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                 ids.append(x[a : a + 4 * size])
         return {"id": rows, "piece": number, "start": [k * size for k in number], "length": [len(x) // 4 for x in ids], "ids": ids}
 
-    return arrow_map(id_and_text(df, id_col, text_col), each, "id long, piece int, start long, length long, ids binary", mb=1, keeps="transducer words")
+    return arrow_map(id_and_text(df, id_col, text_col), each, "id long, piece int, start long, length long, ids binary", mb=2, keeps="transducer words")
 
 
 def fillings(counts: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:

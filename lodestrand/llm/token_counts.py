@@ -370,14 +370,13 @@ def run_endless(machine: Transducer, symbols: np.ndarray, last: np.ndarray | Non
     return total
 
 
-def encoded(machine: Transducer, words: list[bytes]) -> list[bytes]:
-    """The ids of whole words (little-endian unsigned 32-bit): the transducer's last tokens, read from each word's end backwards."""
-    size = np.array([len(w) for w in words], np.int64)
-    stop = np.cumsum(size)
-    symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+def encoded(machine: Transducer, body: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of whole words that lie one after another in `body` and end at `stop` (one at least), and how many of them come before each word and in all: the transducer's last tokens, read from each word's end backwards."""
+    size = np.diff(stop, prepend=0)
+    symbols = body.astype(np.int64)
     symbols[stop - 1] += 256
     last = np.zeros(len(symbols), np.int32)
-    if len(words) == 1:
+    if len(stop) == 1:
         run_endless(machine, symbols, last)
     else:
         run(machine, symbols, stop - size, size, np.zeros(len(size), np.int32), True, last)
@@ -393,10 +392,7 @@ def encoded(machine: Transducer, words: list[bytes]) -> list[bytes]:
         begins[begin], token[begin] = True, t
         more = begin > first
         where, first = begin[more] - 1, first[more]
-    raw = machine.id[token[begins]].astype("<u4").tobytes()
-    cuts = np.concatenate(([0], np.cumsum(begins)))[np.concatenate(([0], stop))] * 4
-    cuts = cuts.tolist()
-    return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    return machine.id[token[begins]].astype("<u4"), np.concatenate(([0], np.cumsum(begins)))[np.concatenate(([0], stop))]
 
 
 def _same_chain(linked: np.ndarray, span: int) -> np.ndarray:

@@ -1,79 +1,107 @@
 """Token ids of word_bpe_49k.json, word by word.
 
 The tokenizer drops white space and lets nothing reach across it, so a normalised text's
-ids are the ids of its pieces between white space, one after another. Each worker remembers
-a bounded number of pieces and of words, those asked for last the longest; new pieces are cut
-into words by the tokenizer's pattern, and all new words of a batch run through the compiled
-transducer of token_counts.py side by side.
+ids are the ids of its words, one after another. The words of a batch are cut as columns of
+bytes (token_counts.py); each distinct one runs once through the compiled transducer, all of
+them side by side, and a gather puts their ids where the words are. From batch to batch a
+worker keeps the transducer only.
 """
 
 from __future__ import annotations
 
-import gc
 import re
-from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
 
 from lodestrand.llm.common import HELD, Memory
-from lodestrand.llm.token_counts import _WS, DIGIT, LETTER, Full, class_of, encoded, normal, transducer
+from lodestrand.llm.token_counts import _SPACES, Full, encoded, normal, transducer, words
 
-#: Entries of a generation of what a worker remembers.
-PIECES, WORDS = 160_000, 80_000
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-_SPACE = re.compile(f"[{_WS}]+")
-_OWN = re.compile("[\x1c-\x1f]")  # white space to str.split() but not to the tokenizer
+#: Characters of text that are cut into words at once. A longer text is cut at the next white space after so many.
+STRETCH = 1 << 21
+
+
+def stretches(text: str) -> list[str]:
+    """A text cut at white space, which nothing reaches across."""
+    out, at = [], 0
+    while len(text) - at > STRETCH and (m := _SPACES.search(text, at + STRETCH)):
+        out.append(text[at : m.start()])
+        at = m.end()
+    return [*out, text[at:] if at else text]
+
+
+def _bytes(column: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column without nulls, and where each entry begins in them (one more than entries)."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset :][: len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _column(body: np.ndarray, at: np.ndarray) -> pa.LargeBinaryArray:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(body))])
 
 
 class Words:
-    """One vocabulary with what a worker remembers of it."""
+    """One vocabulary."""
 
     def __init__(self, path: str) -> None:
         self.path = path
-        letter, digit = class_of(LETTER), class_of(DIGIT)
-        self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{_WS}{letter}{digit}]+")
         self.special = re.compile("|".join(map(re.escape, self.machine.special)))
-        self.pieces, self.words = Memory(PIECES), Memory(WORDS)
+        self.pieces, self.words = Memory(0), Memory(0)  # nothing is remembered beside the transducer
 
     @property
     def machine(self):
         return transducer(self.path)
 
-    def _encoded(self, words: list[str]) -> list[bytes]:
+    def _encoded(self, body: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         try:
-            return encoded(self.machine, [w.encode() for w in words])
+            return encoded(self.machine, body, stop)
         except Full:
             self.machine.reset()
-            half = len(words) // 2
-            return self._encoded(words[:half]) + self._encoded(words[half:])
-
-    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        cut = [[p] if p.isascii() and p.isalpha() else (_ASCII if p.isascii() else self.pattern).findall(p) for p in pieces]
-        found = iter(self.words.of(list(chain.from_iterable(cut)), self._encoded))
-        return [next(found) if len(parts) == 1 else b"".join(islice(found, len(parts))) for parts in cut]
+            half = len(stop) // 2
+            cut = stop[half - 1]
+            (one, at), (two, further) = self._encoded(body[:cut], stop[:half]), self._encoded(body[cut:], stop[half:] - cut)
+            return np.concatenate((one, two)), np.concatenate((at, at[-1] + further[1:]))
+
+    def _joined(self, parts: list[str]) -> tuple[memoryview, list[int]]:
+        """The ids of normal texts one after another, and where each text's begin in them (one more than texts)."""
+        body, ends, starts = words(parts)
+        stop = np.flatnonzero(ends) + 1
+        if not len(stop):
+            return memoryview(b""), [0] * (len(parts) + 1)
+        coded = _column(body, np.concatenate(([0], stop))).dictionary_encode()
+        distinct, at = _bytes(coded.dictionary)
+        ids, before = self._encoded(distinct, at[1:])
+        found, at = _bytes(_column(ids.view(np.uint8), 4 * before).take(coded.indices))
+        return memoryview(found), at[np.searchsorted(stop, starts, side="right")].tolist()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, a special token's string in it being one token."""
         parts, of, marks = [], [], []
+
+        def add(i: int, text: str, mark: bytes) -> None:
+            cut = stretches(normal(text))
+            parts.extend(cut)
+            of.extend([i] * len(cut))
+            marks.extend([b""] * (len(cut) - 1) + [mark])
+
         for i, t in enumerate(texts):
             if "<|" in t and self.special.search(t):
                 at = 0
                 for m in self.special.finditer(t):
-                    parts.append(normal(t[at : m.start()]))
-                    of.append(i)
-                    marks.append(np.array([self.machine.special[m[0]]], "<u4").tobytes())
+                    add(i, t[at : m.start()], np.array([self.machine.special[m[0]]], "<u4").tobytes())
                     at = m.end()
                 t = t[at:]
-            parts.append(normal(t))
-            of.append(i)
-            marks.append(b"")
-        split = [p.split() if not _OWN.search(p) else [x for x in _SPACE.split(p) if x] for p in parts]
-        found = self.pieces.of(list(chain.from_iterable(split)), self._of_pieces)
+            add(i, t, b"")
         out: list[list[bytes]] = [[] for _ in texts]
-        at = 0
-        for i, pieces, mark in zip(of, split, marks, strict=True):
-            out[i] += [*found[at : at + len(pieces)], mark]
-            at += len(pieces)
+        total = np.cumsum([len(p) for p in parts])
+        lo = 0
+        while lo < len(parts):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] - len(parts[lo]) + 2 * STRETCH, side="right")))
+            found, at = self._joined(parts[lo:hi])
+            for i, a, b, mark in zip(of[lo:hi], at, at[1:], marks[lo:hi], strict=False):
+                out[i] += [found[a:b], mark]
+            lo = hi
         return [b"".join(x) for x in out]
 
 
@@ -85,9 +113,4 @@ def ids_of(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers, without added special tokens."""
     if path not in _MADE:
         _MADE[path] = Words(path)
-    gc.disable()  # many small objects, no cycles: looking for some would cost a sixth of the time
-    try:
-        return _MADE[path].ids(texts)
-    finally:
-        gc.enable()
-
+    return _MADE[path].ids(texts)

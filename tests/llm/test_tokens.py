@@ -3,6 +3,7 @@
 import base64
 import collections
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -108,6 +109,35 @@ def test_perfect_hash_is_minimal():
     assert sorted(PerfectHash(keys).numbers(keys).tolist()) == list(range(5000))
 
 
+def test_ids_of_long_texts_in_stretches(library, monkeypatch):
+    monkeypatch.setattr(word_tokens, "STRETCH", 40, raising=False)
+    batch = [*fuzz(300), " ".join(fuzz(200)), "a" * 300 + "\u3000b<|endoftext|> " + "c d\xa0" * 100, "", " ", "\x1c \x1f"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(batch, add_special_tokens=False)]
+    assert word_tokens.ids_of(batch, token_counts.default_vocabulary()) == want
+    assert word_tokens.ids_of([], token_counts.default_vocabulary()) == [] and word_tokens.ids_of(["", " "], token_counts.default_vocabulary()) == [b"", b""]
+
+
+def test_new_pieces_of_known_words_cost_no_python_call_each(library):
+    r = random.Random(8)
+    syllables = [a + b for a in "bdfglmnprst" for b in "aeiou"]
+    words = ["".join(r.choice(syllables) for _ in range(3)) for _ in range(3000)]
+    path, calls = token_counts.default_vocabulary(), 0
+    word_tokens.ids_of([" ".join(words)], path)
+    pieces = [f"{r.choice(words)}!{r.choice(words)}" for _ in range(20_000)]
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = word_tokens.ids_of([" ".join(pieces)], path)
+    finally:
+        sys.setprofile(None)
+    assert found == [np.array(library.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4").tobytes()]
+    assert calls < len(pieces)
+
+
 def test_packing(docs, empty, texts, library):
     got = packing.packed(docs, size=256).collect()
     want = collections.Counter()
