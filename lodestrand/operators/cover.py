@@ -46,50 +46,100 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame
     return ranged.join(before, "_part").withColumn(name, F.row_number().over(W.partitionBy("_part").orderBy(*order)) + F.col("_before")).drop("_part", "_before")
 
 
-def bitsets(pairs: DataFrame) -> DataFrame:
-    """(candidate, block, bits, members, links): 64 elements to a block, those of many candidates first, as the bits of a long; `members` and `links` say how many candidates a block has and the sum of squares of its elements' candidates. Null elements are nobody's."""
-    once = cut(pairs.filter("element IS NOT NULL").select("candidate", "element").distinct(), "pairs")
-    often = numbered(once.groupBy("element").agg(F.count(F.lit(1)).alias("often")), [F.desc("often"), "element"], "number")
-    at = often.select("element", "often", F.floor((F.col("number") - 1) / 64).alias("block"), F.call_function("shiftleft", F.lit(1).cast("long"), ((F.col("number") - 1) % 64).cast("int")).alias("bit"))
-    own = cut(once.join(at, "element").groupBy("candidate", "block").agg(F.bit_or("bit").alias("bits")), "bits")
+#: Longs of 64 elements that stand side by side in a row, and candidates that one task compares with as many others at a time.
+WORDS, TILE = 16, 2048
+
+
+def bitsets(once: DataFrame) -> tuple[DataFrame, int]:
+    """(candidate, block, w0, w1, ...): 64 * WORDS elements to a block, those of many candidates first, as the bits of longs; and the number of longs. once: distinct (candidate, element) without nulls.
+
+    `members` and `links` say how many candidates a block has and the sum of squares of its elements' candidates, `top` the number (from 0) of a row's last and so rarest element.
+    """
+    often = cut(numbered(once.groupBy("element").agg(F.count(F.lit(1)).alias("often")), [F.desc("often"), "element"], "number").select("element", "often", (F.col("number") - 1).alias("number")), "often")
+    width = min(WORDS, ((often.agg(F.max("number")).first()[0] or 0) // 64) + 1)  # one number
+    at = often.withColumn("block", F.floor(F.col("number") / (64 * WORDS)))
+    word, bit = F.floor(F.col("number") / 64) % WORDS, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("number") % 64).cast("int"))
+    longs = [F.coalesce(F.bit_or(F.when(word == k, bit)), F.lit(0).cast("long")).alias(f"w{k}") for k in range(width)]
+    own = cut(once.join(at, "element").groupBy("candidate", "block").agg(F.max("number").alias("top"), *longs), "bits")
     links = at.groupBy("block").agg(F.sum(F.col("often") * F.col("often")).alias("links"))
-    return cut(own.join(own.groupBy("block").agg(F.count(F.lit(1)).alias("members")).join(links, "block"), "block"), "bits")
+    return cut(own.join(own.groupBy("block").agg(F.count(F.lit(1)).alias("members")).join(links, "block"), "block"), "bits"), width
 
 
-def in_common(pairs: DataFrame) -> DataFrame:
-    """(a, b, common): the number of elements that two candidates a < b share, where there are any.
+def tiled(a: DataFrame, b: DataFrame, key: list[str], how: str, condition: Column) -> DataFrame:
+    """A join of all pairs with one key that are in tiles `ta` and `tb`: each pair of tiles is a group of its own, so that neither one task nor the driver gets all of a key."""
+    spark = a.sparkSession
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    on = [*key, "ta", "tb"]
+    return a.repartition(spread, *on).join(b.repartition(spread, *[f"_{k}" for k in on]).hint("merge"), (F.expr(" AND ".join(f"{k} = _{k}" for k in on))) & condition, how)
 
-    A block's candidates are compared by their bits where that is less work than meeting at each of its elements; blocks
-    of rare elements, in which most candidates have nothing in common, meet at elements. Counts are added up by pair.
+
+def in_common(once: DataFrame) -> DataFrame:
+    """(a, b, common): the number of elements that two candidates a < b share, where there are any. once: distinct (candidate, element) without nulls.
+
+    A block's candidates are compared by their bits, tile by tile, where that is less work than meeting at each of its elements; blocks
+    of rare elements, in which most candidates have nothing in common, meet at elements. Counts are added up by pair only where there is more than one block.
     """
-    bits = bitsets(pairs)
-    dense = F.col("members") * F.col("members") <= F.col("links")
-    a, b = bits.filter(dense).select(F.col("candidate").alias("a"), "block", F.col("bits").alias("x")), bits.filter(dense).select(F.col("candidate").alias("b"), "block", F.col("bits").alias("y"))
-    near = a.join(b, "block").filter("a < b AND x & y <> 0").select("a", "b", F.bit_count(F.col("x").bitwiseAND(F.col("y"))).cast("long").alias("n"))
-    each = bits.filter(~dense).select("candidate", "block", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.call_function("getbit", F.col("bits"), k) == 1)).alias("k"))
+    bits, width = bitsets(once)
+    order = cut(numbered(once.select("candidate").distinct(), ["candidate"], "place"), "order")
+    blocks = bits.groupBy("block", "members").agg(F.first("links").alias("links")).withColumn("dense", F.col("members") * F.col("members") <= F.col("links"))
+    counted = blocks.agg(F.count_if("dense").alias("dense"), F.count_if(~F.col("dense")).alias("sparse")).crossJoin(order.agg(F.count(F.lit(1)).alias("n"))).first()  # three counts
+    n, dense, sparse = counted["n"], counted["dense"], counted["sparse"]
+    is_dense, words = F.col("members") * F.col("members") <= F.col("links"), [f"w{k}" for k in range(width)]
+    tiles = F.ceil(F.col("members") / TILE)
+    rows = bits.filter(is_dense).join(order, "candidate").withColumn("tiles", tiles).withColumn("tile", F.least(F.floor((F.col("place") - 1) * F.col("tiles") / max(n, 1)), F.col("tiles") - 1))
+    a = rows.select(F.col("candidate").alias("a"), "block", F.col("place").alias("p"), *words, F.col("tile").alias("ta"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("tb"))
+    b = rows.select(F.col("candidate").alias("b"), F.col("block").alias("_block"), F.col("place").alias("q"), *[F.col(w).alias(f"_{w}") for w in words], F.col("tile").alias("_tb"), F.explode(F.sequence(F.lit(0).cast("long"), "tile")).alias("_ta"))
+    shared = sum((F.bit_count(F.col(w).bitwiseAND(F.col(f"_{w}"))) for w in words), F.lit(0))
+    near = tiled(a, b, ["block"], "inner", F.col("p") < F.col("q")).select("a", "b", shared.cast("long").alias("common")).filter("common > 0")
+    if dense <= 1 and not sparse:
+        return near
+    each = bits.filter(~is_dense).select("candidate", "block", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(w).alias("w")) for k, w in enumerate(words)]))).filter("w <> 0")
+    each = each.select("candidate", "block", "k", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("w"), i) == 1)).alias("i"))
     c, d = each.withColumnRenamed("candidate", "a"), each.withColumnRenamed("candidate", "b")
-    far = c.join(d, ["block", "k"]).filter("a < b").select("a", "b", F.lit(1).cast("long").alias("n"))
-    return near.unionByName(far).groupBy("a", "b").agg(F.sum("n").alias("common"))
+    far = c.join(d, ["block", "k", "i"]).filter("a < b").select("a", "b", F.lit(1).cast("long").alias("common"))
+    return near.unionByName(far).groupBy("a", "b").agg(F.sum("common").alias("common"))
 
 
 def dominated(pairs: DataFrame, costs: DataFrame) -> DataFrame:
     """Candidates that another one covers at no higher cost (equal ones: the later name).
 
-    Whoever covers a candidate has its rarest element too, so only those that have are compared, block of elements by block. A candidate with a null element is covered by none.
+    Whoever covers a candidate has its rarest element too, so only those that have are compared, element by element and tile
+    by tile, by the bits of that element's block. Pairs are written only where there are more blocks, which are looked at
+    after. A candidate with a null element is covered by none.
     """
-    bits = bitsets(pairs)
-    known = pairs.groupBy("candidate").agg(F.count(F.lit(1)).alias("size"), F.bool_or(F.col("element").isNull()).alias("open")).join(costs, "candidate")
-    last = bits.groupBy("candidate").agg(F.max("block").alias("block")).join(bits.select("candidate", "block", "bits"), ["candidate", "block"])
-    rarest = last.select(F.col("candidate").alias("a"), "block", F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin("bits")).cast("int") - 1).alias("bit"))  # the highest number is the rarest
-    one = known.filter("NOT open").select(F.col("candidate").alias("a"), F.col("size").alias("size_a"), F.col("cost").alias("cost_a"))
-    two = known.select(F.col("candidate").alias("b"), F.col("size").alias("size_b"), F.col("cost").alias("cost_b"))
-    may = rarest.join(bits.select(F.col("candidate").alias("b"), "block", "bits"), "block").filter("a <> b AND bits & bit <> 0").select("a", "b")
-    may = cut(may.join(one, "a").join(two, "b").filter("size_b >= size_a AND cost_b <= cost_a AND (size_b > size_a OR cost_b < cost_a OR b < a)").select("a", "b"), "may")
-    left = may.join(bits.select(F.col("candidate").alias("a"), "block", F.col("bits").alias("x")), "a").join(bits.select(F.col("candidate").alias("b"), "block", F.col("bits").alias("y")), ["b", "block"], "left")
-    misses = F.col("x").bitwiseAND(F.bitwise_not(F.coalesce("y", F.lit(0).cast("long")))) != 0
+    pairs = cut(pairs.select("candidate", "element"), "pairs")
+    bits, width = bitsets(known_pairs(pairs))
+    words = [f"w{k}" for k in range(width)]
+    known = cut(pairs.groupBy("candidate").agg(F.count(F.lit(1)).alias("size"), F.bool_or(F.col("element").isNull()).alias("open")).join(costs, "candidate").select("candidate", "size", "open", "cost"), "known")
+    last = bits.groupBy("candidate").agg(F.max_by(F.struct("block", "top", *words), "block").alias("x")).select("candidate", "x.*")
+    own = last.join(known.filter("NOT open"), "candidate").select(F.col("candidate").alias("a"), "block", F.col("top").alias("rarest"), *words, F.col("size").alias("size_a"), F.col("cost").alias("cost_a"))
+    asked = cut(own.groupBy("rarest", "block").agg(F.count(F.lit(1)).alias("n_a")), "asked")
+    word = F.element_at(F.array(*[F.col(w) for w in words]), (F.floor(F.col("rarest") / 64) % WORDS + 1).cast("int"))
+    has = bits.join(asked.drop("n_a"), "block").filter(F.call_function("getbit", word, (F.col("rarest") % 64).cast("int")) == 1)
+    has = cut(has.join(known, "candidate").select(F.col("candidate").alias("b"), "rarest", *words, F.col("size").alias("size_b"), F.col("cost").alias("cost_b")), "has")
+    many = cut(asked.join(has.groupBy("rarest").agg(F.count(F.lit(1)).alias("n_b")), "rarest").select("rarest", F.ceil(F.col("n_a") / TILE).alias("tiles_a"), F.ceil(F.col("n_b") / TILE).alias("tiles_b")), "tiles")
+    from_ = lambda c, tiles: F.pmod(F.xxhash64(c), F.col(tiles))
+    all_of = lambda tiles: F.explode(F.sequence(F.lit(0).cast("long"), F.col(tiles) - 1))
+    x = own.join(many, "rarest").select("a", "rarest", *words, "size_a", "cost_a", from_("a", "tiles_a").alias("ta"), all_of("tiles_b").alias("tb"))
+    y = has.join(many, "rarest").select("b", F.col("rarest").alias("_rarest"), *[F.col(w).alias(f"_{w}") for w in words], "size_b", "cost_b", from_("b", "tiles_b").alias("_tb"), all_of("tiles_a").alias("_ta"))
+    holds = F.expr("size_b >= size_a AND cost_b <= cost_a AND (size_b > size_a OR cost_b < cost_a OR b < a)")
+    for w in words:
+        holds = holds & (F.col(w).bitwiseAND(F.bitwise_not(F.col(f"_{w}"))) == 0)
+    if bits.filter("block > 0").isEmpty():
+        return tiled(x, y, ["rarest"], "left_semi", holds).select(F.col("a").alias("candidate")).distinct()
+    may = cut(tiled(x, y, ["rarest"], "inner", holds).select("a", "b").distinct(), "may")
+    left = may.join(bits.select(F.col("candidate").alias("a"), "block", *words), "a").join(bits.select(F.col("candidate").alias("b"), "block", *[F.col(w).alias(f"_{w}") for w in words]), ["b", "block"], "left")
+    misses = F.lit(False)
+    for w in words:
+        misses = misses | (F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"_{w}", F.lit(0).cast("long")))) != 0)
     return left.groupBy("a", "b").agg(F.bool_or(misses).alias("misses")).filter("NOT misses").select(F.col("a").alias("candidate")).distinct()
 
 
+def known_pairs(pairs: DataFrame) -> DataFrame:
+    """Distinct (candidate, element) without nulls, written once."""
+    return cut(pairs.filter("candidate IS NOT NULL AND element IS NOT NULL").select("candidate", "element").distinct(), "pairs")
+
+
 def top(scores: DataFrame, k: int) -> DataFrame:
     """The k highest scores, ties by name."""
     return scores.orderBy(F.desc("score"), "name").limit(k)
@@ -133,9 +183,10 @@ def ising(linear: DataFrame, quadratic: DataFrame) -> DataFrame:
 
 def cover_qubo(pairs: DataFrame, costs: DataFrame) -> DataFrame:
     """(i, j, v) of exact-cover penalties: cost on the diagonal, and for each element penalty * (1 - sum)^2 without its constant; i = j is linear."""
-    penalty = costs.agg((F.sum("cost") + 1).alias("p"))  # one row
-    both = in_common(pairs).crossJoin(penalty).select(F.col("a").alias("i"), F.col("b").alias("j"), (2 * F.col("p") * F.col("common")).alias("v"))
-    size = pairs.filter("element IS NOT NULL").select("candidate", "element").distinct().groupBy("candidate").agg(F.count(F.lit(1)).alias("n")).crossJoin(penalty).select("candidate", (-F.col("p") * F.col("n")).alias("v"))
+    penalty = F.broadcast(costs.agg((F.sum("cost") + 1).alias("p")))  # one row
+    once = known_pairs(pairs)
+    both = in_common(once).crossJoin(penalty).select(F.col("a").alias("i"), F.col("b").alias("j"), (2 * F.col("p") * F.col("common")).alias("v"))
+    size = once.groupBy("candidate").agg(F.count(F.lit(1)).alias("n")).crossJoin(penalty).select("candidate", (-F.col("p") * F.col("n")).alias("v"))
     own = costs.select("candidate", F.col("cost").cast("long").alias("v")).unionByName(size).groupBy("candidate").agg(F.sum("v").alias("v"))
     return both.unionByName(own.select(F.col("candidate").alias("i"), F.col("candidate").alias("j"), "v")).filter("v <> 0")
 
@@ -149,9 +200,9 @@ def slack_bits(pairs: DataFrame) -> DataFrame:
 
 def cover_slack_qubo(pairs: DataFrame, costs: DataFrame) -> DataFrame:
     """(a, b, v) of a cover in which elements may be covered more than once: cost on the diagonal, and for each element penalty * (candidates - slack - 1)^2 without its constant; a = b is linear. Variables are candidates and `slack/element/bit`."""
-    once = pairs.filter("element IS NOT NULL").select("candidate", "element").distinct()
+    once = known_pairs(pairs)
     slack = slack_bits(once).select("element", F.concat_ws("/", F.lit("slack"), "element", F.col("bit").cast("string")).alias("y"), (-F.col("weight")).alias("u"))
-    penalty = costs.agg((F.sum("cost") + 1).alias("p"))  # one row
+    penalty = F.broadcast(costs.agg((F.sum("cost") + 1).alias("p")))  # one row
     chosen = in_common(once).select("a", "b", F.col("common").alias("w"))
     mixed = once.join(slack, "element").select(F.least("candidate", "y").alias("a"), F.greatest("candidate", "y").alias("b"), F.col("u").alias("w"))  # a slack has one element
     other = slack.select("element", F.col("y").alias("x"), F.col("u").alias("w"))
