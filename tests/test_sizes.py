@@ -35,3 +35,12 @@ def test_common_elements_in_tiles(spark, monkeypatch, n, elements, least):
         assert not re.search(r"Aggregate\s*\[a#", plan(found))
         each = found.groupBy(F.spark_partition_id()).count().collect()
         assert max(r["count"] for r in each) < len(want) / 2
+
+
+def test_slack_terms_without_an_aggregation_by_pair(spark, monkeypatch):
+    monkeypatch.setattr(cover, "TILE", 16, raising=False)
+    given = sets(80, 10, 4)
+    made = cover.cover_slack_qubo(rows_of(spark, given).withColumn("element", F.col("element").cast("string")), spark.createDataFrame([(c, 2) for c in given], "candidate string, cost long"))
+    assert not re.search(r"Aggregate\s*\[a#\d+, b#", plan(made))
+    chosen = {(r["a"], r["b"]): r["v"] for r in made.filter("a <> b AND a LIKE 'c%' AND b LIKE 'c%'").collect()}
+    assert chosen == {(a, b): 2 * (2 * 80 + 1) * len(given[a] & given[b]) for a in given for b in given if a < b and given[a] & given[b]}
