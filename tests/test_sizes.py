@@ -44,3 +44,20 @@ def test_slack_terms_without_an_aggregation_by_pair(spark, monkeypatch):
     assert not re.search(r"Aggregate\s*\[a#\d+, b#", plan(made))
     chosen = {(r["a"], r["b"]): r["v"] for r in made.filter("a <> b AND a LIKE 'c%' AND b LIKE 'c%'").collect()}
     assert chosen == {(a, b): 2 * (2 * 80 + 1) * len(given[a] & given[b]) for a in given for b in given if a < b and given[a] & given[b]}
+
+
+@pytest.mark.parametrize(("n", "elements", "least"), [(150, 8, 1), (120, 1500, 1)])
+def test_dominated_candidates_in_tiles(spark, monkeypatch, tmp_path, n, elements, least):
+    monkeypatch.setattr(cover, "TILE", 16, raising=False)
+    given = sets(n, elements, 6, least)
+    given["c0"], given["c1"], given["c2"] = set(range(elements)), {1, 2}, {2}
+    cost = {c: k % 3 for k, c in enumerate(given)}
+    pairs = rows_of(spark, given).union(spark.createDataFrame([("c5", None)], "candidate string, element int"))
+    size = {c: len(s) + (c == "c5") for c, s in given.items()}
+    want = {a for a in given if a != "c5" and any(b != a and given[a] <= given[b] and cost[b] <= cost[a] and (size[b] > size[a] or cost[b] < cost[a] or b < a) for b in given)}
+    written = []
+    cut = cover.cut
+    monkeypatch.setattr(cover, "cut", lambda df, tag: written.append(tag) or cut(df, tag))
+    found = cover.dominated(pairs, spark.createDataFrame(list(cost.items()), "candidate string, cost long"))
+    assert sorted(r["candidate"] for r in found.collect()) == sorted(want)
+    assert ("may" in written) == (elements > 1024)  # no table of pairs where one block holds all elements
