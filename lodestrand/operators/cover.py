@@ -2,43 +2,94 @@
 
 from __future__ import annotations
 
-import uuid
+import heapq
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestrand.sources.scratch import cut, folder
+from lodestrand.sources.scratch import Grown, cut
+
+
+#: Pairs, and candidates, that one task settles at a time.
+BATCH, MOST = 5_000_000, 100_000
 
 
 def greedy_cover(pairs: DataFrame, costs: DataFrame) -> DataFrame:
     """(step, candidate, cost, gained): the cheapest candidate by newly covered element, ties by name, until all is covered.
 
-    pairs: (candidate, element); costs: (candidate, cost). A round settles every candidate that comes before all others that
-    share an element with it: what these gain can only fall, so none of them is picked earlier, and picks come in the order of
-    cost by gain, then name. Picks are appended to a table; no row reaches the driver. An element that no candidate
-    with a cost covers is an error.
+    pairs: (candidate, element); costs: (candidate, cost). A round takes the best candidates that have BATCH pairs between them
+    and picks among them, in one task, as long as a pick comes before the best candidate that was left out: what a candidate
+    gains can only fall, so none of those is picked earlier, and picks come in the order of cost by gain, then name. Picks are
+    appended to a table; one row, the best that was left out, reaches the driver. An element that no candidate with a cost
+    covers is an error.
     """
     spark = pairs.sparkSession
     usable = pairs.join(costs.filter("cost IS NOT NULL"), "candidate", "left_semi").select(F.col("element").alias("_usable")).distinct()
     if (lost := pairs.join(usable, F.col("element").eqNullSafe(F.col("_usable")), "left_anti").first()) is not None:
         raise ValueError(f"no candidate with a cost covers {lost['element']!r}")
-    picks = f"{folder(spark)}/picks-{uuid.uuid4().hex}"
-    left = cut(pairs.join(costs, "candidate").distinct(), "cover")
+    given = cut(pairs.join(costs, "candidate").select("candidate", "cost", "element").distinct(), "cover")
+    names = cut(numbered(given.select("candidate", "cost").distinct(), ["candidate", "cost"], "who"), "who")
+    things = cut(numbered(given.select("element").distinct(), ["element"], "what"), "what").withColumnRenamed("element", "_element")
+    own = names.select(F.col("candidate").alias("_candidate"), F.col("cost").alias("_cost"), "who")
+    coded = given.join(things, F.col("element").eqNullSafe(F.col("_element"))).join(own, (F.col("candidate") == F.col("_candidate")) & F.col("cost").eqNullSafe(F.col("_cost")))
+    left = cut(coded.select("who", "what"), "left")
+    price = names.select("who", F.coalesce(F.col("cost").cast("double"), F.lit(float("-inf"))).alias("price"))
+    picks = Grown(spark, T.StructType.fromDDL("who long, by_gain double, gained long"), "picks")
+    covered = Grown(spark, T.StructType.fromDDL("what long"), "covered")
+    picks.add(spark.createDataFrame([], picks.schema))
+    size = None
     while True:
-        gains = left.groupBy("candidate", "cost").agg(F.count(F.lit(1)).alias("gained")).withColumn("by_gain", F.col("cost") / F.col("gained"))
-        keyed = left.select("candidate", "element", F.col("cost").alias("own")).join(gains, "candidate").filter("own <=> cost")
-        first = cut(keyed.groupBy("element").agg(F.min(F.struct("by_gain", "candidate", "cost", "gained")).alias("m")).select("element", "m.*"), "cover")
-        won = first.groupBy("by_gain", "candidate", "cost", "gained").agg(F.count(F.lit(1)).alias("n")).filter("n = gained").drop("n")
-        won.write.mode("append").parquet(picks)
-        if first.isEmpty():
+        gains = cut(left.groupBy("who").agg(F.count(F.lit(1)).alias("gained")).join(price, "who").withColumn("by_gain", F.col("price") / F.col("gained")), "gains")
+        total = gains.agg(F.sum("gained")).first()[0]  # one number
+        if not total:
             break
-        done = first.join(won.select("candidate"), "candidate").select(F.col("element").alias("covered"))
-        left = cut(left.join(done, F.col("element").eqNullSafe(F.col("covered")), "left_anti"), "cover")
-    found = numbered(spark.read.schema(won.schema).parquet(picks), ["by_gain", "candidate"], "step")
+        if size is not None and total * 2 <= size:
+            left, size = cut(left, "left"), total
+        size = size or total
+        ranked = gains.orderBy("by_gain", "who").limit(MOST).withColumn("_sum", F.sum("gained").over(W.orderBy("by_gain", "who").rowsBetween(W.unboundedPreceding, 0)))
+        chosen = cut(ranked.filter((F.col("_sum") <= BATCH) | (F.col("_sum") == F.col("gained"))).select("who", "price"), "chosen")
+        out = gains.join(chosen.select("who"), "who", "left_anti").agg(F.min(F.struct("by_gain", "who")).alias("m")).select("m.*").first()
+        best_out = (float("inf") if out["by_gain"] is None else out["by_gain"], -1 if out["who"] is None else out["who"])
+        won = picks.add(left.join(chosen, "who").repartition(1).mapInArrow(_settled(*best_out), picks.schema))
+        new = covered.add(left.join(won.select("who"), "who", "left_semi").select("what").distinct())
+        left = left.join(new, "what", "left_anti")
+    found = numbered(picks.read().join(names, "who"), ["by_gain", "who"], "step")
     return found.select(F.col("step").cast("int").alias("step"), "candidate", F.col("cost").cast("long").alias("cost"), "gained")
 
 
+def _settled(by_gain: float, who: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Picks (who, by_gain, gained) among all (who, what, price) that a task gets, while they come before the one that is given."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[b.column(n).to_numpy(zero_copy_only=False) for n in ("who", "what", "price")] for b in batches]
+        if not parts:
+            return
+        owner, thing, price = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.argsort(owner, kind="stable")
+        names, begin, sizes = np.unique(owner[order], return_index=True, return_counts=True)
+        thing, price = np.unique(thing[order], return_inverse=True)[1], price[order][begin]
+        open_ = np.ones(len(thing), bool)
+        queue = [(float(price[k]) / int(sizes[k]), int(names[k]), k, int(sizes[k])) for k in range(len(names))]
+        heapq.heapify(queue)
+        made: list[tuple[int, float, int]] = []
+        while queue and queue[0][:2] < (by_gain, who):
+            key, name, k, gained = heapq.heappop(queue)
+            own = thing[begin[k]:begin[k] + sizes[k]]
+            now = int(open_[own].sum())
+            if now == gained:
+                open_[own] = False
+                made.append((name, key, gained))
+            elif now:
+                heapq.heappush(queue, (float(price[k]) / now, name, k, now))
+        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.float64()), pa.array([m[2] for m in made], pa.int64())], names=["who", "by_gain", "gained"])
+
+    return run
+
+
 def numbered(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """Adds numbers from 1 in an order: within ranges, by how many rows stand in the ranges before; no task gets all rows."""
     ranged = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")

@@ -61,3 +61,25 @@ def test_dominated_candidates_in_tiles(spark, monkeypatch, tmp_path, n, elements
     found = cover.dominated(pairs, spark.createDataFrame(list(cost.items()), "candidate string, cost long"))
     assert sorted(r["candidate"] for r in found.collect()) == sorted(want)
     assert ("may" in written) == (elements > 1024)  # no table of pairs where one block holds all elements
+
+
+@pytest.mark.parametrize("batch", [1, 40, 10_000])
+def test_greedy_picks_many_a_round(spark, monkeypatch, batch):
+    monkeypatch.setattr(cover, "BATCH", batch, raising=False)
+    given = sets(40, 60, 8, 5)
+    given["c0"] = set(range(0, 60, 2))
+    given["c1"] = set(range(60))
+    price = {c: k % 4 + 1 for k, c in enumerate(given)} | {"c1": 1000}
+    left, want = {c: set(s) for c, s in given.items()}, []
+    while any(left.values()):
+        best = min((c for c in left if left[c]), key=lambda c: (price[c] / len(left[c]), c))
+        want.append((len(want) + 1, best, price[best], len(left[best])))
+        gone = set(left[best])
+        left = {c: s - gone for c, s in left.items()}
+    rounds = []
+    cut = cover.cut
+    monkeypatch.setattr(cover, "cut", lambda df, tag: rounds.append(tag) or cut(df, tag))
+    got = cover.greedy_cover(rows_of(spark, given), spark.createDataFrame(list(price.items()), "candidate string, cost long"))
+    assert [tuple(r) for r in got.orderBy("step").collect()] == want
+    if batch == 10_000:
+        assert rounds.count("gains") == 2 < len(want)  # all in one round, and one that finds nothing left
