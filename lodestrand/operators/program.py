@@ -129,9 +129,17 @@ def host_variables(sql: Column) -> dict[str, Column]:
 
 
 def qualified(references: DataFrame, items: DataFrame) -> DataFrame:
-    """Adds target and reason to references (ref, name, qualifiers array): the only item (id, name, path array) whose path holds all qualifiers."""
-    hits = references.join(items.withColumnRenamed("id", "_id"), "name", "left").withColumn("_fits", F.col("_id").isNotNull() & (F.size(F.array_except("qualifiers", F.coalesce("path", F.array().cast("array<string>")))) == 0))
-    n = hits.groupBy("ref").agg(F.count_if("_fits").alias("n"), F.min(F.when(F.col("_fits"), F.col("_id"))).alias("target"))
+    """Adds target and reason to references (ref, name, qualifiers array): the only item (id, name, path array) whose path holds all qualifiers.
+
+    Items with one name and path, and references with one name and qualifiers, are taken together: how many items there are and the least of them is all that a reference asks for.
+    """
+    parts = lambda c: F.array_sort(F.array_distinct(c))
+    kinds = items.groupBy("name", parts(F.coalesce("path", F.array().cast("array<string>"))).alias("path")).agg(F.count("id").alias("n"), F.min("id").alias("first"))
+    asked = references.select("ref", "name", parts(F.col("qualifiers")).alias("asked"))
+    each = asked.select("name", "asked").distinct()
+    fits = F.col("n").isNotNull() & (F.size(F.array_except("asked", "path")) == 0)
+    found = each.join(kinds, "name", "left").groupBy(F.col("name").alias("_name"), F.col("asked").alias("_asked")).agg(F.coalesce(F.sum(F.when(fits, F.col("n"))), F.lit(0)).alias("n"), F.min(F.when(fits, F.col("first"))).alias("target"))
+    n = asked.join(found, F.col("name").eqNullSafe(F.col("_name")) & F.col("asked").eqNullSafe(F.col("_asked"))).groupBy("ref").agg(F.sum("n").alias("n"), F.min("target").alias("target"))
     return n.select("ref", F.when(F.col("n") == 1, F.col("target")).alias("target"), F.when(F.col("n") == 0, "not found").when(F.col("n") > 1, "ambiguous").alias("reason"))
 
 

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.operators import cover
+from lodestrand.operators import cover, program
 
 
 def plan(df):
@@ -83,3 +83,15 @@ def test_greedy_picks_many_a_round(spark, monkeypatch, batch):
     assert [tuple(r) for r in got.orderBy("step").collect()] == want
     if batch == 10_000:
         assert rounds.count("gains") == 2 < len(want)  # all in one round, and one that finds nothing left
+
+
+def test_qualified_names_by_kind_of_item(spark):
+    """20,000 references to one name: pairs would be 400 million."""
+    items = spark.range(20_000).selectExpr("id", "'N' AS name", "array('G' || id % 7, 'H' || id % 3) AS path").union(spark.sql("SELECT 90001L, 'N', array('ONLY', 'H1') UNION ALL SELECT 90002L, 'M', array('H1', 'G1', 'H1') UNION ALL SELECT NULL, 'M', array('H1', 'G1')"))
+    refs = spark.range(20_000).selectExpr("id AS ref", "'N' AS name", "CASE id % 4 WHEN 0 THEN array('H1', 'ONLY') WHEN 1 THEN array('G1') WHEN 2 THEN array('NO') END AS qualifiers")
+    more = spark.sql("SELECT 90001L AS ref, 'M' AS name, array('G1', 'H1') AS qualifiers UNION ALL SELECT 90002L, NULL, array('G1') UNION ALL SELECT 90003L, 'M', array()")
+    found = program.qualified(refs.union(more), items)
+    got = {r["ref"]: (r["target"], r["reason"]) for r in found.collect()}
+    want = {0: (90001, None), 1: (None, "ambiguous"), 2: (None, "not found"), 3: (None, "not found"), 90001: (90002, None), 90002: (None, "not found"), 90003: (90002, None)}
+    assert len(got) == 20_003 and all(got[k] == want[k if k > 20_000 else k % 4] for k in got)
+    assert not re.search(r"\b_id#", plan(found))  # references meet kinds of items, not items
