@@ -3,17 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrand.operators.program import values
 
 
-def first_by(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in an explicit order."""
-    return df.withColumn("_rank", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter("_rank = 1").drop("_rank")
-
-
 def merge_nodes(nodes: DataFrame, rank: str = "rank") -> DataFrame:
     """Of nodes seen several times, the first sighting."""
     rest = [c for c in nodes.columns if c not in ("id", rank)]
@@ -38,9 +32,16 @@ def resolve(references: DataFrame, targets: DataFrame, on: str, reason: str) ->
     )
 
 
-def ranked_fallback(references: DataFrame, candidates: DataFrame, on: list[str], priority: Column, key: list[str]) -> DataFrame:
-    """For each reference (`key`), its best candidate by ascending priority; references without candidates stay, with nulls."""
-    return first_by(references.join(candidates, on, "left"), key, [priority.asc_nulls_last()])
+def ranked_fallback(references: DataFrame, candidates: DataFrame, on: list[str], near: list[str], order: list[str], key: list[str]) -> DataFrame:
+    """For each reference (`key`), the `order` columns of its best candidate: the first by them of those that have its `on` and `near` columns, else of all that have its `on` columns; references without candidates stay, with nulls.
+
+    The best are found before they meet the references, so that none of these is joined with more than two.
+    """
+    given = candidates.dropna(subset=order)
+    first = lambda by, name: given.groupBy(*by).agg(F.min(F.struct(*order)).alias(name))
+    found = references.join(first([*on, *near], "_near"), [*on, *near], "left").join(first(on, "_far"), on, "left")
+    best = found.groupBy(*key).agg(F.min("_near").alias("_near"), F.min("_far").alias("_far"))
+    return best.select(*key, *[F.coalesce("_near", "_far")[c].alias(c) for c in order])
 
 
 def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str = "prefix") -> DataFrame:

@@ -127,10 +127,9 @@ def unresolved_references(spark, d):
   FROM orders o JOIN customer ON o_custkey = c_custkey JOIN supplier s ON s_nationkey = c_nationkey) c ON c.k = r.o_orderkey AND c.n = 1""")
 def ranked_fallback(spark, d):
     t = lambda n: table(spark, d, n)
-    refs = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("ref"), F.col("c_nationkey").alias("nation"))
-    found = t("supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey")
-    order = F.when(F.col("s_suppkey").isNotNull(), F.struct(F.when(F.col("s_suppkey") % 5 == F.col("ref") % 5, 0).otherwise(1).alias("p"), "s_suppkey"))
-    return graph.ranked_fallback(refs, found, ["nation"], order, ["ref"]).select("ref", F.col("s_suppkey").alias("target"))
+    refs = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("o_orderkey").alias("ref"), F.col("c_nationkey").alias("nation"), (F.col("o_orderkey") % 5).alias("class"))
+    found = t("supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 5).alias("class"), "s_suppkey")
+    return graph.ranked_fallback(refs, found, ["nation"], ["class"], ["s_suppkey"], ["ref"]).select("ref", F.col("s_suppkey").alias("target"))
 
 
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)"

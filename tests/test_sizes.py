@@ -8,7 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.operators import cover, program
+from lodestrand.operators import cover, graph, program
+from lodestrand.plans import evidence
 
 
 def plan(df):
@@ -95,3 +96,18 @@ def test_qualified_names_by_kind_of_item(spark):
     want = {0: (90001, None), 1: (None, "ambiguous"), 2: (None, "not found"), 3: (None, "not found"), 90001: (90002, None), 90002: (None, "not found"), 90003: (90002, None)}
     assert len(got) == 20_003 and all(got[k] == want[k if k > 20_000 else k % 4] for k in got)
     assert not re.search(r"\b_id#", plan(found))  # references meet kinds of items, not items
+
+
+def test_fallback_takes_the_best_before_it_joins(spark):
+    refs = spark.sql("SELECT * FROM VALUES (1L, 'a', 0L), (2L, 'a', 1L), (3L, 'b', 1L), (4L, 'z', 0L), (5L, NULL, 0L), (6L, 'c', 0L) AS t(ref, nation, class)")
+    found = spark.sql("SELECT * FROM VALUES ('a', 0L, 20L), ('a', 0L, 10L), ('a', 3L, 5L), ('b', 2L, 7L), ('c', 0L, CAST(NULL AS BIGINT)), ('c', 1L, 9L) AS t(nation, class, k)")
+    many = spark.range(100_000).selectExpr("'a' AS nation", "0L AS class", "id + 100 AS k")
+    made = graph.ranked_fallback(refs, found.union(many), ["nation"], ["class"], ["k"], ["ref"])
+    assert {r["ref"]: r["k"] for r in made.collect()} == {1: 10, 2: 5, 3: 7, 4: None, 5: None, 6: 9}
+
+
+def test_fallback_keeps_orders_of_unknown_customers(spark, tmp_path):
+    spark.sql("SELECT 1L AS o_orderkey, 7L AS o_custkey UNION ALL SELECT 2L, 8L").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT 7L AS c_custkey, 3 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT 5L AS s_suppkey, 3 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert sorted(tuple(r) for r in evidence.ranked_fallback(spark, str(tmp_path)).collect()) == [(1, 5), (2, None)]
