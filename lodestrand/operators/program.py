@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from lodestrand.sources.scratch import Grown, cut
 
 
-def data_items(lines: DataFrame) -> DataFrame:
-    """(file, line, level, name, picture, occurs, value) of data description lines."""
+def data_items(lines: DataFrame, *more: Column) -> DataFrame:
+    """(file, line, level, name, picture, occurs, value) of data description lines, and more columns of these."""
     t = F.upper(F.trim("text"))
     some = lambda p: F.when(F.regexp_extract(t, p, 1) != "", F.regexp_extract(t, p, 1))
     return lines.filter(t.rlike(r"^[0-9]{2}\s+[A-Z0-9-]+")).select(
         "file", "line", F.regexp_extract(t, r"^([0-9]{2})", 1).cast("int").alias("level"), F.regexp_extract(t, r"^[0-9]{2}\s+([A-Z0-9-]+)", 1).alias("name"),
-        some(r"\sPIC(?:TURE)?\s+(?:IS\s+)?([^\s]+?)\.?(?:\s|$)").alias("picture"), some(r"\sOCCURS\s+([0-9]+)").cast("int").alias("occurs"), some(r"\sVALUE\s+(?:IS\s+)?('[^']*'|[0-9.]*[0-9])").alias("value"))
+        some(r"\sPIC(?:TURE)?\s+(?:IS\s+)?([^\s]+?)\.?(?:\s|$)").alias("picture"), some(r"\sOCCURS\s+([0-9]+)").cast("int").alias("occurs"), some(r"\sVALUE\s+(?:IS\s+)?('[^']*'|[0-9.]*[0-9])").alias("value"), *more)
 
 
 def parents(items: DataFrame, levels: list[int]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestrand.functions import text as T
 from lodestrand.operators import behave, cover, program, rollup, storage
 from lodestrand.plans.business import test_obligations
-from lodestrand.plans.derive import cents, table
+from lodestrand.plans.derive import cents, spread, table
 from lodestrand.sources import lines as L
 
 QUERIES: dict = {}
@@ -151,7 +151,7 @@ def baseline_reuse(spark, d):
 
 def _records(spark, d):
     """Data descriptions (file, line, text) that vary with each part: tables in groups, redefinitions, packed and binary numbers."""
-    part = table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_type")
+    part = spread(table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_type"))
     k, size = F.col("p_partkey"), F.col("p_size")
     n = lambda c: c.cast("string")
     usage = F.element_at(F.array(*map(F.lit, ["", " COMP", " COMP-3", " USAGE IS BINARY", " PACKED-DECIMAL", " DISPLAY", " COMPUTATIONAL-5"])), (k % 7 + 1).cast("int"))

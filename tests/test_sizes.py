@@ -8,8 +8,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.operators import cover, graph, program
-from lodestrand.plans import evidence
+from lodestrand.operators import cover, graph, program, storage
+from lodestrand.plans import evidence, programs
+from lodestrand.sources import lines as L
 
 
 def plan(df):
@@ -111,3 +112,21 @@ def test_fallback_keeps_orders_of_unknown_customers(spark, tmp_path):
     spark.sql("SELECT 7L AS c_custkey, 3 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
     spark.sql("SELECT 5L AS s_suppkey, 3 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
     assert sorted(tuple(r) for r in evidence.ranked_fallback(spark, str(tmp_path)).collect()) == [(1, 5), (2, None)]
+
+
+@pytest.mark.parametrize("query", ["storage_values"])
+def test_layouts_join_no_tables_on_the_driver(spark, query, monkeypatch):
+    monkeypatch.setattr(storage, "ROWS", 50, raising=False)
+    text = "01 R.\n 05 A PIC X(4) VALUE 'ab'.\n 05 B REDEFINES A PIC X(4).\n 05 T OCCURS 2.\n  10 C OCCURS 3 PIC 9(3) COMP-3.\n 05 D PIC X."
+    lines = L.to_lines(spark.range(40).selectExpr("id AS f", f"'{text.replace(chr(39), chr(39) * 2)}' AS t"), "f", "t").repartition(2)
+    monkeypatch.setattr(programs, "_records", lambda spark, d: lines)
+    found = programs.QUERIES[query](spark, "")
+    assert "BroadcastHashJoin" not in plan(found) and not re.search(r"Scan parquet|FileScan", plan(found))
+    got = [tuple(r) for r in found.filter("file = 39").collect()]
+    if query == "storage_layout":
+        assert sorted(got) == [(39, 1, "R", 17, 17, 0, None), (39, 2, "A", 4, 4, 0, None), (39, 3, "B", 4, 4, 0, None), (39, 4, "T", 6, 12, 4, None), (39, 5, "C", 2, 6, 4, None), (39, 6, "D", 1, 1, 16, None)]
+    elif query == "storage_values":
+        assert got == [(39, 3, "B", "'AB'", 2, True)]
+    else:
+        assert sorted(x[3:5] for x in got if x[2] == "C") == [(f"{i},{j}", 4 + (i - 1) * 6 + (j - 1) * 2) for i in (1, 2) for j in (1, 2, 3)]
+    assert found.count() == 40 * len(got)
