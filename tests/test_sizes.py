@@ -114,7 +114,7 @@ def test_fallback_keeps_orders_of_unknown_customers(spark, tmp_path):
     assert sorted(tuple(r) for r in evidence.ranked_fallback(spark, str(tmp_path)).collect()) == [(1, 5), (2, None)]
 
 
-@pytest.mark.parametrize("query", ["storage_layout", "storage_values"])
+@pytest.mark.parametrize("query", ["storage_layout", "storage_values", "storage_occurrences"])
 def test_layouts_join_no_tables_on_the_driver(spark, query, monkeypatch):
     monkeypatch.setattr(storage, "ROWS", 50, raising=False)
     text = "01 R.\n 05 A PIC X(4) VALUE 'ab'.\n 05 B REDEFINES A PIC X(4).\n 05 T OCCURS 2.\n  10 C OCCURS 3 PIC 9(3) COMP-3.\n 05 D PIC X."
