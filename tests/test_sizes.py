@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.operators import cover, graph, program, storage
+from lodestrand.operators import cover, graph, program, steps, storage
 from lodestrand.plans import evidence, programs
 from lodestrand.sources import lines as L
 
@@ -130,3 +130,17 @@ def test_layouts_join_no_tables_on_the_driver(spark, query, monkeypatch):
     else:
         assert sorted(x[3:5] for x in got if x[2] == "C") == [(f"{i},{j}", 4 + (i - 1) * 6 + (j - 1) * 2) for i in (1, 2) for j in (1, 2, 3)]
     assert found.count() == 40 * len(got)
+
+
+def test_steps_gather_a_pair_of_nodes_once(spark):
+    """The three modes of a node are one row in the aggregation, and walks that are told so don't gather steps again."""
+    nodes = spark.sql("SELECT * FROM VALUES ('data:A', 'data'), ('data:G', 'data'), ('file:F', 'file'), ('program:P', 'program') AS t(id, kind)")
+    edge = "CAST(NULL AS STRING) AS disp, false AS dynamic, CAST(NULL AS STRING) AS paragraph"
+    edges = spark.sql(f"SELECT 'para:P.X' AS src, 'data:A' AS dst, 'uses-data' AS kind, true AS resolved, CAST(NULL AS STRING) AS command, {edge}, 'read' AS mode UNION ALL SELECT 'para:P.X', 'file:F', 'cics-file', true, 'READ', {edge}, NULL")
+    found = steps.steps(nodes, edges, spark.sql("SELECT 'data:A' AS id, 'data:G' AS parent"))
+    got = {(r["src"], r["dst"], r["tier"], r["label"]) for r in found.collect()}
+    modes = ("node", "definition", "value")
+    want = {(f"file:F|{m}", "para:P.X|node", 2, "read-by") for m in modes} | {(f"data:{x}|{m}", "para:P.X|node", 1, "read-by") for x in "AG" for m in modes if (x, m) != ("A", "definition")}
+    want |= {("data:A|definition", "data:G|definition", 0, "part-of"), ("data:A|definition", "para:P.X|node", 0, "used-by")}
+    assert got == want
+    assert re.search(r"Generate explode[\s\S]*Aggregate \[id#", plan(found).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0])
