@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.operators import cover, graph, program, steps, storage
+from lodestrand.operators import cover, graph, program, steps, storage, walk
 from lodestrand.plans import evidence, programs
 from lodestrand.sources import lines as L
 
@@ -144,3 +144,14 @@ def test_steps_gather_a_pair_of_nodes_once(spark):
     want |= {("data:A|definition", "data:G|definition", 0, "part-of"), ("data:A|definition", "para:P.X|node", 0, "used-by")}
     assert got == want
     assert re.search(r"Generate explode[\s\S]*Aggregate \[id#", plan(found).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0])
+
+
+def test_ways_over_stored_steps_write_them_once(spark, monkeypatch):
+    spread = spark.sql("SELECT * FROM VALUES ('a|node', 'b|node', 0, 'used-by'), ('b|node', 'c|value', 1, 'runs'), ('a|node', 'c|value', 2, 'writes') AS t(src, dst, tier, label)")
+    written, cut = [], steps.cut
+    for module in (steps, walk):
+        monkeypatch.setattr(module, "cut", lambda df, tag: written.append(tag) or cut(df, tag))
+    found = steps.reached_by(spread, spark.sql("SELECT 'a' AS id, 'node' AS mode, CAST(NULL AS STRING) AS entry"), once=True)
+    got = {r["id"]: (r["tier"], r["length"], [tuple(x) for x in r["via"]]) for r in found.collect()}
+    assert got == {"a": (0, 0, []), "b": (0, 1, [("a", "b", "used-by")]), "c": (1, 2, [("a", "b", "used-by"), ("b", "c", "runs")])}
+    assert written.count("steps") == 1 and "edges" not in written
